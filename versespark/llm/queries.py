@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, url_filter, warc
+from . import bpe, line_dedup, near_dup, quality, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", near_dup.kept(found).alias("kept"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     df = bpe.encode_decode(docs, tokenizer_path())
@@ -55,8 +60,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range_no", "range_pos")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = line_dedup.dedup_lines(docs, removed="n_removed")
+    return df.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("kept_bytes"), "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_bpe_round_trip, op7_url_filter, op8_quality_rules, op9_warc)}
+    return {f.__name__: f for f in (op4_near_dedup, op5_bpe_round_trip, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
