@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dup, quality, substring_dedup, url_filter, warc
+from . import bpe, line_dedup, near_dup, permutation_index, quality, substring_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", n_bytes.alias("n_bytes"), removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", near_dup.kept(found).alias("kept"))
@@ -74,7 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_near_dedup, op5_bpe_round_trip, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_permutation_index, op4_near_dedup, op5_bpe_round_trip, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
