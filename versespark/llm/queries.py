@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dup, permutation_index, quality, substring_dedup, url_filter, warc
+from . import bpe, line_dedup, mixing, near_dup, permutation_index, quality, substring_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,15 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+#: Target shares of tokens; categories that aren't named share the rest by their tokens.
+MIX = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "source": {"src0": 0.15}, "topic": {"prose": 0.9}}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, MIX).select("doc_id", "mix.topic", "mix.tokens", F.round("mix.weight", 6).alias("weight"), F.round("mix.probability", 6).alias("probability"), "mix.drawn")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     model = url_filter.train(url_filter.labelled_by_rules(pages, URL_RULES))
@@ -79,7 +88,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_permutation_index, op4_near_dedup, op5_bpe_round_trip, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_permutation_index, op4_near_dedup, op5_bpe_round_trip, op6_mixing, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
