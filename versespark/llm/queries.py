@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dup, permutation_index, quality, substring_dedup, url_filter, warc
+from . import bpe, html_wrappers, line_dedup, mixing, near_dup, permutation_index, quality, substring_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,11 @@ def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = html_wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return df.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", near_dup.kept(found).alias("kept"))
@@ -88,7 +93,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_permutation_index, op4_near_dedup, op5_bpe_round_trip, op6_mixing, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_permutation_index, op3_html_wrappers, op4_near_dedup, op5_bpe_round_trip, op6_mixing, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
