@@ -265,7 +265,8 @@ def kept(found: DataFrame) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each group: the one with the smallest id, once. Documents without shingles all stay."""
+    """`docs` with one document of each group: the one with the smallest id. Documents without shingles all stay, and so do
+    rows that repeat the id that stays."""
     found = near_duplicates(docs, width, percent, doc_id, text)
     gone = staged(found.filter(~kept(found)).select("id").distinct(), "near-copies")
     (key,) = fresh(docs, "near_copy_id")
