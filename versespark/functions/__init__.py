@@ -1 +1 @@
-
+"""Column functions on text."""

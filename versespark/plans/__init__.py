@@ -1,9 +1,15 @@
 """Registered queries of the engine and their SQL twins."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import search
 
+MODULES = [search]
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
