@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search
+from . import corpus, layout, search
 
-MODULES = [search]
+MODULES = [search, corpus, layout]
 
 
 def queries() -> dict:

@@ -1 +1,90 @@
+"""Streams of review events, queries and progress.
 
+The order of events is (ts, event_id). State is kept by key and is as large as the number of keys; a watermark would bound
+it by forgetting old keys, which none of these may do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+STATUSES = ["pending", "issue", "verified"]
+MOST_COMMENT = 100_000
+
+
+def valid(events: DataFrame, statuses: list[str] = STATUSES):
+    """A predicate on review events: a known status and a comment that isn't too long."""
+    return F.col("status").isin(statuses) & (F.length(F.coalesce("comment", F.lit(""))) <= MOST_COMMENT)
+
+
+def latest(events: DataFrame, key: str) -> DataFrame:
+    """The last event of each key: a partial maximum before the shuffle."""
+    cols = [c for c in events.columns if c != key]
+    last = F.max_by(F.struct(*cols), F.struct("ts", "event_id"))
+    return events.groupBy(key).agg(last.alias("_e")).select(key, "_e.*")
+
+
+def merged(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """State with a batch of events taken in, whatever order they come in."""
+    return latest(state.unionByName(batch.select(*state.columns)), key)
+
+
+def upsert_stream(events: DataFrame, key: str, state_path: str, rejects_path: str, checkpoint: str, statuses: list[str] = STATUSES):
+    """A streaming query that keeps the last valid event of each key in numbered snapshots under `state_path`, and appends
+    what is invalid to `rejects_path`. A batch that is run again writes the same snapshot."""
+
+    def take(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        good = valid(batch, statuses)
+        batch.filter(~F.coalesce(good, F.lit(False))).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{rejects_path}/batch={n}")
+        new = latest(batch.filter(good), key)
+        state = merged(spark.read.parquet(f"{state_path}/{n - 1}"), new, key) if n else new
+        state.write.mode("overwrite").parquet(f"{state_path}/{n}")
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+
+
+def latest_query(requests: DataFrame, session: str = "session") -> DataFrame:
+    """The last query of each session (request_id, query); earlier ones are dropped before any search."""
+    return requests.groupBy(session).agg(F.max("request_id").alias("request_id"), F.max_by("query", "request_id").alias("query"))
+
+
+def newest_only_stream(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, session: str = "session"):
+    """Each micro-batch answers the last query of each session; older requests than one answered before are left out."""
+
+    def take(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        last = latest_query(batch, session)
+        if n:
+            seen = spark.read.parquet(f"{path}/seen/{n - 1}")
+            last = last.join(seen.withColumnRenamed("request_id", "_seen"), session, "left").filter("_seen is null or request_id > _seen").drop("_seen")
+        answer(last).write.mode("overwrite").parquet(f"{path}/answers/batch={n}")
+        ids = last.select(session, "request_id")
+        if n:
+            ids = ids.unionByName(seen).groupBy(session).agg(F.max("request_id").alias("request_id"))
+        ids.write.mode("overwrite").parquet(f"{path}/seen/{n}")
+
+    return requests.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+
+
+def progress(events: DataFrame, active: DataFrame) -> DataFrame:
+    """Progress of active requests (request_id): at most 0.99 until an event says that it is complete."""
+    share = F.when(F.col("complete"), 1.0).otherwise(F.least(F.lit(0.99), F.try_divide(F.col("bytes").cast("double"), F.col("total"))))
+    return events.join(active, "request_id").withColumn("progress", F.coalesce(share, F.lit(0.0)))
+
+
+def progress_counts(state: DataFrame) -> DataFrame:
+    return state.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def next_pending(state: DataFrame, key: str, after: int) -> DataFrame:
+    return state.filter((F.col("status") == "pending") & (F.col(key) > after)).agg(F.min(key).alias(key))
+
+
+def last_in_order(events: DataFrame, key: str) -> DataFrame:
+    """events with is_last, for tables that keep all of them."""
+    w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
+    return events.withColumn("is_last", F.row_number().over(w) == 1)
