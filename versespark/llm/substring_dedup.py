@@ -36,7 +36,7 @@ from .common import bounded_batches, fresh, small_enough, staged
 
 LENGTH, GRAM = 200, 16
 #: Contexts of one shard's index, and of one name that a shard takes.
-SHARD_CONTEXTS, NAME_CONTEXTS = 20_000, 20_000
+SHARD_CONTEXTS, NAME_CONTEXTS = 5_000, 20_000
 #: Documents with positions or spans may be broadcast up to this number of documents and of positions.
 BROADCAST_DOCS, BROADCAST_SPANS = 200_000, 1_500_000
 #: Two suffixes are told apart by this many bytes; a context is shorter.
@@ -99,19 +99,33 @@ class RunIndex:
         text = np.frombuffer(b"\xff".join(strings) + b"\xff" * (DEPTH + 16), np.uint8)
         n = self.n = len(text) - DEPTH - 15
         self.words = _words(text, len(text) - 7).byteswap()
-        order = np.argsort(self.words[:n])
-        rank = self._ranked(order, self.words[:n])
+        # rank: the place in the order where the suffixes that are equal so far begin. Only those of groups with several
+        # are sorted again, within the places of their group.
+        first_words = self.words[:n]
+        order = np.argsort(first_words)
+        same = np.concatenate([[False], first_words[order[1:]] == first_words[order[:-1]]])
+        place = np.arange(n, dtype=np.int32)
+        rank = np.empty(n + DEPTH, np.int32)
+        rank[n:] = -1
+        rank[order] = np.maximum.accumulate(np.where(same, 0, place))
         self.near = None
         k = 8
         while k < DEPTH:
             if k == 128:
-                self.near = rank  # equal ranks: at least 128 equal bytes
-            follow = np.zeros(n, np.int64)
-            follow[: n - k] = rank[k:] + 1
-            key = rank * np.int64(n + 1) + follow
-            order = np.argsort(key)
-            rank = self._ranked(order, key)
+                self.near = rank[:n].copy()  # equal ranks: at least 128 equal bytes
+            open_ = np.flatnonzero(same | np.append(same[1:], False))
+            if not len(open_):
+                break
+            sub = order[open_]
+            key = rank[sub].astype(np.int64) << 32 | (rank[sub + k] + 1).astype(np.int64)
+            by = np.argsort(key)
+            sub, key = sub[by], key[by]
+            order[open_] = sub
+            same[open_] = np.concatenate([[False], key[1:] == key[:-1]])
+            rank[sub] = np.maximum.accumulate(np.where(same, 0, place))[open_]
             k *= 2
+        if self.near is None:
+            self.near = rank[:n]
         before = text[order - 1]
         first = np.zeros(n, bool)
         first[self.starts] = True
@@ -122,13 +136,6 @@ class RunIndex:
         self.at_start = order[self.run_starts]  # samples: the suffix at each run's start and end
         self.at_end = order[np.concatenate([breaks - 1, [n - 1]])]
 
-    @staticmethod
-    def _ranked(order: np.ndarray, key: np.ndarray) -> np.ndarray:
-        s = key[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        return rank
-
     def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many bytes from a and from b are equal, up to DEPTH."""
         out = np.full(len(a), DEPTH, np.int64)
@@ -218,18 +225,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     texts = _texts(docs, doc_id, text)
     places = staged(_places(texts, length), "contexts")
     kinds = places.groupBy("name", "context").agg(F.count("*").alias("n"), F.max("recurs").alias("recurs"))
-    names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.max("recurs").alias("recurs"))
+    names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.min("n").alias("fewest"), F.max("recurs").alias("recurs"))
     # names with something to find; the edges are in those with several kinds of context
     names = names.filter("kinds > 1 or most > 1 or recurs")
     found = staged(places.join(names.drop("recurs"), "name").drop("recurs"), "shared-contexts")
     whole = found.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first")).alias("one")).filter("n > 1")
     found = found.join(whole, ["name", "context"], "left")
     done = F.col("n").isNotNull()
-    found = staged(found.select("id", "th", "first", "last", "name", "kinds", done.alias("done"), (~done | (F.struct("id", "th", "first") == F.col("one"))).alias("shown")), "context-kinds")
+    found = staged(found.select("id", "th", "first", "last", "name", ((F.col("kinds") > 1) & (F.col("fewest") == 1)).alias("edges"), "kinds", done.alias("done"), (~done | (F.struct("id", "th", "first") == F.col("one"))).alias("shown")), "context-kinds")
     spans = found.filter("done").select("id", "th", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
-    # a name of one kind needs no index, unless it recurs inside its only context
-    ask = found.filter("shown and (kinds > 1 or not done)")
+    # a name needs the index if one of several contexts stands alone, or if it recurs inside its only context
+    ask = found.filter("shown and (edges or not done)")
     ask = ask.groupBy("id", "th").agg(F.collect_list(F.struct("name", "first", "last", (F.col("kinds") > NAME_CONTEXTS).alias("many"))).alias("asked"))
     ask = staged(_same_doc(ask), "asked-contexts")
 
