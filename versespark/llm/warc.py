@@ -32,7 +32,7 @@ from .common import bounded_batches, shared_dir, small_enough, staged
 #: Records of one archive file, which is read back as a whole.
 RECORDS_PER_FILE = 500
 #: Captures of one key range of the merge.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 20_000
 #: Captures get one date a second from here, in the order of their ids, where the caller has no date column.
 BASE_DATE = "2020-01-01 00:00:00"
 
@@ -206,6 +206,7 @@ def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     keys = ["url_key", "captured", "page_id"]
     runs = staged(index.sortWithinPartitions(*keys), "capture-runs")
     n = max(1, -(-runs.count() // range_rows))
+    bounded_batches(runs.sparkSession)  # index rows are short; files are read a few at a time
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = list(batches)
