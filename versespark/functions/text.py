@@ -144,11 +144,16 @@ def design(mode: Column, position: Column) -> Column:
     return F.element_at(F.array(*[F.lit(d) for d in DESIGNS]), (F.pmod(position + start, F.lit(n)) + 1).cast("int"))
 
 
+# Glyphs in typing order. The mark of a pre-base vowel stands before its consonant cluster; another mark
+# stands for r with that vowel before a consonant.
+STRAY = {"ï": "", "Ó": "\u2019"}
+PREBASE = ("ç((?:[क-ह]\u093c?)(?:\u094d[क-ह]\u093c?)*)", "$1\u093f")
+REPH = ("\u0962([क-ह]\u093c?)", "र\u094d$1\u093f")
+
+
 def glyph_order(c: Column) -> Column:
-    """Glyphs in typing order to text order: the mark of a pre-base vowel goes behind its consonant cluster (three nested
-    ones at most), the mark of r with that vowel around its consonant, stray marks go, and blanks collapse."""
-    c = F.replace(F.replace(c, F.lit("ï"), F.lit("")), F.lit("Ó"), F.lit("\u2019"))
+    """Typing order to text order: marks go behind what they belong to (three nested ones at most), and blanks collapse."""
+    c = replaced(c, STRAY.items())
     for _ in range(3):
-        c = F.regexp_replace(c, "ç((?:[क-ह]\u093c?)(?:\u094d[क-ह]\u093c?)*)", "$1\u093f")
-    c = F.regexp_replace(c, "\u0962([क-ह]\u093c?)", "र\u094d$1\u093f")
-    return F.trim(F.regexp_replace(c, r"[ \t]+", " "))
+        c = F.regexp_replace(c, *PREBASE)
+    return F.trim(F.regexp_replace(F.regexp_replace(c, *REPH), r"[ \t]+", " "))
