@@ -54,7 +54,7 @@ def occurrences(fields: DataFrame) -> DataFrame:
 
 def word_dim(words: DataFrame) -> DataFrame:
     """word, normal, stem, search_stems, sounds for each distinct word."""
-    d = T.decomposed(words.select("word").distinct(), "word", "nfd")
+    d = T.decomposed(staged(words.select("word").distinct(), "distinct-words"), "word", "nfd")
     d = d.select("word", T.normal(F.col("nfd")).alias("normal"), T.stem_of(T.romanized(F.col("nfd"))).alias("stem"))
     d = d.withColumn("search_stems", T.search_stems(F.col("normal"), F.col("stem")))
     return d.withColumn("sounds", F.transform("search_stems", T.sound))
@@ -104,13 +104,17 @@ def matched_words(terms: DataFrame, dim: DataFrame) -> DataFrame:
     return exact.unionByName(prefix).unionByName(phonetic).unionByName(inside).groupBy(*keys, "word").agg(F.max("strength").alias("strength"))
 
 
-def _positional(occ: DataFrame, dim: DataFrame, terms: DataFrame, place: str, group: list[str]) -> DataFrame:
-    """DOC + group: where all terms of a query stand one after the other, each as its own word."""
-    words = occ.join(dim.select("word", "normal", "stem"), "word")
+def _in_place(dim: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, term_no, n_terms, word: words that are a term of a query with plain letters, as a whole."""
     asked = small(terms.filter(F.col("n_other") < F.col("n_terms")).select("query_id", "term_no", "n_terms", "latin", F.when(F.col("latin"), F.col("roman")).otherwise(F.col("text")).alias("key")))
-    by_stem = words.join(asked.filter("latin"), F.col("stem") == F.col("key"))
-    by_word = words.join(asked.filter("not latin"), F.col("normal") == F.col("key"))
-    hit = by_stem.unionByName(by_word).withColumn("start", F.col(place) - F.col("term_no"))
+    by_stem = dim.join(asked.filter("latin"), F.col("stem") == F.col("key"))
+    by_word = dim.join(asked.filter("not latin"), F.col("normal") == F.col("key"))
+    return by_stem.unionByName(by_word).select("query_id", "term_no", "n_terms", "word")
+
+
+def _positional(occ: DataFrame, in_place: DataFrame, place: str, group: list[str]) -> DataFrame:
+    """DOC + group: where all terms of a query stand one after the other, each as its own word."""
+    hit = occ.join(in_place, "word").withColumn("start", F.col(place) - F.col("term_no"))
     keys = ["query_id", "mode", "id", *group]
     return hit.groupBy(*keys, "start").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms")).filter("n = n_terms").select(keys).distinct()
 
@@ -135,7 +139,7 @@ def search(pads: DataFrame, queries: DataFrame, fields: DataFrame | None = None)
     occ, dim = token_index(fields)
     found = staged(matched_words(terms, dim), "search-words")
     meta = small(terms.select("query_id", "term_no", "n_terms", "n_other", "phrase"))
-    hits = occ.join(found, "word").groupBy("query_id", "term_no", *FIELD).agg(F.max("strength").alias("strength"))
+    hits = occ.join(small(found), "word").groupBy("query_id", "term_no", *FIELD).agg(F.max("strength").alias("strength"))
     hits = hits.join(meta, ["query_id", "term_no"])
     # by field, then by document
     field = hits.groupBy(*DOC, "field_no", "kind", "n_terms").agg(F.count("*").alias("hits"), F.sum("strength").alias("sum"))
@@ -149,8 +153,9 @@ def search(pads: DataFrame, queries: DataFrame, fields: DataFrame | None = None)
     docs = staged(docs.join(by_field, DOC), "search-candidates")
 
     body = occ.filter("body_pos is not null")
-    fields_hit = _positional(occ, dim, terms, "pos", ["field_no"]).unionByName(_substring(docs.select(DOC), occ, dim, q, terms, ["field_no"], ["pos"]))
-    body_hit = _positional(body, dim, terms, "body_pos", []).unionByName(_substring(docs.select(DOC), body, dim, q, terms, [], ["body_pos"]))
+    in_place = small(staged(_in_place(dim, terms), "search-in-place"))
+    fields_hit = _positional(occ, in_place, "pos", ["field_no"]).unionByName(_substring(docs.select(DOC), occ, dim, q, terms, ["field_no"], ["pos"]))
+    body_hit = _positional(body, in_place, "body_pos", []).unionByName(_substring(docs.select(DOC), body, dim, q, terms, [], ["body_pos"]))
     phrase = fields_hit.select(*DOC, (F.col("field_no") == 0).alias("bonus")).unionByName(body_hit.withColumn("bonus", F.lit(True)))
     phrase = phrase.groupBy(*DOC).agg(F.max("bonus").alias("bonus"), F.lit(True).alias("some"))
     docs = docs.join(phrase, DOC, "left").filter(~F.col("phrase") | F.coalesce("some", F.lit(False)))
