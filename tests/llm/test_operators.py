@@ -369,3 +369,12 @@ def test_mixing_as_aggregations(docs, monkeypatch):
     monkeypatch.setattr(mixing, "calibrated", lambda cells, budget, steps=12, f=mixing.calibrated: f(cells, budget, steps))
     large = {r["doc_id"]: r["mix"]["probability"] for r in mixing.mix(docs, want).collect()}
     assert all(abs(small[k] - large[k]) < 0.02 for k in small)
+
+
+def test_empty_pages(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    assert warc.merge_index(warc.read_warc(spark, str(tmp_path / "w"))).count() == 0
+    model = url_filter.train(url_filter.labelled_by_rules(pages, RULES))
+    assert url_filter.judge(pages, RULES, model).count() == 0
+    assert bpe.encode_decode(pages.select("page_id", F.col("html").alias("text")), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
