@@ -27,7 +27,7 @@ from .common import bounded_batches
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of a worker's piece cache, and the longest piece that it keeps; the cache only saves time.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 120_000, 32
 
 
 def byte_letters() -> dict[str, int]:
@@ -165,5 +165,5 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
     """`docs` with the packed ids of the text column and the text that they decode to. No shuffle; a row stays where it is read.
 
     `path` is the tokenizer file; it must be readable at that path on the executors (as an installed package is)."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 200)
     return docs.withColumn(ids, encoder(path)(F.col(text))).withColumn(decoded, decoder(path)(F.col(ids)))

@@ -48,7 +48,7 @@ _WORDS: dict[bytes, int] = {}
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     out = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
@@ -125,6 +125,7 @@ def signatures(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str =
             got = pd.DataFrame(out, columns=["n_shingles", "c1", "c2", "bands", "sketch"])
             got.insert(0, "id", b["id"].array)
             yield got
+        _WORDS.clear()  # the worker lives on
 
     bounded_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
