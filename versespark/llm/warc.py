@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_dir, small_enough, staged
@@ -225,5 +225,15 @@ def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return cut.mapInPandas(merge, f"{cols}, range_pos long").withColumn("range_no", F.spark_partition_id().cast("long"))
 
 
+def with_positions(merged: DataFrame) -> DataFrame:
+    """What merge_index() returns, with `history_pos`, the place of each capture in the whole history (from 1). Only the
+    sizes of the ranges are summed up in order, one row for each of them."""
+    merged = staged(merged, "capture-history")
+    sizes = merged.groupBy("range_no").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = staged(sizes.select("range_no", before.alias("start")), "range-starts")
+    return merged.join(small_enough(starts), "range_no").withColumn("history_pos", F.col("start") + F.col("range_pos") + 1).drop("start")
+
+
 def archive_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
