@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed
+from .search import small
 
 PAD_COLUMNS = ["mode", "id", "title", "section", "subtopic", "raag", "taal", "form", "headings", "verses", "notes", "search_number"]
 
@@ -54,7 +55,7 @@ def without(nested: Column, *fields: str) -> Column:
 def row_roles(rows: DataFrame, page: str, y: str, text: str, zones: DataFrame, markers: list[tuple[int, str]] = ()) -> DataFrame:
     """rows with role and reason: in a zone (page, y0, y1; few) that belongs to a section heading: excluded; a short bracketed
     text or a listed (page, text): marker; a number in parentheses at the top: excluded; else body."""
-    z = F.broadcast(zones.groupBy(F.col("page").alias("_p")).agg(F.collect_list(F.struct("y0", "y1")).alias("_z")))
+    z = small(zones.groupBy(F.col("page").alias("_p")).agg(F.collect_list(F.struct("y0", "y1")).alias("_z")))
     d = rows.join(z, F.col(page) == F.col("_p"), "left")
     inside = F.coalesce(F.exists("_z", lambda v: (v["y0"] <= F.col(y)) & (F.col(y) < v["y1"])), F.lit(False))
     marker = (F.length(text) < 18) & F.col(text).rlike(r"[\[\]]")
@@ -68,7 +69,7 @@ def row_roles(rows: DataFrame, page: str, y: str, text: str, zones: DataFrame, m
 
 def note_lines(rows: DataFrame, page: str, y: str, is_marker: Column, limits: DataFrame) -> DataFrame:
     """rows with is_note: below the page's limit (page, note_y; few) or, without one, at or below the first marker of the page."""
-    d = rows.join(F.broadcast(limits.select(F.col("page").alias("_p"), "note_y")), F.col(page) == F.col("_p"), "left")
+    d = rows.join(small(limits.select(F.col("page").alias("_p"), "note_y")), F.col(page) == F.col("_p"), "left")
     first = F.min(F.when(is_marker, F.col(y))).over(Window.partitionBy(page))
     return d.withColumn("is_note", F.coalesce(F.col(y) >= F.coalesce("note_y", first), F.lit(False))).drop("_p", "note_y")
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .search import small
+
 
 def not_covered(ids: DataFrame, key: str, first: int, last: int) -> DataFrame:
     """key, side: whole numbers from first to last that are missing, and ids beyond them."""
@@ -28,8 +30,11 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def required_terms(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """accepted, rejected, has_accepted, has_rejected for a dictionary of readings (a bounded table) over all texts."""
-    d = texts.join(F.broadcast(terms), F.contains(text, "accepted") | F.contains(text, "rejected"), "right")
-    return d.groupBy("accepted", "rejected").agg(F.coalesce(F.bool_or(F.contains(text, "accepted")), F.lit(False)).alias("has_accepted"), F.coalesce(F.bool_or(F.contains(text, "rejected")), F.lit(False)).alias("has_rejected"))
+    keys = ["accepted", "rejected"]
+    asked = terms.select(keys).distinct()
+    has = {f"has_{k}": F.bool_or(F.contains(text, k)) for k in keys}
+    found = texts.join(small(asked), F.contains(text, "accepted") | F.contains(text, "rejected")).groupBy(keys).agg(*[v.alias(k) for k, v in has.items()])
+    return asked.join(found, keys, "left").select(*keys, *[F.coalesce(F.col(k), F.lit(False)).alias(k) for k in has])
 
 
 def checksum_mismatches(files: DataFrame, manifest: DataFrame) -> DataFrame:

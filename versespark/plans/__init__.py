@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, layout, search
+from . import corpus, editing, layout, search
 
-MODULES = [search, corpus, layout]
+MODULES = [search, corpus, layout, editing]
 
 
 def queries() -> dict:
