@@ -316,6 +316,21 @@ def test_html_template_text_is_dropped(spark):
     assert {r["page_id"]: r["text"] for r in html_wrappers.extract(d).collect()} == {i: f"story {i} one\ntwo {i}" for i in range(5)}
 
 
+def test_html_template_text_in_articles_is_dropped(spark):
+    """A notice without a telling class is template if all articles of the host have it; constants within a sentence stay."""
+    page = "<body>{}<{}><h1>Title {}</h1><div class=box><b>Sale!</b> Buy now</div><p>By <i>{}</i> of the staff</p>{}</{}></body>"
+    tags = {"a": "article", "m": "main", "n": "div class=content"}
+    rows = [(k * 10 + i, f"http://{h}.x/{i}", page.format("", t, i, i, "<blockquote>Some say</blockquote>" if i > 2 else "", t.split()[0])) for k, (h, t) in enumerate(tags.items()) for i in range(5)]
+    same = "<body><i>{}</i><article><h1>Once</h1><p>told</p></article></body>"
+    rows += [(40 + i, "http://same.x/", same.format(i)) for i in range(3)] + [(50, "http://one.x/", page.format("", "article", 0, 0, "", "article")), (6, "http://a.x/", "")]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(3):
+        for i in range(5):
+            assert got[k * 10 + i] == f"Title {i}\nBy {i} of the staff" + ("\nSome say" if i > 2 else "")
+    assert [got[40 + i] for i in range(3)] == ["Once\ntold"] * 3
+    assert got[50] == "Title 0\nSale! Buy now\nBy 0 of the staff" and got[6] == ""
+
+
 def test_wrapper_alignment():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><div>d</div><p>y</p>"]
     items = html_wrappers.aligned(*[html_wrappers.own(html_wrappers.parse(p)) for p in pages])

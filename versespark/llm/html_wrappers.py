@@ -9,9 +9,12 @@ becomes a data slot.
 Alignment is associative enough to be a reduction: each task aligns the pages of a host that it reads, then partial
 wrappers are aligned in two rounds, so a host with very many pages costs no task more than others. Wrappers are joined
 to the pages by host; each page is matched against its wrapper, and the text of the wrapper's content slots is what is
-kept. Content is the article element, or else main, or else an element named like content, or else the body, of which
-only data slots count where several pages were aligned. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are never content.
+kept. Content lies in the article element, or else in main, or else in an element named like content, or else in the body.
+Where that element differs between pages, its data slots decide: in the first three, a block of text all of which is constant
+on every page that has the element is template and dropped (a constant beside data in one block is part of its sentence); in
+the body, each constant slot is. An element that is the same on all pages tells nothing about its template and is kept whole.
+So is a constant block among others of its kind (a paragraph between paragraphs), which a repeated group can't tell apart.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are never content.
 
 Defined results: a null or empty html has the text ""; a null url is a host of its own; unclosed and stray tags are
 closed or skipped; a page cut off within a tag ends before it; repeated rows are extracted each; other columns pass
@@ -20,10 +23,12 @@ through.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -133,24 +138,35 @@ def parse(text: str) -> list:
 
 
 # An item of an expression is [label, optional, repeated, constant, items]; a text slot has the label "#". A constant is
-# the text that all pages have there, None where they differ.
+# the text that all pages have there, None where they differ; of an element that may hold the content, a hash of its text.
 
 
 def own(node: list) -> list:
     """The expression of one page's node: its items, with neighbours of one kind folded into repeated groups."""
+    return _own(node)[0]
+
+
+def _own(node: list) -> tuple[list, str]:
+    """The node's expression, and a hash of its text without noise ("" if it has none)."""
     items: list = []
+    said: list[str] = []
     for child in node[1]:
         if isinstance(child, str):
             if child.isspace() or not child:
                 continue
-            new = ["#", False, False, BLANKS.sub(" ", child).strip()[:64], []]
+            words = BLANKS.sub(" ", child).strip()
+            said.append(words)
+            new = ["#", False, False, words[:64], []]
         else:
-            new = [child[0], False, False, None, own(child)]
+            sub, inner = _own(child)
+            new = [child[0], False, False, inner if may_hold_content(child[0]) else None, sub]
+            if inner and not is_noise(child[0]):
+                said.append(inner)
         if items and items[-1][0] == new[0]:
             items[-1] = merged(items[-1], new, True)
         else:
             items.append(new)
-    return items
+    return items, hashlib.blake2b("\0".join(said).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if said else ""
 
 
 def merged(a: list, b: list, repeated: bool = False) -> list:
@@ -215,6 +231,7 @@ def expression(items: list) -> str:
     return "".join(out)
 
 
+@lru_cache(10_000)
 def is_noise(label: str) -> bool:
     tag, _, named = label.partition(" ")
     if tag in SKIPPED:
@@ -234,26 +251,41 @@ def is_content(label: str, rule: str) -> bool:
     return tag == rule
 
 
+@lru_cache(10_000)
+def may_hold_content(label: str) -> bool:
+    return any(is_content(label, rule) for rule in ("article", "main", "named"))
+
+
 class Wrapper:
-    """A host's expression, ready to be matched: which items are noise is worked out once for each label."""
+    """A host's expression, ready to be matched."""
 
     def __init__(self, items: list, pages: int):
         self.items, self.pages = items, pages
-        self.noise: dict[str, bool] = {}
 
     def text(self, page: str | None) -> str:
         root = parse(page or "")
         for rule in ("article", "main", "named", "body"):
-            blocks: list[str] = []
-            self._walk(root, self.items, rule, rule == "body", True, blocks)
-            out = [b for b in (BLANKS.sub(" ", x).strip() for x in "".join(blocks).split("\0")) if b]
+            blocks: list[tuple[str, bool]] = []
+            self._walk(root, self.items, rule, rule == "body", rule == "body" and self.pages > 1, blocks)
+            out: list[str] = []
+            line: list[str] = []
+            data = False
+            for piece, fixed in [*blocks, ("\0", False)]:
+                if piece != "\0":
+                    line.append(piece)
+                    data = data or not fixed and not piece.isspace()
+                    continue
+                if data:
+                    out.append(BLANKS.sub(" ", "".join(line)).strip())
+                line, data = [], False
             if out:
                 return "\n".join(out)
         return ""
 
-    def _walk(self, node: list, items: list, rule: str, inside: bool, always: bool, out: list[str]) -> None:
-        """Match the node's children with the items in order, and put down the text of content slots. `always`: every page has
-        the node, so that a constant in it is one of all pages."""
+    def _walk(self, node: list, items: list, rule: str, inside: bool, always: bool, out: list[tuple[str, bool]]) -> None:
+        """Match the node's children with the items in order, and put down the text of slots of the content, and whether it is
+        fixed; an edge of a block is "\\0". `always`: the element of content differs between pages and all of its kind have the
+        node, so that a constant in it is one of the template."""
         labels: list[str] = []
         for c in node[1]:
             kind = "#" if isinstance(c, str) else c[0]
@@ -270,32 +302,33 @@ class Wrapper:
             kind = "#" if isinstance(c, str) else c[0]
             if isinstance(c, str) and (c.isspace() or not c):
                 if inside:
-                    out.append(" ")
+                    out.append((" ", False))
                 continue
             if kind != last:
                 k, last = k + 1, kind
             item = items[found[k]] if k in found else None
             if isinstance(c, str):
-                # outside an element of content, a text that all pages share belongs to the template
-                fixed = rule == "body" and self.pages > 1 and always and item is not None and not item[1] and item[3] is not None
-                if inside and not fixed:
-                    out.append(c.replace("\0", " "))
+                # a text that all pages share belongs to the template
+                fixed = always and item is not None and not item[1] and item[3] is not None
+                if inside and not (fixed and rule == "body"):
+                    out.append((c.replace("\0", " "), fixed))
                 continue
-            noise = self.noise.get(kind)
-            if noise is None:
-                noise = self.noise[kind] = is_noise(kind)
-            if noise:
+            if is_noise(kind):
                 if inside:
-                    out.append("\0")
+                    out.append(("\0", False))
                 continue
             tag = kind.split(" ")[0]
             within = inside or is_content(kind, rule)
             edge = "\0" if tag in BLOCKS else " " if tag == "br" else ""
             if within and edge:
-                out.append(edge)
-            self._walk(c, item[4] if item is not None else [], rule, within, always and item is not None and not item[1], out)
+                out.append((edge, False))
+            if inside or not within:
+                shared = always and item is not None and not item[1]
+            else:  # an element of content starts; its constant is None if it differs
+                shared = item is not None and item[3] is None
+            self._walk(c, item[4] if item is not None else [], rule, within, shared, out)
             if within and edge:
-                out.append(edge)
+                out.append((edge, False))
 
 
 def _aligned_json(wrappers: list[str], pages: list[int]) -> tuple[str, int]:
