@@ -331,6 +331,15 @@ def test_html_template_text_in_articles_is_dropped(spark):
     assert got[50] == "Title 0\nSale! Buy now\nBy 0 of the staff" and got[6] == ""
 
 
+def test_html_texts_are_compared_whole(spark):
+    """Lone blocks stay where only their first 64 characters agree, and on hosts of nothing but copies."""
+    lead = "The council met in the great hall of the old town on Monday evening and "
+    rows = [(i, "http://h.x/", f"<body><div>Standing notice</div><div class=b><h2>{lead}{i}</h2></div></body>") for i in range(4)]
+    rows += [(10 + i, "http://copies.x/", f"<body><nav>Visit {i}</nav><h1>Head</h1><p>text</p></body>") for i in range(3)] + [(20, "http://h.x/", None), (21, "http://copies.x/", "<nav>x</nav>")]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"{lead}{i}" for i in range(4)} | {10 + i: "Head\ntext" for i in range(3)} | {20: "", 21: ""}
+
+
 def test_wrapper_alignment():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><div>d</div><p>y</p>"]
     items = html_wrappers.aligned(*[html_wrappers.own(html_wrappers.parse(p)) for p in pages])

@@ -138,7 +138,8 @@ def parse(text: str) -> list:
 
 
 # An item of an expression is [label, optional, repeated, constant, items]; a text slot has the label "#". A constant is
-# the text that all pages have there, None where they differ; of an element that may hold the content, a hash of its text.
+# the text that all pages have there (a long one as its opening and a hash of the whole), None where they differ; of an
+# element that may hold the content, a hash of its text.
 
 
 def own(node: list) -> list:
@@ -156,7 +157,7 @@ def _own(node: list) -> tuple[list, str]:
                 continue
             words = BLANKS.sub(" ", child).strip()
             said.append(words)
-            new = ["#", False, False, words[:64], []]
+            new = ["#", False, False, words if len(words) <= 64 else f"{words[:64]}… {_digest(words)}", []]
         else:
             sub, inner = _own(child)
             new = [child[0], False, False, inner if may_hold_content(child[0]) else None, sub]
@@ -166,7 +167,11 @@ def _own(node: list) -> tuple[list, str]:
             items[-1] = merged(items[-1], new, True)
         else:
             items.append(new)
-    return items, hashlib.blake2b("\0".join(said).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if said else ""
+    return items, _digest("\0".join(said)) if said else ""
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def merged(a: list, b: list, repeated: bool = False) -> list:
@@ -257,7 +262,7 @@ def may_hold_content(label: str) -> bool:
 
 
 class Wrapper:
-    """A host's expression, ready to be matched."""
+    """A host's expression, ready to be matched, and how many different pages it was seen to stand for at least: 1 or 2."""
 
     def __init__(self, items: list, pages: int):
         self.items, self.pages = items, pages
@@ -331,36 +336,40 @@ class Wrapper:
                 out.append((edge, False))
 
 
-def _aligned_json(wrappers: list[str], pages: list[int]) -> tuple[str, int]:
+def _aligned_json(wrappers: list[str]) -> str:
     first, *rest = dict.fromkeys(wrappers)
     items = json.loads(first)
     for w in rest:
         items = aligned(items, json.loads(w))
-    return json.dumps(items, ensure_ascii=False, separators=(",", ":")), sum(pages)
+    return json.dumps(items, ensure_ascii=False, separators=(",", ":"))
 
 
 def infer_wrappers(pages: DataFrame, host: Column, html: str = "html") -> DataFrame:
-    """host, wrapper (items as JSON), pages."""
+    """host, wrapper (items as JSON), and the hash of the text that all pages of the host have (only), "" if they differ. Pages
+    without a text outside of noise say nothing and don't count."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list] = {}
         for b in batches:
             for h, t in zip(b["host"], b["html"], strict=True):
-                items = own(parse(t or ""))
+                items, said = _own(parse(t or ""))
+                if not said:
+                    continue
                 if h in known:
                     known[h][0] = aligned(known[h][0], items)
-                    known[h][1] += 1
+                    if said != known[h][1]:
+                        known[h][1] = ""
                 else:
-                    known[h] = [items, 1]
-        yield pd.DataFrame([(h, json.dumps(w, ensure_ascii=False, separators=(",", ":")), n) for h, (w, n) in known.items()], columns=["host", "wrapper", "pages"])
+                    known[h] = [items, said]
+        yield pd.DataFrame([(h, json.dumps(w, ensure_ascii=False, separators=(",", ":")), only) for h, (w, only) in known.items()], columns=["host", "wrapper", "only"])
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("wrapper")
-        w, n = _aligned_json(part["wrapper"].tolist(), part["pages"].tolist())
-        return pd.DataFrame([(part["host"].iloc[0], w, n)], columns=["host", "wrapper", "pages"])
+        only = part["only"].iloc[0] if part["only"].nunique() == 1 else ""
+        return pd.DataFrame([(part["host"].iloc[0], _aligned_json(part["wrapper"].tolist()), only)], columns=["host", "wrapper", "only"])
 
     bounded_batches(pages.sparkSession, 200)
-    schema = "host string, wrapper string, pages long"
+    schema = "host string, wrapper string, only string"
     w = pages.select(host.alias("host"), F.col(html).alias("html")).mapInPandas(partial, schema)
     w = staged(w.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))), "partial-wrappers")
     w = w.groupBy("host", "salt").applyInPandas(lambda p: join(p), schema)
@@ -373,7 +382,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
     wrappers = staged(infer_wrappers(pages, host_of, html), "wrappers")
     size = wrappers.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("wrapper")), F.lit(0)).alias("chars")).first()
     host, w, n = fresh(pages, "wrapper_host", "wrapper_items", "wrapper_pages")
-    wrappers = wrappers.select(F.col("host").alias(host), F.col("wrapper").alias(w), F.col("pages").alias(n))
+    wrappers = wrappers.select(F.col("host").alias(host), F.col("wrapper").alias(w), F.when(F.col("only") == "", 2).otherwise(1).alias(n))
     if size["n"] <= BROADCAST_HOSTS and size["chars"] <= BROADCAST_CHARS:
         wrappers = F.broadcast(wrappers)
 
@@ -386,9 +395,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
                 if i not in ready:
                     if len(ready) > 2000:
                         ready.clear()
-                    ready[i] = Wrapper(json.loads(i or "[]"), int(c or 0))
+                    ready[i] = Wrapper(json.loads(i or "[]"), c)
                 out.append(ready[i].text(page))
             yield pd.Series(out, dtype=object)
 
     d = pages.withColumn(host, host_of).join(wrappers, host, "left")
-    return d.withColumn(text, apply(F.col(html), F.col(w), F.col(n))).drop(host, w, n)
+    return d.withColumn(text, apply(F.col(html), F.col(w), F.coalesce(n, F.lit(0)))).drop(host, w, n)
