@@ -120,6 +120,21 @@ def test_near_duplicates_in_blocks(docs, monkeypatch):
     assert {(r["id"], r["component_id"]) for r in near_dup.near_duplicates(docs, 2).collect()} == want
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_pools_beside_unrelated_pivots(spark, monkeypatch, few):
+    """Near copies in bands that have another document as the pivot, which rejects both."""
+    monkeypatch.setattr(near_dup, "FEW", few, raising=False)
+    rng = random.Random(11)
+    sketch = lambda: [rng.randrange(-(1 << 63), 1 << 63) for _ in range(near_dup.SKETCH_LONGS)]
+    rows = []
+    for band in range(5):
+        s, t = sketch(), sketch()
+        rows += [(band * 100 + i, 100 + i % 3 * 10, [band], {3: s, 4: s, 7: t, 8: t, 9: t}.get(i, sketch())) for i in range(40)]
+    reps = spark.createDataFrame(rows, "id long, n_shingles long, bands array<long>, sketch array<long>")
+    pools = {r["id"]: r["pool"] for r in near_dup.candidate_pools(reps).collect()}
+    assert pools == {b * 100 + i: b * 100 + (3 if i < 5 else 7) for b in range(5) for i in (3, 4, 7, 8, 9)}
+
+
 def test_odd_sketches_estimate(spark):
     rng = np.random.default_rng(1)
     for similarity in (0.7, 0.8, 0.95):

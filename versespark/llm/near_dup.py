@@ -5,14 +5,17 @@
    has a set bit for about each sample that they don't share.
 2. Documents with equal sets are a class, and only its smallest id goes on.
 3. Representatives that share a band meet the band's pivot (the one with the smallest hash; another order for each
-   band), never each other. The XOR population count of the two odd sketches estimates their similarity; pairs far below
-   the threshold are false candidates. What is left connects candidates into pools.
+   band). The XOR population count of the two odd sketches estimates their similarity; pairs far below the threshold are
+   false candidates. Those that a pivot rejects then meet all others of the band that have about their size and are not
+   so close to the pivot that their links would be close to it too. What is left connects candidates into pools.
 4. Links are confirmed on full shingle sets. A pool is dealt into chunks of bounded size; every member is held against
    the pool's pivots, then against each member that is still outside the pool's largest component. So all pairs
    of a pool that could join two components are compared, but no pairs are emitted but confirmed links.
 5. Components are found by alternating large-star and small-star steps on the links.
 
-With 36 bands of 5 rows, a pair of similarity 0.8 shares no band with a probability of 6e-7, more similar ones less.
+With 36 bands of 5 rows, a pair of similarity 0.8 shares no band with a probability of 6e-7, more similar ones less. Pairs
+that share one are lost only where estimates are off by some standard deviations. A band of many documents that are not
+alike costs time with the square of their number (sketches of 128 bytes in blocks), but no rows.
 
 Defined results: a document without words (null, empty or blank text) has no shingles and is linked with nothing; one with
 fewer words than a shingle has its whole sequence as one. Ids should be unique: a repeated row is in the class of its
@@ -40,8 +43,13 @@ SKETCH_LONGS = 16  # bits of an odd sketch: 64 times this
 PERCENT = 80
 #: Estimates this far below the threshold are no candidates: over five standard deviations.
 MARGIN = 0.3
+#: With an estimate of this much for a pivot, all documents linked with a member are at least MARGIN candidates of the pivot
+#: (distances obey the triangle inequality), but for 0.2 that the two estimates may be off together.
+TIGHT = 1 - MARGIN + 0.2
 #: Members of a pool that one task holds at a time, and the pivots of a pool.
 CHUNK, PIVOTS = 400, 8
+#: Members of a band that are joined row by row at most, and sketches that one task holds at a time beyond that.
+FEW, SKETCHES = 32, 4000
 SEED = 20_111
 
 _WORDS: dict[bytes, int] = {}
@@ -171,15 +179,64 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidate_pools(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """id, pool for the representatives (id, bands, sketch) that may have a link."""
-    keyed = reps.select("id", F.explode("bands").alias("key"))  # a key names its band too
+    """id, pool for the representatives (id, n_shingles, bands, sketch) that may have a link."""
+    keyed = reps.select("id", F.floor(F.log("n_shingles") / F.log(F.lit(100.01 / percent))).cast("int").alias("size"), F.explode("bands").alias("key"))  # a key names its band too
     order = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("id"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
-    pairs = keyed.join(full.select("key", F.col("first.id").alias("pivot")), "key").filter("id != pivot")
-    pairs = staged(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "band-pairs")
+    met = keyed.join(full.select("key", F.col("first.id").alias("pivot"), "n"), "key").filter("id != pivot")
+    met = staged(met.withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")}), "band-members")
+    least = percent / 100 - MARGIN
+    judged = staged(_estimated(met.select("a", "b").distinct(), reps).filter(F.col("e") >= least), "band-pairs")
+    close = judged.select("a", "b").unionByName(_rejected_pairs(met, judged, reps, least))
+    return components(close).select("id", F.col("component").alias("pool")).transform(_with_roots, "pool")
+
+
+def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b and e, the estimate of their similarity."""
     sketch = lambda c: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"))
-    close = pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - MARGIN)
-    return components(close.select("a", "b")).select("id", F.col("component").alias("pool")).transform(_with_roots, "pool")
+    return pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("e"))
+
+
+def _rejected_pairs(met: DataFrame, judged: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that connect what a band's pivot rejected with the candidates among the band's other members; those who
+    met the pivot as candidates are connected by it. Linked documents are at most one class of size apart."""
+    rest = met.filter("n > 2").join(judged, ["a", "b"], "left").filter(F.coalesce("e", F.lit(0.0)) < TIGHT)
+    rest = staged(rest.select("key", "size", "id", F.col("e").isNull().alias("rejected")), "band-rest")
+    asked = rest.filter("rejected").select("key", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), F.col("id").alias("asker"))
+    m = rest.groupBy("key", "size").agg(F.count("*").alias("members"))
+    q = asked.groupBy("key", "size").agg(F.count("*").alias("askers"))
+    groups = staged(m.join(q, ["key", "size"]), "band-sizes")
+    few = groups.filter(F.col("members") <= FEW).select("key", "size")
+    pairs = asked.join(few, ["key", "size"]).join(rest, ["key", "size"]).filter("asker != id").select(F.least("id", "asker").alias("a"), F.greatest("id", "asker").alias("b")).distinct()
+    found = _estimated(pairs, reps).filter(F.col("e") >= least).select("a", "b")
+    many = groups.filter(F.col("members") > FEW).withColumns({"chunks": F.ceil(F.col("members") / SKETCHES).cast("int"), "blocks": F.ceil(F.col("askers") / SKETCHES).cast("int")})
+    many = small_enough(staged(many, "band-blocks"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sketch = lambda c: reps.select(F.col("id").alias(c), "sketch")
+    keys = ["key", "size", "chunk", "block"]
+    left = rest.join(many, ["key", "size"]).withColumn("chunk", part("id", "chunks")).withColumn("block", every("blocks")).join(sketch("id"), "id").select(*keys, "id", "sketch")
+    right = asked.join(many, ["key", "size"]).withColumn("block", part("asker", "blocks")).withColumn("chunk", every("chunks")).join(sketch("asker"), "asker").select(*[F.col(c).alias(c) for c in keys], F.col("asker").alias("id"), F.col("sketch").alias("sketch"))
+    more = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(lambda x, y: _close_in_block(x, y, least), "a long, b long")
+    return staged(found.unionByName(more), "rejected-pairs")
+
+
+def _close_in_block(members: pd.DataFrame, asked: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Pairs that connect each of `asked` with all candidates of `members`: one for each part that isn't connected yet."""
+    links = []
+    if len(members) and len(asked):
+        ids, bits = members["id"].to_numpy(), 64 * SKETCH_LONGS
+        sketches = np.stack(members["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+        limit = bits / 2 * (1 - np.exp((least - 1) * 4 * BANDS * ROWS / bits))
+        label = np.arange(len(ids))
+        for i, s in zip(asked["id"].tolist(), asked["sketch"], strict=True):
+            odd = np.bitwise_count(sketches ^ np.asarray(s, np.int64).view(np.uint64)).sum(1, dtype=np.int64)
+            parts, at = np.unique(np.where(odd <= limit, label, -1), return_index=True)
+            near = parts[parts >= 0]
+            links += [(min(i, j), max(i, j)) for j in ids[at[parts >= 0]].tolist() if i != j]
+            if len(near) > 1:
+                label[np.isin(label, near)] = near[0]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def _with_roots(named: DataFrame, name: str) -> DataFrame:
@@ -241,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, doc
     some = signed.filter("n_shingles > 0")
     classes = staged(some.groupBy("c1", "c2").agg(F.min("id").alias("class_id")), "classes")
     reps = some.join(classes.filter("class_id is not null").select(F.col("class_id").alias("id"), "c1", "c2"), ["id", "c1", "c2"], "left_semi").dropDuplicates(["id", "c1", "c2"])
-    pools = staged(candidate_pools(reps.select("id", "bands", "sketch"), percent), "pools")
+    pools = staged(candidate_pools(reps.select("id", "n_shingles", "bands", "sketch"), percent), "pools")
     sets = staged(shingle_sets(docs, pools, width, doc_id, text), "shingle-sets", "lz4")
     w = Window.partitionBy("pool").orderBy(F.xxhash64("id"), "id")
     pivots = sets.select("id", "pool").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= PIVOTS).drop("r")
