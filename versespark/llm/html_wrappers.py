@@ -18,7 +18,8 @@ Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 
 Defined results: a null or empty html has the text ""; a null url is a host of its own; unclosed and stray tags are
 closed or skipped; a page cut off within a tag ends before it; repeated rows are extracted each; other columns pass
-through.
+through, but for a column of the result's name, which is replaced. Elements nested deeper than DEPTH become siblings, as
+in browsers, but stay what they are in: noise in noise, content in content. No text is lost by it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import hashlib
 import html as entities
 import json
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +43,8 @@ from .url_filter import url_parts
 BROADCAST_HOSTS, BROADCAST_CHARS = 100_000, 32 << 20
 #: Rounds of alignment: partial wrappers of a host meet in so many groups first.
 SALTS = 64
+#: Levels of a page's tree, and the calls of the interpreter that alignment takes for each.
+DEPTH, CALLS = 400, 8
 
 # Tags of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -126,7 +130,13 @@ def parse(text: str) -> list:
             if tag in ENDS_P:
                 close({"p"}, {"article", "section", "main", "div", "td", "th", "li", "body", "table", "blockquote", "button"})
             node = [label_of(tag, attrs), []]
-            stack[-1][1][1].append(node)
+            if len(stack) > DEPTH:
+                within = stack[-1][1][0]
+                if len(stack) > DEPTH + 1 and (is_noise(within) or may_hold_content(within) and not is_noise(node[0])):
+                    node[0] = within
+                stack[DEPTH - 1][1][1].append(node)
+            else:
+                stack[-1][1][1].append(node)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|\Z", re.I).search(text, at)
                 if tag not in SKIPPED:
@@ -179,33 +189,40 @@ def merged(a: list, b: list, repeated: bool = False) -> list:
 
 
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two lists of labels, as pairs of places."""
+    """A longest common subsequence of two lists of labels, as pairs of places.
+
+    Row by row, a number has a bit for each place of `a` whose suffix gains nothing by it, so a row takes a few operations
+    on long numbers, and memory is a bit for each pair of places."""
     lead = 0
     while lead < min(len(a), len(b)) and a[lead] == b[lead]:
         lead += 1
     out = [(i, i) for i in range(lead)]
     x, y = a[lead:], b[lead:]
-    if x and y:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                out.append((lead + i, lead + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    if not x or not y:
+        return out
+    n, full = len(x), (1 << len(x)) - 1
+    places: dict[str, int] = {}
+    for i, label in enumerate(x):
+        places[label] = places.get(label, 0) | 1 << (n - 1 - i)
+    rows = [full] * (len(y) + 1)
+    for j in range(len(y) - 1, -1, -1):
+        v = rows[j + 1]
+        hit = v & places.get(y[j], 0)
+        rows[j] = ((v + hit) | (v - hit)) & full
+    i = j = 0
+    while i < n and j < len(y):
+        if x[i] == y[j]:
+            out.append((lead + i, lead + j))
+            i, j = i + 1, j + 1
+        elif rows[j] >> (n - 1 - i) & 1:  # the suffix from i on is no better than the one behind it
+            i += 1
+        else:
+            j += 1
     return out
 
 
 def aligned(a: list, b: list) -> list:
     """Two lists of items as one: matches are merged, mismatches become optional, and neighbours of one kind repeated."""
-    if a == b:
-        return a
     out: list = []
 
     def put(item: list) -> None:
@@ -336,6 +353,11 @@ class Wrapper:
                 out.append((edge, False))
 
 
+def _room() -> None:
+    """Room for trees of DEPTH levels in a worker."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + CALLS * DEPTH))
+
+
 def _aligned_json(wrappers: list[str]) -> str:
     first, *rest = dict.fromkeys(wrappers)
     items = json.loads(first)
@@ -349,6 +371,7 @@ def infer_wrappers(pages: DataFrame, host: Column, html: str = "html") -> DataFr
     without a text outside of noise say nothing and don't count."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _room()
         known: dict[str, list] = {}
         for b in batches:
             for h, t in zip(b["host"], b["html"], strict=True):
@@ -364,6 +387,7 @@ def infer_wrappers(pages: DataFrame, host: Column, html: str = "html") -> DataFr
         yield pd.DataFrame([(h, json.dumps(w, ensure_ascii=False, separators=(",", ":")), only) for h, (w, only) in known.items()], columns=["host", "wrapper", "only"])
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
+        _room()
         part = part.sort_values("wrapper")
         only = part["only"].iloc[0] if part["only"].nunique() == 1 else ""
         return pd.DataFrame([(part["host"].iloc[0], _aligned_json(part["wrapper"].tolist()), only)], columns=["host", "wrapper", "only"])
@@ -388,6 +412,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", text: str =
 
     @F.pandas_udf("string")
     def apply(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        _room()
         ready: dict[str, Wrapper] = {}
         for t, items, count in parts:
             out = []
