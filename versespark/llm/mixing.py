@@ -6,6 +6,10 @@ tokens over its own. Weights are calibrated to inclusion probabilities, weight t
 expected tokens reach the budget, and each document is drawn by a hash of its id. A draw repeats exactly when a lost
 task is run again.
 
+Targets that contradict one another (a category that is only found with others of too small a share) can't all hold.
+Raking ends after ROUNDS rounds then, with the last margin exact, and `converged` is false: a share was still off by
+ERROR or more in the last round.
+
 The number of cells is a product of category counts. Up to CELLS of them are raked on the driver, which holds three
 numbers for each; larger tables are raked by the same steps as grouped aggregations.
 
@@ -49,20 +53,21 @@ def targets(cells: DataFrame, margin: str, given: dict[str, float]) -> DataFrame
     spark = cells.sparkSession
     there = cells.groupBy(F.col(margin).alias("category")).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
     named = spark.createDataFrame([(str(k), float(v)) for k, v in given.items()] or [("", 0.0)], "category string, share double").dropDuplicates(["category"])
-    t = there.join(F.broadcast(named), "category", "left")
-    sums = t.agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("given"), F.sum(F.when(F.col("share").isNull(), F.col("tokens"))).alias("others"))
-    t = t.join(F.broadcast(sums))
+    t = there.join(small_enough(named), "category", "left")
+    sums = t.agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("given"), F.sum(F.when(F.col("share").isNull(), F.col("tokens"))).alias("others")).first()
     # the others share the rest by their tokens; if there are none, or no rest, what is given is scaled to 1
-    rest = F.greatest(1 - F.col("given"), F.lit(0.0))
-    share = F.coalesce(F.col("share"), rest * F.col("tokens") / F.col("others"))
-    total = F.when(F.col("others").isNotNull(), F.col("given") + rest).otherwise(F.col("given"))
-    return t.select("category", (share / total).alias("target"))
+    rest = max(1 - sums["given"], 0.0)
+    share = F.coalesce(F.col("share"), F.lit(rest) * F.col("tokens") / F.lit(sums["others"]))
+    total = sums["given"] + rest if sums["others"] is not None else sums["given"]
+    return t.select("category", (share / F.lit(total)).alias("target"))
 
 
-def rake_rows(cells: list[tuple], want: list[dict[str, float]]) -> list[float]:
-    """Raked tokens of the cells (one category for each margin, then tokens), on the driver."""
+def rake_rows(cells: list[tuple], want: list[dict[str, float]]) -> tuple[list[float], float]:
+    """Raked tokens of the cells (one category for each margin, then tokens), on the driver, and the largest error of a share
+    in the last round."""
     total = sum(c[-1] for c in cells)
     x = [float(c[-1]) for c in cells]
+    worst = 0.0
     for _ in range(ROUNDS):
         worst = 0.0
         for m, shares in enumerate(want):
@@ -75,12 +80,13 @@ def rake_rows(cells: list[tuple], want: list[dict[str, float]]) -> list[float]:
             x = [v * scale[c[m]] for c, v in zip(cells, x, strict=True)]
         if worst < ERROR:
             break
-    return x
+    return x, worst
 
 
-def rake_frame(cells: DataFrame, want: list[DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake_frame(cells: DataFrame, want: list[DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, float]:
     """The same as grouped aggregations: cells with a column `raked`."""
     total = cells.agg(F.sum("tokens")).first()[0]
+    worst = 0.0
     d = cells.withColumn("raked", F.col("tokens").cast("double"))
     for _ in range(rounds):
         worst = 0.0
@@ -93,7 +99,7 @@ def rake_frame(cells: DataFrame, want: list[DataFrame], rounds: int = ROUNDS) ->
         d = staged(d, "raked")
         if worst < ERROR:
             break
-    return d
+    return d, worst
 
 
 def calibrated(cells: DataFrame, budget: float, steps: int = 60) -> DataFrame:
@@ -119,7 +125,7 @@ def uniform(key: Column) -> Column:
 
 
 def cell_weights(docs: DataFrame, want: dict[str, dict[str, float]], budget: float, cols: dict[str, Column], tokens: Column) -> DataFrame:
-    """source, lang, topic, tokens, raked, weight, probability of each cell of `docs`."""
+    """source, lang, topic, tokens, raked, weight, probability and converged of each cell of `docs`."""
     named = {m: F.coalesce(cols[m].cast("string"), F.lit(NULL)).alias(m) for m in MARGINS}
     cells = staged(docs.select(*named.values(), tokens.alias("tokens")).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
     shares = [targets(cells, m, want.get(m, {})) for m in MARGINS]
@@ -127,16 +133,18 @@ def cell_weights(docs: DataFrame, want: dict[str, dict[str, float]], budget: flo
     rows = full.select(*MARGINS, "tokens").limit(CELLS + 1).collect()
     if len(rows) <= CELLS:
         wanted = [{r["category"]: r["target"] for r in s.collect()} for s in shares]
-        raked = rake_rows([tuple(r) for r in rows], wanted)
+        raked, worst = rake_rows([tuple(r) for r in rows], wanted)
         spark: SparkSession = docs.sparkSession
         x = spark.createDataFrame([(*r[:3], v) for r, v in zip(rows, raked, strict=True)], "source string, lang string, topic string, raked double")
     else:
-        x = rake_frame(full.select(*MARGINS, "tokens"), [staged(s, "targets") for s in shares]).drop("tokens")
-    return calibrated(cells.join(small_enough(x), MARGINS, "left"), budget)
+        x, worst = rake_frame(full.select(*MARGINS, "tokens"), [staged(s, "targets") for s in shares])
+        x = x.drop("tokens")
+    return calibrated(cells.join(small_enough(x), MARGINS, "left"), budget).withColumn("converged", F.lit(worst < ERROR))
 
 
 def mix(docs: DataFrame, want: dict[str, dict[str, float]], budget: float = 0.5, doc_id: str = "doc_id", text: str = "text", source: Column | None = None, lang: Column | None = None, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """All rows of `docs` with a struct column `mix`: topic, tokens, weight, probability and drawn.
+    """All rows of `docs` with a struct column `mix`: topic, tokens, weight, probability, converged and drawn. A column of
+    that name in `docs` is replaced.
 
     `want` has the target shares of categories by margin ("source", "lang", "topic"); `budget` is the expected share of
     tokens that is drawn."""
@@ -145,10 +153,10 @@ def mix(docs: DataFrame, want: dict[str, dict[str, float]], budget: float = 0.5,
     count = tokens if tokens is not None else tokens_of(text_col)
     cells = staged(cell_weights(docs, want, budget, cols, count), "cell-weights")
     (cell, w) = fresh(docs, "mix_cell", "mix_weights")
-    weights = cells.select(F.struct(*MARGINS).alias(cell), F.struct("weight", "probability").alias(w))
+    weights = cells.select(F.struct(*MARGINS).alias(cell), F.struct("weight", "probability", "converged").alias(w))
     key = F.struct(*[F.coalesce(cols[m].cast("string"), F.lit(NULL)).alias(m) for m in MARGINS])
     d = docs.withColumn(cell, key).join(small_enough(weights), cell, "left")
     p = F.coalesce(F.col(w)["probability"], F.lit(1.0))
     drawn = uniform(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.coalesce(text_col, F.lit(""))))) < p
-    return d.withColumn("mix", F.struct(F.col(cell)["topic"].alias("topic"), count.alias("tokens"), F.col(w)["weight"].alias("weight"), p.alias("probability"), drawn.alias("drawn"))).select(*docs.columns, "mix")
+    return d.withColumn("mix", F.struct(F.col(cell)["topic"].alias("topic"), count.alias("tokens"), F.col(w)["weight"].alias("weight"), p.alias("probability"), F.col(w)["converged"].alias("converged"), drawn.alias("drawn"))).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "mix"], "mix")
 

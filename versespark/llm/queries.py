@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_wrappers, line_dedup, mixing, near_dup, permutation_index, quality, sql, substring_dedup, url_filter, warc
+from .url_labels import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,12 +66,12 @@ MIX = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "source": {"src0":
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs, MIX).select("doc_id", "mix.topic", "mix.tokens", F.round("mix.weight", 6).alias("weight"), F.round("mix.probability", 6).alias("probability"), "mix.drawn")
+    return mixing.mix(docs, MIX).select("doc_id", "mix.topic", "mix.tokens", F.round("mix.weight", 6).alias("weight"), F.round("mix.probability", 6).alias("probability"), "mix.converged", "mix.drawn")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filter.train(url_filter.labelled_by_rules(pages, URL_RULES))
+    model = url_filter.train(labelled_urls(spark))
     return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -7,6 +7,8 @@ from . import line_dedup, mixing, quality, warc
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
+LEAST = " ".join(f"WHEN '{m}' THEN {n}" for m, n in quality.LEAST.items())
+
 QUALITY = rf"""
 WITH doc AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, lang, source FROM documents),
 word AS (
@@ -21,40 +23,48 @@ often AS (SELECT k, i, w, x IS NOT NULL AND count(*) OVER (PARTITION BY k, x) >
 covered AS (SELECT k, w, max(often::INT) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM often),
 on_words AS (SELECT k, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, sum(c)::BIGINT AS n_repeat_words FROM covered GROUP BY k),
 line AS (SELECT k, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORDS})) AS l FROM doc),
-on_text AS (SELECT k, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines FROM line),
+on_text AS (SELECT k, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines FROM line),
 measured AS (
-  SELECT k, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines,
+  SELECT k, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_lines, n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM doc JOIN on_text USING (k) LEFT JOIN on_words USING (k)
 ),
 judged AS (
   SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
     100 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_symbols // greatest(n_words, 1) AS symbols,
-    1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_dup_lines // greatest(n_words, 1) AS dup_lines
+    1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines
   FROM measured
 ),
 ratio AS (UNPIVOT (SELECT k, lang, source, word_length, symbols, repeats, dup_lines FROM judged WHERE NOT base_failed) ON word_length, symbols, repeats, dup_lines INTO NAME measure VALUE x),
 rounded AS (SELECT *, x - x % (1::BIGINT << greatest(length(bin(x)) - 6, 0)) AS b FROM ratio),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY lang, source, measure ORDER BY b) AS r, count(*) OVER (PARTITION BY lang, source, measure) AS n,
-    row_number() OVER (PARTITION BY measure ORDER BY b) AS all_r, count(*) OVER (PARTITION BY measure) AS all_n
-  FROM rounded
+bucket AS (SELECT lang, source, measure, b, count(*)::BIGINT AS n FROM rounded GROUP BY ALL),
+-- a language's buckets with some documents' worth of all, a group's with as much of its language
+whole AS (SELECT measure, b, sum(n)::BIGINT AS n, sum(sum(n)) OVER (PARTITION BY measure)::BIGINT AS total FROM bucket GROUP BY measure, b),
+language AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, measure)::BIGINT AS total FROM (
+    SELECT lang, measure, b, sum(n)::BIGINT AS n FROM (
+      SELECT lang, measure, b, {quality.UNIT} * n AS n FROM bucket
+      UNION ALL SELECT lang, measure, b, {quality.UNIT * quality.PRIOR} * n // total FROM whole, (SELECT DISTINCT lang FROM bucket)
+    ) GROUP BY ALL
+  )
 ),
-quartile AS (
-  SELECT FALSE AS whole, lang, source, measure, max(n) AS n, min(b) FILTER (100 * r >= 25 * n) AS q1, min(b) FILTER (100 * r >= 75 * n) AS q3 FROM ranked GROUP BY lang, source, measure
-  UNION ALL
-  SELECT TRUE, NULL, NULL, measure, max(all_n), min(b) FILTER (100 * all_r >= 25 * all_n), min(b) FILTER (100 * all_r >= 75 * all_n) FROM ranked GROUP BY measure
+blend AS (
+  SELECT lang, source, measure, b, sum(n)::BIGINT AS n FROM (
+    SELECT lang, source, measure, b, {quality.UNIT} * n AS n FROM bucket
+    UNION ALL SELECT l.lang, source, measure, b, {quality.UNIT * quality.PRIOR} * n // total FROM language l JOIN (SELECT DISTINCT lang, source FROM bucket) g ON g.lang IS NOT DISTINCT FROM l.lang
+  ) GROUP BY ALL HAVING sum(n) > 0
 ),
+run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM blend),
+quartile AS (SELECT lang, source, measure, min(b) FILTER (100 * upto >= 25 * total) AS q1, min(b) FILTER (100 * upto >= 75 * total) AS q3 FROM run GROUP BY lang, source, measure),
 fence AS (
   SELECT *, q1 - {quality.REACH} * spread AS low, q3 + {quality.REACH} * spread AS high
-  FROM (SELECT *, greatest(q3 - q1, q3 // 10, CASE WHEN measure IN ('repeats', 'dup_lines') THEN 60 ELSE 20 END) AS spread FROM quartile)
+  FROM (SELECT *, greatest(q3 - q1, q3 // 10, CASE measure {LEAST} END) AS spread FROM quartile)
 ),
 outside AS (
   SELECT DISTINCT j.k
   FROM (UNPIVOT (SELECT k, lang, source, word_length, symbols, repeats, dup_lines FROM judged) ON word_length, symbols, repeats, dup_lines INTO NAME measure VALUE x) j
-  JOIN fence a ON a.whole AND a.measure = j.measure
-  LEFT JOIN fence f ON NOT f.whole AND f.measure = j.measure AND f.lang IS NOT DISTINCT FROM j.lang AND f.source IS NOT DISTINCT FROM j.source AND f.n >= {quality.MIN_GROUP}
-  WHERE j.x > coalesce(f.high, a.high) OR (j.measure = 'word_length' AND j.x < coalesce(f.low, a.low))
+  JOIN fence f ON f.measure = j.measure AND f.lang IS NOT DISTINCT FROM j.lang AND f.source IS NOT DISTINCT FROM j.source
+  WHERE j.x > f.high OR (j.measure = 'word_length' AND j.x < f.low)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND k NOT IN (SELECT k FROM outside) AS kept
 FROM judged
@@ -136,13 +146,13 @@ round AS (
   UNION ALL
   SELECT n + 1, e, max(e) OVER () AS worst, * EXCLUDE (n, e, worst) FROM {step} WHERE n < {mixing.ROUNDS} AND worst >= {mixing.ERROR}
 ),
-weighed AS (SELECT source, lang, topic, tokens, raked / tokens AS weight FROM round WHERE n = (SELECT max(n) FROM round)),
+weighed AS (SELECT source, lang, topic, tokens, raked / tokens AS weight, worst < {mixing.ERROR} AS converged FROM round WHERE n = (SELECT max(n) FROM round)),
 capped AS (
   SELECT *, coalesce(sum(tokens) OVER (ORDER BY weight DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS certain,
     sum(tokens * weight) OVER (ORDER BY weight RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open, sum(tokens) OVER () AS total FROM weighed
 ),
 factor AS (SELECT max(({budget} * total - certain) / open) AS c FROM capped)
 SELECT doc_id, topic, counted.tokens, round(weight, 6) AS weight, round(coalesce(least(1, weight * c), 1), 6) AS probability,
-  ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < coalesce(least(1, weight * c), 1) AS drawn
+  ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < coalesce(least(1, weight * c), 1) AS drawn, (SELECT bool_and(converged) FROM weighed) AS converged
 FROM counted CROSS JOIN factor LEFT JOIN weighed USING (source, lang, topic)
 """

@@ -17,7 +17,7 @@ from pyspark.ml.feature import HashingTF, NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, staged
 
 #: Labelled URLs that a model is fitted on at most; those with the smallest hashes are taken.
 TRAIN_ROWS = 20_000
@@ -91,18 +91,26 @@ class UrlModel:
 def train(labelled: DataFrame, host: str = "host", path: str = "path", blocked: str = "blocked", rows: int = TRAIN_ROWS) -> UrlModel:
     """Fit on at most `rows` labelled urls. Distinct urls with nulls in no column count; the smallest hashes are taken."""
     few = labelled.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(blocked).cast("double").alias("label")).na.drop().distinct()
-    few = few.orderBy(F.xxhash64("host", "path", "label"), "host", "path", "label").limit(rows).cache()
-    try:
-        classes = {r["label"]: r["count"] for r in few.groupBy("label").count().collect()}
-        if len(classes) < 2:
-            return UrlModel(None, next(iter(classes), 0.0))
-        # the two classes weigh the same, else the more frequent one swamps unseen hosts
-        total = sum(classes.values())
-        weight = F.when(F.col("label") == 1.0, total / (2 * classes[1.0])).otherwise(total / (2 * classes[0.0]))
-        data = _features(few, "host", "path", "features").withColumn("weight", weight)
-        return UrlModel(LogisticRegression(regParam=0.01, maxIter=30, weightCol="weight").fit(data), 0.0)
-    finally:
-        few.unpersist()
+    few = staged(few.orderBy(F.xxhash64("host", "path", "label"), "host", "path", "label").limit(rows), "labelled-urls")
+    classes = {r["label"]: r["count"] for r in few.groupBy("label").count().collect()}
+    if len(classes) < 2:
+        return UrlModel(None, next(iter(classes), 0.0))
+    # the two classes weigh the same, else the more frequent one swamps unseen hosts
+    total = sum(classes.values())
+    weight = F.when(F.col("label") == 1.0, total / (2 * classes[1.0])).otherwise(total / (2 * classes[0.0]))
+    data = _features(few, "host", "path", "features").withColumn("weight", weight)
+    return UrlModel(LogisticRegression(regParam=0.01, maxIter=30, weightCol="weight").fit(data), 0.0)
+
+
+def held_out_accuracy(labelled: DataFrame, folds: int = 4) -> float:
+    """The share of labelled urls that are judged right by models fitted without any url of their host."""
+    fold = F.pmod(F.xxhash64("host"), F.lit(folds))
+    right = total = 0
+    for k in range(folds):
+        model = train(labelled.filter(fold != k))
+        got = model.score(labelled.filter(fold == k), "host", "path", "score").agg(F.count("*").alias("n"), F.count_if((F.col("score") >= 0.5) == (F.col("blocked") == 1)).alias("right")).first()
+        right, total = right + got["right"], total + got["n"]
+    return right / max(total, 1)
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url") -> DataFrame:
@@ -115,9 +123,3 @@ def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url"
     verdict = F.when(F.coalesce(F.col(block), F.col(score) >= 0.5), "block").otherwise("allow")
     return df.withColumn("verdict", verdict).drop(block, score)
 
-
-def labelled_by_rules(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
-    """A labelled URL table from what rules already decide: host, path, blocked."""
-    host, path = url_parts(F.col(url))
-    _, block = matched_rule(F.col("host"), F.col("path"), rules)
-    return pages.select(host.alias("host"), path.alias("path")).withColumn("blocked", block.cast("int")).filter("blocked is not null")
