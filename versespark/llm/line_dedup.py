@@ -13,7 +13,8 @@ Repeated lines of less than `min_words` words in a row stay, wherever they stand
 lines of a run go with them.
 
 Counts are summed before shuffles and the earliest place is a minimum, so a very frequent passage costs no task more
-than another; the join back to it is an ordinary equi-join, whose hot keys adaptive execution splits.
+than another. The earliest places are written before windows are joined to them: few of them are broadcast, many are
+an ordinary equi-join, whose hot keys adaptive execution splits.
 
 Defined results: a null or empty text stays as it is; documents are never dropped, a document of which all is repeated
 keeps an empty text; rows with the same id and text are one document and get the same text; a null id comes after all
@@ -30,8 +31,8 @@ from .common import fresh, small_enough, staged
 MIN_WORDS = 50
 SPACE = r"\x20\x09-\x0D"
 
-#: Deleted runs of documents may be broadcast up to so many documents.
-BROADCAST_DOCS = 100_000
+#: Deleted runs may be broadcast up to so many documents and runs.
+BROADCAST_DOCS, BROADCAST_RUNS = 100_000, 1_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -74,7 +75,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     joined = windows.groupBy("a1", "a2").agg(twice(_place("at"))).filter("twice").drop("twice")
     found = windows.join(small_enough(staged(joined, "line-fingerprints")), ["a1", "a2"], "left_semi")
     first = found.groupBy("w1", "w2").agg(F.min(_place("first")).alias("earliest"), twice(_place("first"))).filter("twice").drop("twice")
-    later = found.join(first, ["w1", "w2"]).filter(_place("first") != F.col("earliest"))
+    # written first: a join to an aggregate on its own key could not split a very frequent passage
+    later = found.join(small_enough(staged(first, "line-passages")), ["w1", "w2"]).filter(_place("first") != F.col("earliest"))
     return later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
@@ -82,9 +84,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     """`docs` with the text column without its repeated runs; `removed` names a column for the number of deleted lines."""
     runs = staged(repeated_runs(docs, min_words, doc_id, text), "line-runs")
     key, rid, gone = fresh(docs, "line_key", "line_runs", "line_gone")
+    size = runs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("runs")).first()
     runs = runs.select(F.struct(F.col("id").alias("id"), F.col("th").alias("th")).alias(key), F.col("runs").alias(rid))
+    if size["docs"] <= BROADCAST_DOCS and size["runs"] <= BROADCAST_RUNS:
+        runs = F.broadcast(runs)
     d = docs.withColumn(key, F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("th")))
-    d = d.join(small_enough(runs, BROADCAST_DOCS), key, "left")
+    d = d.join(runs, key, "left")
     flagged = F.transform(lines_of(F.col(text)), lambda x, i: F.struct(x.alias("x"), F.exists(F.col(rid), lambda r: (r["first"] <= i) & (i <= r["last"])).alias("gone")))
     d = d.withColumn(gone, F.when(F.col(rid).isNotNull(), flagged))
     kept = F.array_join(F.transform(F.filter(F.col(gone), lambda v: ~v["gone"]), lambda v: v["x"]), "\n")
