@@ -1,6 +1,6 @@
 """WARC archives: write, read back, and merge capture indexes.
 
-Writing: each page is one HTTP capture. Equal payloads are found by their SHA-1 in one partial aggregation (digest ->
+Writing: each page is one HTTP capture. Files are bounded by records and by bytes, as they are read back whole. Equal payloads are found by their SHA-1 in one partial aggregation (digest ->
 largest id); the other copies become revisit records that name the kept response. Records are Spark text rows whose
 line separator is the blank line pair that ends a WARC record, so Spark's own writer commits the files.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, shared_dir, small_enough, staged
 
-#: Records of one archive file, which is read back as a whole.
-RECORDS_PER_FILE = 500
+#: Records of one archive file at most, and its bytes of payload: it is read back as a whole.
+RECORDS_PER_FILE, FILE_BYTES = 500, 512 << 20
 #: Captures of one key range of the merge.
 RANGE_ROWS = 20_000
 #: Captures get one date a second from here, in the order of their ids, where the caller has no date column.
@@ -96,7 +97,15 @@ def write_warc(pages: DataFrame, path: str, captured: str | None = None, min_byt
         dates = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(captured).alias("captured_at")).groupBy("page_id").agg(F.max("captured_at").alias("captured_at"))
         df = df.join(dates, "page_id", "left")
         at = F.coalesce(F.col("captured_at"), at)
-    df.select(record(at).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # files are cut by records, so long payloads go to files of their own with fewer records: a class for each octave
+    least = FILE_BYTES // RECORDS_PER_FILE
+    octave = F.greatest(F.lit(0), F.ceil(F.log2(F.col("payload_bytes") / least))).cast("int")
+    rows = df.select(record(at).alias("value"), F.when(F.col("payload_bytes") > least, octave).otherwise(0).alias("octave"))
+    sizes = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    octaves = range(max(0, math.ceil(math.log2(sizes / least))) + 1 if sizes > least else 1)
+    for k in octaves:
+        part = rows.filter(F.col("octave") == k) if len(octaves) > 1 else rows
+        part.select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, RECORDS_PER_FILE >> k)).text(path)
 
 
 def url_key(url: str) -> str:
