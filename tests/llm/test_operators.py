@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from versespark.llm import bpe, html_wrappers, line_dedup, mixing, near_dup, permutation_index, quality, substring_dedup, url_filter, warc
 from versespark.llm import queries as corpus_queries
+from versespark.llm.url_labels import labelled_urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,6 +209,26 @@ def test_quality_adapts_to_groups(spark):
     assert not got.pop(5000) and all(got.values())
 
 
+def test_quality_blends_small_groups(spark):
+    """A group's own documents count from the first on: the more there are, the less those of its language do."""
+    rng = random.Random(2)
+    text = lambda share: " ".join("#*" if rng.random() < share else "".join(rng.choices("abcdefgh", k=5)) for _ in range(120))
+    for n, fine in ((8, False), (60, True)):
+        rows = [(i, text(0.0), "en", "prose") for i in range(200)] + [(1000 + i, text(0.4), "en", "code") for i in range(n)] + [(2000, text(0.0), None, "other")]
+        got = {r["row"]["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert all(got[i] for i in (*range(200), 2000)) and [got[1000 + i] for i in range(n)] == [fine] * n
+
+
+def test_quality_sees_lines_that_are_often_repeated(spark):
+    rng = random.Random(3)
+    line = lambda k: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(k))
+    clean = [(i, "\n".join(line(12) for _ in range(12)), "en", "s") for i in range(40)]
+    bad = line(2)
+    rows = [*clean, (99, "\n".join([*[line(30) for _ in range(6)], *[bad] * 6]), "en", "s")]
+    got = {r["row"]["doc_id"]: (r["kept"], r["base_failed"]) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got.pop(99) == (False, False) and all(k for k, _ in got.values())
+
+
 def test_sketch_merges(spark):
     d = spark.range(5000).select((F.col("id") * 37 % 10007).alias("x"))
     b = d.select("x", quality.bucket(F.col("x")).alias("b")).collect()
@@ -274,6 +295,26 @@ def test_url_model_on_held_out_hosts(spark):
     assert url_filter.train(d.filter("false")).constant == 0.0
 
 
+def test_url_model_of_the_shipped_table(spark):
+    labelled = labelled_urls(spark)
+    assert labelled.count() == labelled.distinct().count() <= 200
+    assert url_filter.held_out_accuracy(labelled) > 0.85
+
+
+def test_long_pages_in_archives(spark, tmp_path, monkeypatch):
+    """Files are bounded by bytes: long pages share theirs with fewer others."""
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 8)
+    monkeypatch.setattr(warc, "FILE_BYTES", 8000)
+    rows = [(i, "http://x.y/", "x" * n) for i, n in enumerate([10, 900, 1001, 1500, 2500, 7000, 9000, 30000, 0] * 4)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    got = warc.read_warc(spark, str(tmp_path / "w")).select("page_id", "payload_bytes", "file").collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(i, len(h)) for i, _, h in rows]
+    sizes = collections.defaultdict(list)
+    for r in got:
+        sizes[r["file"]].append(r["payload_bytes"])
+    assert all(sum(v) <= 8000 or len(v) == 1 for v in sizes.values())
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>x</p>", "", None, "a\r\n\r\nWARC/1.1\r\n\r\n", "é" * 3000, "<p>x</p>", "", "<p>x</p>"]
     rows = [(i, None if i == 4 else f"http://{'ab'[i % 2]}.example.com/p q%20/{i}\n", h, "clash") for i, h in enumerate(html)]
@@ -355,37 +396,82 @@ def test_html_texts_are_compared_whole(spark):
     assert got == {i: f"{lead}{i}" for i in range(4)} | {10 + i: "Head\ntext" for i in range(3)} | {20: "", 21: ""}
 
 
+def test_html_of_deep_pages(spark):
+    """Trees of any depth: what is too deep stays in what it is in."""
+    deep = "<div>" * 10_000
+    rows = [(0, "http://a.x/", f"{deep}<article><p>hi <b>there</b></p><nav><ul><li>menu</li></ul></nav><p>you</p></article>"), (1, "http://b.x/", "<b>" * 20_000 + "bold"), (2, "http://c.x/", f"<article>{deep}in<nav>no</nav></article>"), (3, "http://d.x/", "<article>" + "<p>word</p>" * 100_000 + "</article>")]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].split() == ["hi", "there", "you"] and got[1] == "bold" and got[2] == "in" and got[3] == "\n".join(["word"] * 100_000)
+
+
+def test_longest_common_labels():
+    rng = random.Random(8)
+    for _ in range(400):
+        a, b = (rng.choices("abcd", k=rng.randrange(12)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        got = html_wrappers.matches(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(p < q and x < y for (p, x), (q, y) in zip(got, got[1:]))
+
+
 def test_wrapper_alignment():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><div>d</div><p>y</p>"]
     items = html_wrappers.aligned(*[html_wrappers.own(html_wrappers.parse(p)) for p in pages])
     assert html_wrappers.expression(items) == "<ul>(<li>#text</li>)+</ul>(<div>d</div>)?<p>#text</p>"
 
 
-def test_permutation_index(spark):
-    rng = np.random.default_rng(7)
-    x = rng.normal(size=(1200, 24)).astype("float32")
-    x[50:90] = x[50]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    bad = [(5000, None), (5020, [0.0] * 24), (5040, [float("nan")] * 24), (5060, [float("inf")] + [1.0] * 23), (5080, [])]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").unionByName(spark.createDataFrame(bad, "vec_id long, embedding array<float>"))
+def neighbours(d, recall_of, **options):
+    """The mean share of the true 20 neighbours that are found, with ranks, order and scores checked."""
     got = collections.defaultdict(list)
-    for r in permutation_index.nearest(d, F.col("vec_id") % 20 == 0).collect():
+    for r in permutation_index.nearest(d, F.col("vec_id") % 20 == 0, **options).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 1200, 20))
+    ids, x = recall_of
     x, recall = x.astype(float), []
+    place = {i: k for k, i in enumerate(ids.tolist())}
+    assert set(got) == {i for i in place if i % 20 == 0}
     for q, found in got.items():
         found.sort()
         assert [f[0] for f in found] == list(range(1, 21)) and found == sorted(found, key=lambda f: (-f[2], f[1]))
-        score = x @ x[q]
-        assert all(abs(score[v] - s) < 1e-9 and v != q for _, v, s in found)
-        score[q] = -np.inf
-        best = np.lexsort((np.arange(len(x)), -np.round(score, 9)))[:20]
-        recall.append(len({v for _, v, _ in found} & set(best.tolist())) / 20)
-    assert np.mean(recall) >= 0.9
+        score = x @ x[place[q]]
+        assert all(abs(score[place[v]] - s) <= 1e-9 * max(1, abs(s)) and v != q for _, v, s in found)
+        score[place[q]] = -np.inf
+        best = np.lexsort((ids, -np.round(score, 9)))[:20]
+        recall.append(len({v for _, v, _ in found} & set(ids[best].tolist())) / 20)
+    return np.mean(recall)
+
+
+def test_permutation_index(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 24)).astype("float32")
+    x[50:90] = x[50]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(5000, None), (5020, [0.0] * 24), (5040, [float("nan")] * 24), (5060, [float("inf")] + [1.0] * 23), (5080, []), (5100, [None] + [1.0] * 23), (None, [1.0] * 24)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").unionByName(spark.createDataFrame(bad, "vec_id long, embedding array<float>"))
+    d = d.withColumns({c: F.lit(1) for c in ("vec", "dim", "near", "rank", "score", "query_id", "h", "shard")})
+    assert neighbours(d, (np.arange(1200), x)) >= 0.9
     few = permutation_index.nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"), F.col("vec_id") == 0)
     assert few.count() == 2 and permutation_index.nearest(d.filter("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.3, 1.0])
+def test_permutation_index_of_unequal_norms(spark, spread):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(3000, 32)) * np.exp(rng.normal(size=(3000, 1)) * spread)).astype("float32")
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert neighbours(d, (np.arange(3000), x)) >= 0.9
+
+
+def test_permutation_index_of_the_given_vectors(spark):
+    """The registered query's recall, with a tenth of the rows reranked."""
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in d.collect() if r["embedding"] is not None and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
+    assert permutation_index.SHARE <= 0.1
+    assert neighbours(d, (np.array([i for i, _ in rows]), np.array([v for _, v in rows]))) >= 0.9
+
+
 def test_mixing(spark, docs, nothing):
     want = {"lang": {"en": 0.7}, "source": {"s0": 0.5, "s1": 0.2}}
     topic = F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")
@@ -415,7 +501,7 @@ def test_empty_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(pages, str(tmp_path / "w"))
     assert warc.merge_index(warc.read_warc(spark, str(tmp_path / "w"))).count() == 0
-    model = url_filter.train(url_filter.labelled_by_rules(pages, RULES))
+    model = url_filter.train(labelled_urls(spark))
     assert url_filter.judge(pages, RULES, model).count() == 0
     assert bpe.encode_decode(pages.select("page_id", F.col("html").alias("text")), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
