@@ -60,21 +60,29 @@ def normal(nfd: Column) -> Column:
 
 def romanized(nfd: Column) -> Column:
     """Keyboard spelling of decomposed text: consonants carry an "a", which a vowel sign or virama takes away; words lose a
-    final "a"."""
+    final "a". Text without a letter or sign of the script skips its rules."""
+    spelt = F.when(nfd.rlike(r"[\u0900-\u097F]"), normal(_spelt(nfd))).otherwise(normal(F.translate(nfd, JOINERS, "")))
+    return F.regexp_replace(spelt, "a(?![A-Za-z0-9_])", "")
+
+
+def _spelt(nfd: Column) -> Column:
     x = replaced(nfd, [(k, v + "a") for k, v in CONSONANTS.items()])
     x = replaced(x, VOWELS.items())
     for sign, v in MATRAS.items():
         x = F.regexp_replace(x, "a?" + sign, v)
     x = F.regexp_replace(x, "a?" + VIRAMA, "")
     x = F.regexp_replace(x, f"[{NASALS}]", "n")
-    x = F.translate(F.replace(x, F.lit(VISARGA), F.lit("h")), JOINERS, "")
-    return F.regexp_replace(normal(x), "a(?![A-Za-z0-9_])", "")
+    return F.translate(F.replace(x, F.lit(VISARGA), F.lit("h")), JOINERS, "")
+
+
+# Keyboard spellings that count as one, in this order.
+SPELLINGS = [("aa", "a"), ("ee|ii", "i"), ("oo|uu", "u"), ("w", "v"), ("sh", "s"), ("ph", "f")]
 
 
 def folded(roman: Column) -> Column:
     """Common keyboard spellings as one."""
-    for pattern, to in (("aa", "a"), ("ee|ii", "i"), ("oo|uu", "u"), ("w", "v"), ("sh", "s"), ("ph", "f")):
-        roman = F.regexp_replace(roman, pattern, to)
+    for pattern, to in SPELLINGS:
+        roman = F.regexp_replace(roman, pattern, to) if "|" in pattern else F.replace(roman, F.lit(pattern), F.lit(to))
     return roman
 
 

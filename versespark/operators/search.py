@@ -1,16 +1,21 @@
 """Ranked, transliteration-aware search of many queries over many documents, as joins and aggregations.
 
-Documents are exploded to fields and words. Everything that depends on a word alone (normal form, spelling, stems, sounds)
-is worked out once for each distinct word. Query terms are joined to distinct words first - by stem, by a prefix key, by
-sound, or by substring for terms that aren't plain letters - and only the words found are joined to their occurrences.
-Strengths then aggregate from words to fields to documents.
-
-Queries: query_id, query and optionally `phrase` (boolean) and `section` (empty or null: all). Documents (pads): mode, id,
-title, section, subtopic, raag, taal, form, headings, verses, notes (arrays of strings), search_number.
+An index is built once: documents are exploded to fields and words, and each word's places in a document are one row
+(postings). Everything that depends on a word alone (normal form, spelling, stems, sounds) is worked out once for each
+distinct word. The distinct terms of all queries meet distinct words first - by stem, by a prefix key, by sound, or by
+character trigrams for terms that aren't plain letters - and the words found meet their postings once, however many
+queries share a term. Section and collection filter before anything is scored; places are compared only for documents
+that have all terms of a query; the field to show is worked out for the results that are shown.
+
+Queries: query_id, query and optionally `phrase` (boolean), `section` and `scope` (a collection; empty or null: all).
+Documents (pads): mode, id, title, section, subtopic, raag, taal, form, headings, verses, notes (arrays of strings),
+search_number.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +24,8 @@ from ..sources.staging import staged
 
 METADATA = ["section", "subtopic", "raag", "taal", "form"]
 PREFIX = 4
-FIELD = ["mode", "id", "field_no", "kind"]
+KINDS = ["title", "metadata", "heading", "verse", "footnote", "name"]
+GRAM = 3
 DOC = ["query_id", "mode", "id"]
 #: A query table is broadcast up to so many terms.
 BROADCAST_TERMS = 200_000
@@ -39,17 +45,27 @@ def search_fields(pads: DataFrame) -> DataFrame:
     return pads.select("mode", "id", "section", F.posexplode(fields).alias("field_no", "x")).select("mode", "id", "section", "field_no", "x.kind", "x.text")
 
 
-def occurrences(fields: DataFrame) -> DataFrame:
-    """mode, id, field_no, kind, pos, body_pos, word: the raw words of each field. A field without words has one empty word.
-    body_pos counts on through the verses of a document."""
-    plain = F.translate(F.col("text"), T.JOINERS, "")
-    words = F.filter(F.split(plain, T.SEPARATOR), lambda w: w != "")
-    words = F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))
-    d = fields.select(*FIELD, words.alias("words"))
+def field_words(fields: DataFrame) -> DataFrame:
+    """fields with their raw words; a field without words has one empty word."""
+    words = F.filter(F.split(F.translate(F.col("text"), T.JOINERS, ""), T.SEPARATOR), lambda w: w != "")
+    return fields.withColumn("words", F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(""))))
+
+
+def field_key(field_no: Column, kind: Column) -> Column:
+    """A field's number and kind as one number, which sorts by the field."""
+    return field_no.cast("long") * 8 + F.array_position(F.array(*map(F.lit, KINDS)), kind) - 1
+
+
+def postings_of(fields: DataFrame) -> DataFrame:
+    """word, mode, id, section, places, body: a document's places of a word. A place is the field's key and the word's number
+    in it; in `body`, words are counted on through the verses. The document's rows stay together, so there is one shuffle."""
+    d = field_words(fields)
     w = Window.partitionBy("mode", "id").orderBy("field_no").rowsBetween(Window.unboundedPreceding, -1)
     verse = F.col("kind") == "verse"
     d = d.withColumn("before", F.when(verse, F.coalesce(F.sum(F.when(verse, F.size("words"))).over(w), F.lit(0))))
-    return d.select(*FIELD, "before", F.posexplode("words").alias("pos", "word")).withColumn("body_pos", F.col("before") + F.col("pos")).drop("before")
+    d = d.select("mode", "id", "section", "before", field_key(F.col("field_no"), F.col("kind")).alias("field"), F.posexplode("words").alias("pos", "word"))
+    place = F.call_function("shiftleft", F.col("field"), F.lit(32)) + F.col("pos")
+    return d.groupBy("mode", "id", "section", "word").agg(F.collect_list(place).alias("places"), F.collect_list(F.col("before") + F.col("pos")).alias("body"))
 
 
 def word_dim(words: DataFrame) -> DataFrame:
@@ -60,10 +76,19 @@ def word_dim(words: DataFrame) -> DataFrame:
     return d.withColumn("sounds", F.transform("search_stems", T.sound))
 
 
-def token_index(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The occurrences of fields and what depends on their words, written once for all uses."""
-    occ = staged(occurrences(fields), "search-tokens")
-    return occ, staged(word_dim(occ), "search-word-dim")
+@dataclass(frozen=True)
+class Index:
+    """What many searches share: the fields (recomputed when asked), and the staged postings and words."""
+
+    fields: DataFrame
+    postings: DataFrame
+    dim: DataFrame
+
+
+def build_index(pads: DataFrame | None = None, fields: DataFrame | None = None) -> Index:
+    fields = search_fields(pads) if fields is None else fields
+    postings = staged(postings_of(fields), "search-postings")
+    return Index(fields, postings, staged(word_dim(postings), "search-words"))
 
 
 def analysed(queries: DataFrame) -> DataFrame:
@@ -75,7 +100,8 @@ def analysed(queries: DataFrame) -> DataFrame:
     blank = F.regexp_replace(F.coalesce("query", F.lit("")), f"[{T.BLANK}]", "") == ""
     cls = F.when(F.coalesce("q", F.lit("")) == "", F.when(blank, "empty").otherwise("none")).when(number != "", "number").otherwise("terms")
     quoted = T.is_quoted(F.coalesce("query", F.lit("")))
-    return d.select("query_id", "query", "q", (flag | quoted).alias("phrase"), section.alias("section"), cls.alias("cls"), F.when(number != "", number.try_cast("long")).alias("number"))
+    scope = F.nullif(F.col("scope"), F.lit("")) if "scope" in queries.columns else F.lit(None).cast("string")
+    return d.select("query_id", "query", "q", (flag | quoted).alias("phrase"), section.alias("section"), scope.alias("scope"), cls.alias("cls"), F.when(number != "", number.try_cast("long")).alias("number"))
 
 
 def terms_of(analysed_queries: DataFrame) -> DataFrame:
@@ -87,9 +113,8 @@ def terms_of(analysed_queries: DataFrame) -> DataFrame:
     return d.withColumns({"n_terms": F.count("*").over(w), "n_other": F.count_if(~F.col("latin")).over(w)})
 
 
-def matched_words(terms: DataFrame, dim: DataFrame) -> DataFrame:
-    """query_id, term_no, word, strength: 3 for a substring, 2 for a stem or its beginning, 1 for a sound."""
-    keys = ["query_id", "term_no"]
+def matched_words(terms: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, word, strength: 3 for a substring, 2 for a stem or its beginning, 1 for a sound."""
     latin, other = terms.filter("latin"), terms.filter("not latin")
     stems = dim.select("word", F.explode("search_stems").alias("s"))
     exact = stems.join(small(latin.select(*keys, F.col("roman").alias("s"))), "s").select(*keys, "word", F.lit(2).alias("strength"))
@@ -99,83 +124,128 @@ def matched_words(terms: DataFrame, dim: DataFrame) -> DataFrame:
     heard = latin.filter(~F.col("phrase") & (F.length("text") >= 4) & (F.length("sound") >= 3)).select(*keys, F.col("sound").alias("snd"))
     sounds = dim.select("word", F.explode("sounds").alias("snd"))
     phonetic = sounds.join(small(heard), "snd").select(*keys, "word", F.lit(1).alias("strength"))
-    # substrings: terms that aren't plain letters against distinct words, in blocks of the word table
-    inside = dim.select("word", "normal").join(small(other.select(*keys, F.col("text").alias("t"))), F.contains("normal", "t")).select(*keys, "word", F.lit(3).alias("strength"))
-    return exact.unionByName(prefix).unionByName(phonetic).unionByName(inside).groupBy(*keys, "word").agg(F.max("strength").alias("strength"))
-
-
-def _in_place(dim: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, term_no, n_terms, word: words that are a term of a query with plain letters, as a whole."""
-    asked = small(terms.filter(F.col("n_other") < F.col("n_terms")).select("query_id", "term_no", "n_terms", "latin", F.when(F.col("latin"), F.col("roman")).otherwise(F.col("text")).alias("key")))
-    by_stem = dim.join(asked.filter("latin"), F.col("stem") == F.col("key"))
-    by_word = dim.join(asked.filter("not latin"), F.col("normal") == F.col("key"))
-    return by_stem.unionByName(by_word).select("query_id", "term_no", "n_terms", "word")
+    found = exact.unionByName(prefix).unionByName(phonetic)
+    # substrings: words by all their grams, terms by their first one (of three characters, if they have so many)
+    for n in sorted(r[0] for r in other.select(F.least(F.length("text"), F.lit(GRAM))).distinct().collect()):
+        gram = lambda c, i, n=n: c.substr(i, F.lit(n))
+        of_word = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("normal") - n + 1), lambda i: gram(F.col("normal"), i)))
+        words = dim.filter(F.length("normal") >= n).select("word", "normal", F.explode(of_word).alias("gram"))
+        asked = other.filter(F.least(F.length("text"), F.lit(GRAM)) == n).select(*keys, F.col("text").alias("t"), gram(F.col("text"), F.lit(1)).alias("gram"))
+        found = found.unionByName(words.join(small(asked), "gram").filter(F.contains("normal", "t")).select(*keys, "word", F.lit(3).alias("strength")))
+    return found.groupBy(*keys, "word").agg(F.max("strength").alias("strength"))
 
 
-def _positional(occ: DataFrame, in_place: DataFrame, place: str, group: list[str]) -> DataFrame:
-    """DOC + group: where all terms of a query stand one after the other, each as its own word."""
-    hit = occ.join(in_place, "word").withColumn("start", F.col(place) - F.col("term_no"))
-    keys = ["query_id", "mode", "id", *group]
-    return hit.groupBy(*keys, "start").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms")).filter("n = n_terms").select(keys).distinct()
+@dataclass(frozen=True)
+class Asked:
+    """A batch of queries: as analysed, by term (each with the number of its distinct term), and what their terms found."""
 
+    queries: DataFrame
+    terms: DataFrame
+    words: DataFrame
 
-def _substring(candidates: DataFrame, occ: DataFrame, dim: DataFrame, queries: DataFrame, terms: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """DOC + group: where a query of other terms only stands in the normal text, also within words."""
-    plain = terms.filter("n_other = n_terms").select("query_id").distinct()
-    asked = small(queries.join(plain, "query_id", "left_semi").select("query_id", "q"))
-    docs = candidates.join(asked, "query_id")
-    mine = occ.join(docs.select("mode", "id").distinct(), ["mode", "id"], "left_semi").join(dim.select("word", "normal"), "word")
-    texts = mine.groupBy("mode", "id", *group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "normal"))), lambda x: x["normal"]), " ").alias("text"))
-    return docs.join(texts, ["mode", "id"]).filter(F.contains("text", "q")).select("query_id", "mode", "id", *group).distinct()
 
-
-def search(pads: DataFrame, queries: DataFrame, fields: DataFrame | None = None) -> DataFrame:
-    """query_id, mode, id, score, match_kind, snippet_field, snippet_kind, rank for queries of terms; numbers too.
-
-    snippet_field is the field to show, whose kind is snippet_kind; rank counts within query and mode, by score and id."""
-    fields = search_fields(pads) if fields is None else fields
+def ask(index: Index, queries: DataFrame) -> Asked:
     q = staged(analysed(queries), "search-queries")
-    terms = staged(terms_of(q), "search-terms")
-    occ, dim = token_index(fields)
-    found = staged(matched_words(terms, dim), "search-words")
-    meta = small(terms.select("query_id", "term_no", "n_terms", "n_other", "phrase"))
-    hits = occ.join(small(found), "word").groupBy("query_id", "term_no", *FIELD).agg(F.max("strength").alias("strength"))
-    hits = hits.join(meta, ["query_id", "term_no"])
-    # by field, then by document
-    field = hits.groupBy(*DOC, "field_no", "kind", "n_terms").agg(F.count("*").alias("hits"), F.sum("strength").alias("sum"))
-    shown = F.struct((F.col("hits") * 10 + F.col("sum") + (F.col("kind") == "verse").cast("int")).alias("best"), (-F.col("field_no")).alias("first"), "kind")
-    by_field = field.groupBy(*DOC).agg(F.max(shown).alias("shown"), F.bool_or((F.col("field_no") == 0) & (F.col("hits") == F.col("n_terms"))).alias("title"))
-    term = hits.groupBy(*DOC, "term_no", "n_terms", "phrase").agg(F.max("strength").alias("strength"))
-    by_doc = term.groupBy(*DOC).agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.min("strength").alias("quality"), F.first("phrase").alias("phrase")).filter("n = n_terms")
-    allowed = pads.select("mode", "id", F.coalesce("section", F.lit("")).alias("pad_section"))
-    wanted = small(q.select("query_id", F.col("section").alias("asked")))
-    docs = by_doc.join(wanted, "query_id").join(allowed, ["mode", "id"]).filter((F.col("asked") == "") | (F.col("asked") == F.col("pad_section")))
-    docs = staged(docs.join(by_field, DOC), "search-candidates")
-
-    body = occ.filter("body_pos is not null")
-    in_place = small(staged(_in_place(dim, terms), "search-in-place"))
-    fields_hit = _positional(occ, in_place, "pos", ["field_no"]).unionByName(_substring(docs.select(DOC), occ, dim, q, terms, ["field_no"], ["pos"]))
-    body_hit = _positional(body, in_place, "body_pos", []).unionByName(_substring(docs.select(DOC), body, dim, q, terms, [], ["body_pos"]))
-    phrase = fields_hit.select(*DOC, (F.col("field_no") == 0).alias("bonus")).unionByName(body_hit.withColumn("bonus", F.lit(True)))
+    terms = staged(terms_of(q).withColumn("term", F.concat_ws(" ", "phrase", "text")), "search-terms")
+    distinct = terms.select("term", "text", "latin", "roman", "sound", "phrase").distinct()
+    found = matched_words(distinct, index.dim, ["term"])
+    # words that are the term as a whole: by stem, or by normal form where it isn't plain letters
+    found = index.dim.select("word", "stem", "normal").join(small(staged(found, "search-found")), "word")
+    whole = (F.col("latin") & (F.col("stem") == F.col("roman"))) | (~F.col("latin") & (F.col("normal") == F.col("text")))
+    found = found.join(small(distinct.select("term", "latin", "roman", "text")), "term").select("term", "word", "strength", whole.alias("whole"))
+    return Asked(q, terms, staged(found, "search-found"))
+
+
+def term_hits(index: Index, asked: Asked) -> DataFrame:
+    """term, mode, id, section, strength, title (whether it is in the title), and the places where it stands as a whole."""
+    hit = index.postings.join(small(asked.words), "word")
+    own = lambda c: F.flatten(F.collect_list(F.when(F.col("whole"), F.col(c))))
+    in_title = F.bool_or(F.array_min("places") < F.lit(8 << 32))
+    d = hit.groupBy("term", "mode", "id", "section").agg(F.max("strength").alias("strength"), in_title.alias("title"), own("places").alias("places"), own("body").alias("body"))
+    return d.withColumn("n_places", F.size("places"))
+
+
+def search(pads: DataFrame, queries: DataFrame, index: Index | None = None, snippets: bool = True) -> DataFrame:
+    """query_id, mode, id, score, match_kind, rank for queries of terms; numbers too. With `snippets`, also the field to show
+    and its kind; it costs less to add them to what is left of the results (with_snippets).
+
+    rank counts within query and mode, by score and id."""
+    index = build_index(pads) if index is None else index
+    asked = ask(index, queries)
+    hits = staged(term_hits(index, asked), "search-hits")
+    terms = asked.terms.select("query_id", "term_no", "term", "n_terms", "n_other").join(small(asked.queries.select("query_id", "phrase", F.col("section").alias("asked"), "scope")), "query_id")
+    terms = staged(terms, "search-asked")
+    allowed = ((F.col("asked") == "") | (F.col("asked") == F.coalesce("section", F.lit("")))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode")))
+    docs = hits.drop("places", "body").join(small(terms), "term").filter(allowed)
+    docs = docs.groupBy(*DOC).agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.first("n_other").alias("n_other"), F.first("phrase").alias("phrase"), F.min("strength").alias("quality"), F.bool_and("title").alias("title"), F.min("n_places").alias("n_places"))
+    docs = staged(docs.filter("n = n_terms").drop("n"), "search-candidates")
+    phrase = _in_order(docs, hits, terms).unionByName(_substring(index, docs, asked))
     phrase = phrase.groupBy(*DOC).agg(F.max("bonus").alias("bonus"), F.lit(True).alias("some"))
     docs = docs.join(phrase, DOC, "left").filter(~F.col("phrase") | F.coalesce("some", F.lit(False)))
     score = F.col("quality") * 100 + F.when(F.col("title"), 50).otherwise(0) + F.when(F.coalesce("bonus", F.lit(False)), 20).otherwise(0)
-    docs = docs.select(*DOC, score.cast("int").alias("score"), F.when(F.col("quality") == 1, "approximate").otherwise("exact").alias("match_kind"), (-F.col("shown.first")).alias("snippet_field"), F.col("shown.kind").alias("snippet_kind"))
-    return ranked(docs.unionByName(by_number(pads, q)))
+    docs = docs.select(*DOC, score.cast("int").alias("score"), F.when(F.col("quality") == 1, "approximate").otherwise("exact").alias("match_kind"))
+    found = ranked(docs.unionByName(by_number(pads, asked.queries)))
+    return with_snippets(index, found, asked) if snippets else found
+
+
+def _in_order(docs: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """DOC, bonus: documents where all terms of a query stand one after the other, each as its own word, in a field or through
+    the verses; bonus where it isn't a field other than the title."""
+    d = docs.filter((F.col("n_other") < F.col("n_terms")) & (F.col("n_places") > 0)).select(*DOC)
+    d = d.join(small(terms.select("query_id", "term_no", "term")), "query_id")
+    d = d.join(hits.select("term", "mode", "id", "places", "body"), ["term", "mode", "id"])
+    start = lambda c: F.transform(c, lambda x: x - F.col("term_no"))
+    d = d.groupBy(*DOC).agg(F.collect_list(F.struct(start("places").alias("places"), start("body").alias("body"))).alias("t"))
+    common = lambda c: F.aggregate("t", F.get("t", F.lit(0))[c], lambda a, x: F.array_intersect(a, x[c]))
+    d = d.select(*DOC, common("places").alias("places"), common("body").alias("body"))
+    d = d.withColumn("bonus", (F.size("body") > 0) | F.coalesce(F.array_min("places") < F.lit(8 << 32), F.lit(False)))
+    return d.filter((F.size("places") > 0) | (F.size("body") > 0)).select(*DOC, "bonus")
+
+
+def _substring(index: Index, docs: DataFrame, asked: Asked) -> DataFrame:
+    """DOC, bonus: where a query of other terms only stands in the normal text, also within words."""
+    d = docs.filter("n_other = n_terms").select(*DOC).join(small(asked.queries.select("query_id", "q")), "query_id")
+    d = staged(d, "search-substrings")
+    mine = field_words(index.fields.join(small(d.select("mode", "id").distinct()), ["mode", "id"], "left_semi"))
+    words = mine.select("mode", "id", "field_no", "kind", F.posexplode("words").alias("pos", "word")).join(index.dim.select("word", "normal"), "word")
+    text = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["normal"]), " ")
+    texts = words.groupBy("mode", "id", "field_no", "kind").agg(text(F.collect_list(F.struct("pos", "normal"))).alias("normal"))
+    texts = texts.groupBy("mode", "id").agg(F.collect_list(F.struct("field_no", "normal")).alias("all"), text(F.collect_list(F.when(F.col("kind") == "verse", F.struct("field_no", "normal")))).alias("body"))
+    hit = d.join(texts, ["mode", "id"]).withColumn("fields", F.filter("all", lambda x: F.contains(x["normal"], F.col("q"))))
+    in_body = F.contains("body", "q")
+    return hit.filter((F.size("fields") > 0) | in_body).select(*DOC, (in_body | F.exists("fields", lambda x: x["field_no"] == 0)).alias("bonus"))
+
+
+def with_snippets(index: Index, results: DataFrame, asked: Asked | DataFrame) -> DataFrame:
+    """results with snippet_field, the field to show (most terms, then most strength, then a verse, then the first), and
+    snippet_kind, its kind. `asked` may be the queries."""
+    asked = asked if isinstance(asked, Asked) else ask(index, asked)
+    results = staged(results, "search-results")
+    want = results.select(*DOC).join(small(asked.terms.select("query_id", "term_no", "term")), "query_id")
+    pairs = want.select("term", "mode", "id").distinct()
+    fields = F.array_distinct(F.transform("places", lambda p: F.call_function("shiftright", p, F.lit(32))))
+    mine = index.postings.join(small(asked.words), "word").join(small(pairs), ["term", "mode", "id"], "left_semi")
+    mine = mine.select("term", "mode", "id", "strength", F.explode(fields).alias("field")).groupBy("term", "mode", "id", "field").agg(F.max("strength").alias("strength"))
+    per = want.join(mine, ["term", "mode", "id"]).groupBy(*DOC, "field").agg((F.count("*") * 10 + F.sum("strength")).alias("sum"))
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("field") % 8).cast("int"))
+    best = per.groupBy(*DOC).agg(F.max(F.struct((F.col("sum") + (kind == "verse").cast("int")).alias("best"), (-F.col("field")).alias("first"))).alias("shown"))
+    field = F.coalesce(-F.col("shown.first"), F.lit(0))  # a number's result shows its title
+    d = results.join(best, DOC, "left").withColumns({"snippet_field": F.floor(field / 8).cast("int"), "snippet_kind": F.get(F.array(*map(F.lit, KINDS)), (field % 8).cast("int"))})
+    return d.drop("shown")
 
 
 def by_number(pads: DataFrame, q: DataFrame) -> DataFrame:
     """Results of queries that ask for a number; a document without a number is never found."""
-    asked = small(q.filter(F.col("cls") == "number").select("query_id", "number", F.col("section").alias("asked")))
-    hit = pads.join(asked, F.col("search_number") == F.col("number")).filter((F.col("asked") == "") | (F.col("asked") == F.col("section")))
-    return hit.select(*DOC, F.lit(1000).alias("score"), F.lit("number").alias("match_kind"), F.lit(0).alias("snippet_field"), F.lit("title").alias("snippet_kind"))
+    asked = small(q.filter(F.col("cls") == "number").select("query_id", "number", F.col("section").alias("asked"), "scope"))
+    hit = pads.join(asked, F.col("search_number") == F.col("number")).filter(((F.col("asked") == "") | (F.col("asked") == F.col("section"))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode"))))
+    return hit.select(*DOC, F.lit(1000).alias("score"), F.lit("number").alias("match_kind"))
 
 
 def by_nothing(pads: DataFrame, queries: DataFrame) -> DataFrame:
     """Results of empty queries: all documents, score 0, with the first line as snippet. Punctuation alone finds nothing."""
-    q = analysed(queries).filter(F.col("cls") == "empty").select("query_id", F.col("section").alias("asked"))
+    q = analysed(queries).filter(F.col("cls") == "empty").select("query_id", F.col("section").alias("asked"), "scope")
     lines = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("headings", "verses", "notes")])
-    hit = pads.join(small(q), (F.col("asked") == "") | (F.col("asked") == F.col("section")))
+    hit = pads.join(small(q), ((F.col("asked") == "") | (F.col("asked") == F.col("section"))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode"))))
     return hit.select(*DOC, F.lit(0).alias("score"), F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("snippet"))
 
 
@@ -200,9 +270,9 @@ def name_matches(names: DataFrame, queries: DataFrame) -> DataFrame:
     q = analysed(queries).withColumn("phrase", F.lit(True)).filter(F.col("q") != "").withColumn("cls", F.lit("terms"))
     terms = staged(terms_of(q), "name-terms")
     fields = names.select(F.lit("").alias("mode"), F.col("name").alias("id"), F.lit("").alias("section"), F.lit(0).alias("field_no"), F.lit("name").alias("kind"), F.col("name").alias("text"))
-    occ, dim = token_index(fields.distinct())
-    found = matched_words(terms, dim)
-    n = occ.join(found, "word").select("query_id", "id", "term_no").distinct().groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    index = build_index(fields=fields.distinct())
+    found = matched_words(terms, index.dim, ["query_id", "term_no"])
+    n = index.postings.join(small(staged(found, "name-words")), "word").select("query_id", "id", "term_no").distinct().groupBy("query_id", "id").agg(F.count("*").alias("n"))
     return n.join(small(terms.select("query_id", "n_terms").distinct()), "query_id").filter("n = n_terms").select("query_id", F.col("id").alias("name"))
 
 
@@ -224,7 +294,7 @@ def excerpts(results: DataFrame, pads: DataFrame, queries: DataFrame, least: int
     # which of them match a term of their query
     terms = staged(terms_of(analysed(queries)).withColumn("phrase", F.lit(False)), "excerpt-terms")
     tokens = words.select(*DOC, "i", F.explode(F.filter(F.split(F.translate("piece", T.JOINERS, ""), T.SEPARATOR), lambda x: x != "")).alias("word"))
-    found = matched_words(terms, staged(word_dim(tokens), "excerpt-words")).select("query_id", "word").distinct()
+    found = matched_words(terms, staged(word_dim(tokens), "excerpt-words"), ["query_id", "term_no"]).select("query_id", "word").distinct()
     hit = tokens.join(found, ["query_id", "word"]).select(*DOC, "i").distinct().withColumn("hit", F.lit(True))
     spans = words.join(hit, [*DOC, "i"], "left").groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("i", "start", "end", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("w"))
     d = d.join(spans, DOC, "left")

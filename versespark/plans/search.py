@@ -7,14 +7,19 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import search as S
-from .tables import first_words, pads, table
+from .tables import first_words, index_of, pads, table
 
 COLS = ["query_id", "mode", "id", "score", "match_kind", "rank"]
 
 
+def _found(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
+    return S.search(pads(spark, sf_dir), queries, index_of(spark, sf_dir), snippets=False)
+
+
 def _top(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
-    return S.top(S.search(pads(spark, sf_dir), queries)).select(*COLS)
+    return S.top(_found(spark, sf_dir, queries)).select(*COLS)
 
 
 def search_latin_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +29,8 @@ def search_latin_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_batch_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three words of each item, with the field to show."""
-    r = S.top(S.search(pads(spark, sf_dir), first_words(spark, sf_dir, 3)))
+    q = first_words(spark, sf_dir, 3)
+    r = S.with_snippets(index_of(spark, sf_dir), S.top(_found(spark, sf_dir, q)), q)
     return r.select(*COLS, F.col("snippet_field").cast("int"), "snippet_kind")
 
 
@@ -52,13 +58,13 @@ def search_substring_nonlatin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_counts_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = S.counts(S.search(pads(spark, sf_dir), first_words(spark, sf_dir, 2)))
+    r = S.counts(_found(spark, sf_dir, first_words(spark, sf_dir, 2)))
     return r.select("query_id", F.coalesce("mode", F.lit("all")).alias("mode"), F.col("n").cast("long"))
 
 
 def search_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q = pads(spark, sf_dir), first_words(spark, sf_dir, 2)
-    r = S.search(p, q).filter("rank <= 3")
+    r = S.with_snippets(index_of(spark, sf_dir), S.top(_found(spark, sf_dir, q)), q)
     return S.excerpts(r, p, q).select("query_id", "mode", "id", "rank", "snippet")
 
 
@@ -86,7 +92,7 @@ def _normal_sql(x: str) -> str:
 
 
 def _folded_sql(x: str) -> str:
-    for pattern, to in (("aa", "a"), ("ee|ii", "i"), ("oo|uu", "u"), ("w", "v"), ("sh", "s"), ("ph", "f")):
+    for pattern, to in T.SPELLINGS:
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
     return x
 

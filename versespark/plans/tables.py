@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import search as S
+
+#: The search index of each application and state of the documents: built once, asked by all searches.
+_INDEXES: dict[tuple, tuple] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +25,16 @@ def pads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("lang").alias("mode"), F.col("doc_id").alias("id"), F.get(lines, F.lit(0)).alias("title"), F.col("source").alias("section"), *[v.alias(k) for k, v in meta.items()], empty.alias("headings"), lines.alias("verses"), empty.alias("notes"), F.col("doc_id").alias("search_number"))
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The documents' search index. It is built again if a file of the table is another, or newer, or of another length."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES or _INDEXES[key][0] != state:
+        _INDEXES[key] = (state, S.build_index(pads(spark, sf_dir)))
+    return _INDEXES[key][1]
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line (from 0), text: the lines of documents."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
