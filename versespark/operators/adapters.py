@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +20,7 @@ def canonical(entries: DataFrame, mode: str, sections: DataFrame | None = None)
     (section_id, name) of a collection are few."""
     d = entries.withColumns({"mode": F.lit(mode), "id": F.col("sequence"), "verses": F.flatten("blocks"), "stanzas": F.col("blocks")})
     if sections is not None:
-        d = d.join(F.broadcast(sections.select("section_id", F.col("name").alias("section"))), "section_id", "left")
+        d = d.join(small(sections.select("section_id", F.col("name").alias("section"))), "section_id", "left")
     return d
 
 
@@ -89,10 +91,14 @@ def segment_texts(lines: DataFrame, text: str, fragments: str, out: str = "segme
 
 
 def replaced_across(segments: Column, change) -> Column:
-    """Segments of a line after a change of the whole line that keeps its length: cut again at the same places."""
+    """Segments of a line after a change of the whole line that keeps its length: cut again at the same places. A change
+    that doesn't keep it has no places to cut at, and fails."""
     sizes = F.transform(segments, lambda s: F.length(s))
     before = lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, x: a + x)
-    return F.transform(segments, lambda s, k: F.substring(change(F.array_join(segments, "")), before(k) + 1, F.length(s)))
+    line = F.array_join(segments, "")
+    off = F.raise_error(F.concat(F.lit("the change doesn't keep the length of: "), line))
+    new = F.when(F.length(change(line)) == F.length(line), change(line)).otherwise(off.cast("string"))
+    return F.transform(segments, lambda s, k: F.substring(new, before(k) + 1, F.length(s)))
 
 
 def split_at(text: Column, word: Column) -> Column:
@@ -115,3 +121,31 @@ def source_pages(lines: DataFrame, notes: DataFrame, refs: DataFrame) -> DataFra
     mine = notes.select(F.col("owner_id").alias("id"), F.explode("source_pages").alias("page"))
     theirs = refs.join(notes, ["owner_id", "note_index"]).select("id", F.explode("source_pages").alias("page"))
     return own.unionByName(mine).unionByName(theirs).groupBy("id").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+
+
+@dataclass(frozen=True)
+class Collection:
+    """What differs between collections: how entries are read, the page and the path of an entry, and the number that is shown."""
+
+    mode: str
+    pads: Callable[[], DataFrame]
+    page: Callable[[DataFrame], DataFrame]
+    route: Callable[[Column], Column]
+    number: Callable[[DataFrame], Column]
+
+
+class Collections:
+    """Collections by mode."""
+
+    def __init__(self, *collections: Collection):
+        self.by_mode = {c.mode: c for c in collections}
+        if len(self.by_mode) < len(collections):
+            raise ValueError("two collections of one mode")
+
+    def entries(self) -> DataFrame:
+        """All entries with mode, page columns, route and display_number, each by its collection's functions."""
+        parts = []
+        for c in self.by_mode.values():
+            d = c.page(c.pads().withColumn("mode", F.lit(c.mode)))
+            parts.append(d.withColumns({"route": c.route(F.col("id")), "display_number": c.number(d).cast("string")}))
+        return one_space(parts)

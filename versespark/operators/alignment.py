@@ -6,29 +6,56 @@ before, an alignment on all rows before) runs in Arrow groups of one page, which
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ocr_normal
 
-def similarity(a: Column, b: Column) -> Column:
-    """The share of characters that two texts have in common blocks (longest first); the order of the texts matters."""
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "", autojunk=False).ratio() for p, q in zip(x, y, strict=True)])
+# From how many letters on a row is compared, below what similarity it may be missing; costs of an alignment,
+# the similarity that makes a pair reliable, and the heights of boxes that are believed.
+MORE_LETTERS, MISSING = 10, 0.5
+SKIP, UNMATCHED, SCALE, RELIABLE = 0.55, 0.8, 1.3, 0.62
+HEIGHTS = (8, 100)
 
-    return ratio(a, b)
 
+def ratio(a: str, b: str) -> float:
+    """The share of characters that two texts have in common blocks (longest first); the order of the texts matters."""
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def best_ratio(text: str, others: list[str], least: float = 0.0) -> float:
+    """The best ratio of a text with others. Bounds by length and by letters leave out those that can't be better."""
+    letters, best = Counter(text), least
+    bound = lambda o: 2 * min(len(text), len(o)) / max(len(text) + len(o), 1)
+    for o in sorted(others, key=bound, reverse=True):
+        if bound(o) <= best:
+            break
+        if 2 * (letters & Counter(o)).total() / max(len(text) + len(o), 1) > best:
+            best = max(best, ratio(text, o))
+    return best
+
+
+def best_similarity(rows: DataFrame, proofs: DataFrame, page: str, key: str, text: str, least: float = MISSING) -> DataFrame:
+    """The rows with enough letters, with the best similarity of their normal form to a proof line of their page (0 if it has
+    none) and whether they may be missing there. Rows that equal a proof line are found by a join; the others meet a page's
+    distinct proof lines in Arrow batches, so no pairs are emitted."""
+    d = rows.withColumn("_n", ocr_normal(F.col(text), True)).filter(F.length("_n") > MORE_LETTERS)
+    p = proofs.select(F.col(page).alias("_page"), ocr_normal(F.col(text), True).alias("_proof")).distinct()
+    d = d.join(p.withColumn("_same", F.lit(True)), (F.col(page) == F.col("_page")) & (F.col("_n") == F.col("_proof")), "left").drop("_page", "_proof")
+    d = d.join(p.groupBy("_page").agg(F.collect_list("_proof").alias("_proofs")), F.col(page) == F.col("_page"), "left").drop("_page")
+
+    @F.pandas_udf("double")
+    def best(x: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if o is None else best_ratio(t, list(o)) for t, o in zip(x, others, strict=True)], dtype=float)
 
-def best_similarity(rows: DataFrame, proofs: DataFrame, page: str, key: str, text: str, least: float = 0.5) -> DataFrame:
-    """rows with the best similarity to a proof line of their page (0 if it has none) and whether they may be missing there."""
-    p = proofs.select(page, F.col(text).alias("_proof")).distinct()
-    d = rows.join(p, page, "left").withColumn("_s", F.when(F.col("_proof").isNotNull(), similarity(F.col(text), F.coalesce("_proof", F.lit("")))).otherwise(0.0))
-    best = d.groupBy(page, key).agg(F.max("_s").alias("best"))
-    return rows.join(best, [page, key]).withColumn("missing", F.col("best") < least)
+    same = F.coalesce("_same", F.lit(False))
+    d = d.withColumn("_b", best("_n", F.when(~same, F.col("_proofs"))))
+    return d.withColumn("best", F.when(same, 1.0).otherwise(F.col("_b"))).withColumn("missing", F.col("best") < least).drop("_n", "_same", "_proofs", "_b")
 
 
 def coverage(best: DataFrame, page: str, key: str, most: int = 2) -> DataFrame:
@@ -39,8 +66,6 @@ def coverage(best: DataFrame, page: str, key: str, most: int = 2) -> DataFrame:
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """a (y0, y1) with alternate: the texts of b that overlap it vertically, in order, and agrees: whether both say the same."""
-    from ..functions.text import ocr_normal
-
     other = b.select(*keys, F.col("y0").alias("_y0"), F.col("y1").alias("_y1"), F.struct(F.col(order).alias("o"), F.col(text).alias("t")).alias("_alt"))
     hit = (F.least("y1", "_y1") - F.greatest("y0", "_y0")) > 0
     own = [c for c in a.columns if c not in keys]
@@ -65,6 +90,11 @@ def unique_lower(satellites: DataFrame, bodies: DataFrame, page: str, key: str,
     return d.filter("_n = 1").drop("_b", "_x0", "_x1", "_n")
 
 
+def believed_box(box: Column, reliable: Column, height: Column) -> Column:
+    """The box of an aligned row if the pair is reliable and its height is one of a line."""
+    return F.when(reliable & height.between(*HEIGHTS), box)
+
+
 def anchored_rows(fragments: DataFrame, page: str, y: str, order: str, tolerance: float = 0.7) -> DataFrame:
     """fragments with row_no: a fragment more than `tolerance` off the first one of the row opens a new row."""
 
@@ -108,34 +138,46 @@ def rejoined_rows(rows: DataFrame, page: str, reach: int = 4) -> DataFrame:
     return rows.groupBy(page).applyInPandas(lambda p: join(p), rows.withColumn("line_no", F.lit(0)).schema)
 
 
-def align_in_order(wanted: list[str], found: list[str], skip: float = 0.55, unmatched: float = 0.8, scale: float = 1.3) -> list[tuple[int, float] | None]:
+def align_in_order(wanted: list[str], found: list[str], skip: float = SKIP, unmatched: float = UNMATCHED, scale: float = SCALE) -> list[tuple[int, float] | None]:
     """For each wanted text the place of the found one that it is, and their similarity, so that the order holds and the
-    total cost is least: of a skipped found text, of an unmatched wanted one, and of the dissimilarity of a pair."""
+    total cost is least: of a skipped found text, of an unmatched wanted one, and of the dissimilarity of a pair. Of equal
+    costs, a pair comes before an unmatched text and that before a skipped one. Two rows of costs are kept, and a byte for
+    each step."""
     n, m = len(wanted), len(found)
-    cost = [[float("inf")] * (m + 1) for _ in range(n + 1)]
-    step: list[list] = [[None] * (m + 1) for _ in range(n + 1)]
-    cost[0] = [skip * j for j in range(m + 1)]
-    score = {}
+    known: dict[tuple[str, str], float] = {}
+
+    def alike(a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        if (a, b) not in known:
+            known[a, b] = ratio(a, b)
+        return known[a, b]
+
+    cost = [skip * j for j in range(m + 1)]
+    steps = [bytearray(b"\2" * (m + 1))]
     for i in range(1, n + 1):
-        cost[i][0] = unmatched * i
+        row, step = [unmatched * i], bytearray(b"\1" * (m + 1))
         for j in range(1, m + 1):
-            s = score[i, j] = SequenceMatcher(None, wanted[i - 1], found[j - 1], autojunk=False).ratio()
-            cost[i][j], step[i][j] = min((cost[i - 1][j - 1] + (1 - s) * scale, 0), (cost[i - 1][j] + unmatched, 1), (cost[i][j - 1] + skip, 2))
+            c, step[j] = min((cost[j - 1] + (1 - alike(wanted[i - 1], found[j - 1])) * scale, 0), (cost[j] + unmatched, 1), (row[j - 1] + skip, 2))
+            row.append(c)
+        cost = row
+        steps.append(step)
     out: list[tuple[int, float] | None] = [None] * n
     i, j = n, m
     while i and j:
-        if step[i][j] == 0:
+        if steps[i][j] == 0:
             i, j = i - 1, j - 1
-            out[i] = (j, score[i + 1, j + 1])
-        elif step[i][j] == 1:
+            out[i] = (j, alike(wanted[i], found[j]))
+        elif steps[i][j] == 1:
             i -= 1
         else:
             j -= 1
     return out
 
 
-def aligned_rows(corrected: DataFrame, source: DataFrame, page: str, reliable: float = 0.62) -> DataFrame:
-    """page, line, source_line, score, reliable for the corrected lines (line, text) against the source's, page by page."""
+def aligned_rows(corrected: DataFrame, source: DataFrame, page: str, reliable: float = RELIABLE) -> DataFrame:
+    """page, line, source_line, score, reliable for the corrected lines (line, text) against the source's, page by page, by
+    their normal forms."""
 
     def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("line"), b.sort_values("line")
@@ -151,6 +193,6 @@ def aligned_rows(corrected: DataFrame, source: DataFrame, page: str, reliable: f
             }
         )
 
-    cols = [page, "line", "text"]
-    b = source.select([F.col(c).alias(c) for c in cols])
-    return corrected.select(cols).groupBy(page).cogroup(b.groupBy(page)).applyInPandas(lambda a, b: align(a, b), f"{page} long, line long, source_line long, score double, reliable boolean")
+    normal = lambda d: d.select(F.col(page).alias(page), F.col("line").alias("line"), F.coalesce(ocr_normal(F.col("text"), True), F.lit("")).alias("text"))
+    b = normal(source)
+    return normal(corrected).groupBy(page).cogroup(b.groupBy(page)).applyInPandas(lambda a, b: align(a, b), f"{page} long, line long, source_line long, score double, reliable boolean")

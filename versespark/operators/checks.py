@@ -59,10 +59,21 @@ def canonical_hash(headings: Column, verses: Column) -> Column:
 
 def length_limits(texts: DataFrame, kind: str, text: str, limits: DataFrame) -> DataFrame:
     """texts longer, trimmed, than the limit (kind, most) of their kind."""
-    return texts.join(F.broadcast(limits), kind).filter(F.length(F.trim(text)) > F.col("most"))
+    return texts.join(small(limits), kind).filter(F.length(F.trim(text)) > F.col("most"))
 
 
 def all_empty(checks: dict[str, DataFrame]) -> DataFrame:
     """check, violations for several check results."""
     parts = [d.agg(F.count("*").alias("violations")).select(F.lit(n).alias("check"), "violations") for n, d in checks.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def unlike_stanzas(pads: DataFrame) -> DataFrame:
+    """Entries whose stanzas (array of arrays of lines) aren't their verses, in order."""
+    return pads.filter(~F.flatten("stanzas").eqNullSafe(F.col("verses")))
+
+
+def unlike_markers(refs: DataFrame, notes: DataFrame) -> DataFrame:
+    """References (id, owner_id, note_index, marker) to a note with another marker."""
+    d = refs.join(notes.select("owner_id", "note_index", F.col("marker").alias("note_marker")), ["owner_id", "note_index"])
+    return d.filter(~F.col("marker").eqNullSafe(F.col("note_marker")))

@@ -68,3 +68,25 @@ def placement(lines: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame
     inset, extent = (F.col("x0") - F.col("left")) / width, (F.col("x1") - F.col("x0")) / width
     mid = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("left") + F.col("right")) / 2) / width
     return d.withColumns({"inset": inset, "extent": extent, "centred": (extent < 0.8) & (mid < 0.045)})
+
+
+def low_confidence(words: Column, least: float = 65) -> Column:
+    """Whether a word (with a field conf) of a line is doubtful."""
+    return F.exists(words, lambda w: w["conf"] < least)
+
+
+def fragment_rows(fragments: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, x0, y0, x1, y1 (the union of the fragments' boxes), gaps (between neighbours from left to right) and text."""
+    d = fragments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x0", "x1", F.trim(text).alias("t")))).alias("_f"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    pairs = F.zip_with(F.slice("_f", F.lit(2), F.size("_f")), F.slice("_f", F.lit(1), F.size("_f") - 1), lambda b, a: F.round(b["x0"] - a["x1"], 3))
+    return d.select(*keys, "x0", "y0", "x1", "y1", pairs.alias("gaps"), F.array_join(F.transform("_f", lambda f: f["t"]), " ").alias("text"))
+
+
+# The common width of pages, and which measures follow it.
+PAGE_WIDTH = 288
+MEASURES = ["x", "y", "width", "height", "fontSize", "length", "fitWidth", "textWidth"]
+
+
+def at_common_width(items: DataFrame, width: str) -> DataFrame:
+    """items with those of their columns that are measures scaled to pages of the common width."""
+    return items.withColumns({c: F.col(c) * (PAGE_WIDTH / F.col(width)) for c in items.columns if c in MEASURES})

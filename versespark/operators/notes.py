@@ -70,3 +70,46 @@ def note_groups(spans: DataFrame, page: str, order: str, key: str) -> DataFrame:
     d = spans.withColumn("_key", F.last(key, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("_new", (~F.col("_key").eqNullSafe(F.lag("_key").over(w))).cast("int"))
     return d.withColumn("group_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_key", "_new")
+
+
+def interval_removal(lines: DataFrame, spans: DataFrame, pads: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Lines (id, text) without those of note spans (page, y, text) that stand within their entry's interval (id, start_page,
+    start_y, end_page, end_y), each span taking the first equal line; and the spans that found none. Entries meet spans on
+    the pages that they cover."""
+    at = pads.select("id", "start_page", "start_y", "end_page", "end_y", F.explode(F.sequence("start_page", "end_page")).alias("page"))
+    inside = ((F.col("start_page") < F.col("page")) | (F.col("start_y") <= F.col("y"))) & ((F.col("end_page") > F.col("page")) | (F.col("y") < F.col("end_y")))
+    mine = spans.join(at, "page").filter(inside).select("id", "page", "y", "text")
+    mine = mine.withColumn("_place", F.struct("page", "y"))
+    a = ranked_occurrences(lines, ["id", "text"], order).drop("occurrences")
+    b = ranked_occurrences(mine, ["id", "text"], "_place").drop("occurrences", "_place")
+    on = ["id", "text", "occurrence"]
+    return a.join(b.select(on), on, "left_anti").drop("occurrence"), b.join(a.select(on), on, "left_anti").drop("occurrence")
+
+
+def group_summaries(spans: DataFrame, keys: list[str], order: str, text: str, page: str, targets: DataFrame | None = None, named: dict[int, str] | None = None) -> DataFrame:
+    """keys, marker, lines, pages and target_ids of note groups: the marker is the number that opens the first line, else a
+    star, or what `named` gives a group that stands on one page; targets (page, target_ids; few) are by the first page."""
+    from ..functions.text import DIGITS
+    from .search import small
+
+    first = F.struct(order, F.col(text).alias("t"))
+    d = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(first)).alias("_l"), F.array_sort(F.collect_set(page)).alias("pages"))
+    d = d.withColumn("lines", F.transform("_l", lambda x: x["t"]))
+    number = F.regexp_extract(F.translate(F.get("lines", F.lit(0)), DIGITS, "0123456789"), r"^(\d+)[.\-]", 1)
+    marker = F.when(number != "", F.coalesce(F.nullif(F.ltrim(number, F.lit("0")), F.lit("")), F.lit("0"))).otherwise("*")
+    for p, name in (named or {}).items():
+        marker = F.when((F.size("pages") == 1) & (F.get("pages", F.lit(0)) == p), name).otherwise(marker)
+    d = d.withColumns({"marker": marker, "_page": F.get("pages", F.lit(0))})
+    if targets is None:
+        return d.select(*keys, "marker", "lines", "pages")
+    d = d.join(small(targets.select(F.col("page").alias("_page"), "target_ids")), "_page", "left")
+    return d.select(*keys, "marker", "lines", "pages", "target_ids")
+
+
+def audit_totals(pads: DataFrame, notes: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row: how many entries and notes there are, and lines by status (matched_occurrences)."""
+    n = {f"n_{x}": F.count_if(F.col("status") == x) for x in ("matched", "unmatched", "ambiguous")}
+    counts = matched.agg(*[v.alias(k) for k, v in n.items()])
+    for name, d in (("n_pads", pads), ("n_notes", notes)):
+        counts = counts.withColumn(name, F.lit(d.count()))
+    return counts.select("n_pads", "n_notes", *n)

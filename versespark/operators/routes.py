@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .search import small
+
 
 def routes(paths: DataFrame, path: str, slugs: DataFrame, entries: DataFrame, fixed: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """paths with mode and id: /slug/number, a trailing slash allowed; a slug may be an alias of a mode (slug, mode), which are
@@ -12,7 +14,7 @@ def routes(paths: DataFrame, path: str, slugs: DataFrame, entries: DataFrame, fi
     clean = F.regexp_replace(F.coalesce(path, F.lit("")), "^#", "")
     shape = r"^/([^/]+)/(\d+)/?\z"
     d = paths.withColumns({"_slug": F.regexp_extract(clean, shape, 1), "_id": F.regexp_extract(clean, shape, 2).try_cast("long")})
-    d = d.join(F.broadcast(slugs.select(F.col("slug").alias("_slug"), F.col("mode").alias("_mode"))), "_slug", "left").withColumn("_mode", F.coalesce("_mode", F.nullif("_slug", F.lit(""))))
+    d = d.join(small(slugs.select(F.col("slug").alias("_slug"), F.col("mode").alias("_mode"))), "_slug", "left").withColumn("_mode", F.coalesce("_mode", F.nullif("_slug", F.lit(""))))
     for p, (mode, i) in (fixed or {}).items():
         hit = clean.isin(p, p + "/")
         d = d.withColumns({"_mode": F.when(hit, mode).otherwise(F.col("_mode")), "_id": F.when(hit, i).otherwise(F.col("_id"))})
@@ -40,3 +42,21 @@ def route_path(mode: Column, entry: Column, slugs: dict[str, str], single: tuple
     """The path of an entry; collections of a single entry have no number in it."""
     slug = F.coalesce(*[F.when(mode == m, s) for m, s in slugs.items()], mode)
     return F.when(mode.isin(*single), F.concat(F.lit("/"), slug)).otherwise(F.concat(F.lit("/"), slug, F.lit("/"), entry.cast("string"))) if single else F.concat(F.lit("/"), slug, F.lit("/"), entry.cast("string"))
+
+
+def share_footer(site: str, path: Column, apps: dict[str, str]) -> Column:
+    """An entry's link, and where the apps are."""
+    lines = "\n".join(f"{name} - {site}{at}" for name, at in apps.items())
+    return F.concat(F.lit(site), path, F.lit(f"\n\nDownload App:\n{lines}"))
+
+
+def copied_text(text: Column, footer: Column) -> Column:
+    return F.concat(text, F.lit("\n\n"), footer)
+
+
+def current_first(groups: DataFrame, mode: str, order: str, current: Column) -> DataFrame:
+    """groups with group_pos (from 1) within their query: the current collection, then the others in their order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("query_id").orderBy((F.col(mode) != current).cast("int"), order)
+    return groups.withColumn("group_pos", F.row_number().over(w))

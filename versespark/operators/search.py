@@ -14,6 +14,7 @@ search_number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -323,15 +324,17 @@ def excerpts(results: DataFrame, pads: DataFrame, queries: DataFrame, least: int
     return d.select(*results.columns, snippet.alias("snippet"))
 
 
-def fitted(snippets: DataFrame, max_chars: Column, text: str = "snippet", hit: str = "hit_word", out: str = "fitted") -> DataFrame:
-    """The words around word number `hit` (from 0) of a text that fit into max_chars, with its ellipses; at least that word."""
+def fitted(snippets: DataFrame, max_chars: Column | None = None, text: str = "snippet", hit: str = "hit_word", out: str = "fitted", fits_in: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The words around word number `hit` (from 0) of a text that fit, with its ellipses; at least that word. A text fits if it
+    has at most max_chars characters, or if the caller's predicate says so."""
+    fits_in = fits_in or (lambda c: F.length(c) <= max_chars)
     full = F.col(text)
     leading, trailing = full.startswith("…"), full.endswith("…")
     words = F.filter(F.split(F.regexp_replace(full, r"^…|…\z", ""), f"[{T.BLANK}]+"), lambda x: x != "")
     d = snippets.withColumns({"_w": words, "_lead": leading, "_trail": trailing})
     n = F.size("_w")
     render = lambda left, right: F.concat(F.when(F.col("_lead") | (left > 0), "…").otherwise(""), F.array_join(F.slice("_w", left + 1, right - left + 1), " "), F.when(F.col("_trail") | (right < n - 1), "…").otherwise(""))
-    fits = lambda left, right: F.length(render(left, right)) <= max_chars
+    fits = lambda left, right: fits_in(render(left, right))
 
     def grow(s: Column, _: Column) -> Column:
         gl = s["gl"] & (s["l"] > 0) & fits(F.greatest(s["l"] - 1, F.lit(0)), s["r"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, editing, layout, search
+from . import corpus, editing, editions, layout, search
 
-MODULES = [search, corpus, layout, editing]
+MODULES = [search, corpus, layout, editing, editions]
 
 
 def queries() -> dict:

@@ -12,6 +12,7 @@ from ..operators import checks as C
 from ..operators import notes as N
 from ..operators import routes as R
 from ..operators import sections as S
+from .search import _normal_sql
 from .tables import LINES_SQL, lines, table
 
 QUERIES: list = []
@@ -158,11 +159,12 @@ def note_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.resolved_refs(o.select(F.col("o_orderkey").alias("id")), notes, refs)
 
 
-@query("""select l_suppkey as id, count(*) as n, min(l_orderkey) as first_owner from lineitem group by 1""")
+@query("""select l_suppkey as id, string_agg(l_orderkey || '/' || l_linenumber || '/' || l_returnflag, ' ' order by l_orderkey, l_linenumber, l_returnflag) as refs from lineitem group by 1""")
 def note_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as notes for their suppliers."""
     notes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner_id"), F.col("l_linenumber").alias("note_index"), F.col("l_returnflag").alias("marker"), F.array("l_suppkey").alias("target_ids"))
-    return N.refs_per_target(notes).select("id", F.size("refs").cast("long").alias("n"), F.get("refs", F.lit(0))["owner_id"].alias("first_owner"))
+    ref = lambda r: F.concat_ws("/", r["owner_id"].cast("string"), r["note_index"].cast("string"), r["marker"])
+    return N.refs_per_target(notes).select("id", F.array_join(F.transform("refs", ref), " ").alias("refs"))
 
 
 @query("""with e as (select event_id, user_id, ts, event_type, case when event_type in ('click', 'view') then event_type end as k from events),
@@ -174,10 +176,11 @@ def note_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.note_groups(e, "user_id", "event_id", "k").select("event_id", "group_no")
 
 
-@query("""select doc_id, substr(sha256('{"headings": [' || to_json(coalesce(source, '')) || '], "verses": [' || to_json(lang) || ', ' || to_json(doc_id::varchar) || ']}'), 1, 64) as hash from documents""")
+@query("""select doc_id, sha256('{"headings": [' || to_json(coalesce(source, '')) || '], "verses": [' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: to_json(x)), ', ') || ']}') as hash from documents""")
 def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source as heading and all lines of the text as verses."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", C.canonical_hash(F.array(F.coalesce("source", F.lit(""))), F.array("lang", F.col("doc_id").cast("string"))).alias("hash"))
+    return d.select("doc_id", C.canonical_hash(F.array(F.coalesce("source", F.lit(""))), F.split("text", "\n")).alias("hash"))
 
 
 @query("""with f as (select doc_id::varchar as file, octet_length(encode(text)) as length, sha256(text) as found from documents),
@@ -217,11 +220,11 @@ def classification_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.changed(old, new, "doc_id", ["quality"])
 
 
-@query("""select p.page_id, case when d.doc_id is not null then p.lang end as mode, case when d.doc_id is not null then p.id end as id from (select page_id, nullif(regexp_extract(url, '://[^/?#]*/([^/?#]+)/([0-9]+)/?$', 1), '') as lang, try_cast(regexp_extract(url, '://[^/?#]*/([^/?#]+)/([0-9]+)/?$', 2) as bigint) as id from pages) p left join documents d on p.lang = d.lang and p.id = d.doc_id""")
+@query("""select p.page_id, case when d.doc_id is not null then p.lang end as mode, case when d.doc_id is not null then p.id end as id from (select page_id, case nullif(regexp_extract(url, '://[^/?#]*/([^/?#]+)/([0-9]+)/?$', 1), '') when 'en' then 'de' else nullif(regexp_extract(url, '://[^/?#]*/([^/?#]+)/([0-9]+)/?$', 1), '') end as lang, try_cast(regexp_extract(url, '://[^/?#]*/([^/?#]+)/([0-9]+)/?$', 2) as bigint) as id from pages) p left join documents d on p.lang = d.lang and p.id = d.doc_id""")
 def routes_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of pages as routes to documents: language and number."""
+    """Paths of pages as routes to documents: language and number; one language's name is an alias of another."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"://[^/?#]*(/.*)$", 1).alias("path"))
-    slugs = table(spark, sf_dir, "nation").filter("false").select(F.col("n_name").alias("slug"), F.col("n_name").alias("mode"))
+    slugs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("lang").alias("slug"), F.lit("de").alias("mode")).distinct()
     entries = table(spark, sf_dir, "documents").select(F.col("lang").alias("mode"), F.col("doc_id").alias("id"))
     return R.routes(p, "path", slugs, entries).select("page_id", "mode", "id")
 
@@ -232,7 +235,7 @@ def bookmarks_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat("c_mktsegment", F.lit(":"), (F.col("c_custkey") % 40).cast("string"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise("x"))
     k = table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"))
     modes = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
-    entries = table(spark, sf_dir, "nation").join(modes).select(F.col("c_mktsegment").alias("mode"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
+    entries = modes.withColumn("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(24)))).join(table(spark, sf_dir, "nation"), "n_nationkey").select(F.col("c_mktsegment").alias("mode"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"))
     return R.bookmarks(k, "key", entries).select("c_custkey", "mode", "id", "title")
 
 
@@ -241,24 +244,27 @@ def display_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.devanagari_number(F.col("doc_id")).alias("shown"))
 
 
-@query("""with h as (select n_nationkey, list_reduce(list_prepend(0, list_transform(string_split(n_name, ''), lambda c: ascii(c))), lambda a, c: (a * 31 + c) % 25) as h from nation)
-select n_nationkey, ([0, 5, 11, 15, 20, 1, 6, 12, 16, 21, 2, 7, 13, 17, 22, 3, 8, 14, 18, 23, 4, 9, 10, 19, 24])[(n_nationkey + h) % 25 + 1] as design from h""")
+@query(f"""with h as (select n_nationkey, list_reduce(list_prepend(0, list_transform(string_split(n_name, ''), lambda c: ascii(c))), lambda a, c: (a * 31 + c) % 25) as h from nation)
+select n_nationkey, ({T.DESIGNS})[(n_nationkey + h) % 25 + 1] as design from h""")
 def bucket_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", T.design(F.col("n_name"), F.col("n_nationkey")).alias("design"))
 
 
 @query("""select doc_id, md5(coalesce(nullif(array_to_string(string_split(text, chr(10))[1:8], ' '), ''), source)) as preview from documents""")
 def preview_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document gets a musical label before each of its lines, which previews leave out."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(T.preview(F.col("source"), F.split("text", "\n")).cast("binary")).alias("preview"))
+    verses = F.split("text", "\n")
+    labelled = F.flatten(F.transform(verses, lambda v: F.array(F.concat(F.lit("(राग "), F.col("lang"), F.lit(")")), v)))
+    return d.select("doc_id", F.md5(T.preview(F.col("source"), F.when(F.col("doc_id") % 3 == 0, labelled).otherwise(verses)).cast("binary")).alias("preview"))
 
 
-@query("""select count(distinct w) as words, count(distinct w) filter (regexp_full_match(w, '[a-z]+')) as plain from (select unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) as w from documents) where w != ''""")
+@query(f"""with w as (select distinct unnest(string_split(replace(text, chr(10), ' '), ' ')) as word from documents), n as (select word, {_normal_sql("word")} as normal from w)
+select word, regexp_replace(normal, 'a([^A-Za-z0-9_]|$)', '\\1', 'g') as roman from n""")
 def romanize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct plain words, and those that romanising leaves plain."""
-    w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("w")).filter("w != ''").distinct()
-    w = w.withColumn("r", T.romanized(F.col("w")))
-    return w.agg(F.count("*").alias("words"), F.count_if(F.col("r").rlike("^[a-z]*$")).alias("plain"))
+    """The distinct words of documents, with their accents and punctuation, as they are spelt on a keyboard."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).distinct()
+    return T.decomposed(w, "word", "nfd").select("word", T.romanized(F.col("nfd")).alias("roman"))
 
 
 @query("""select user_id, event_type as status, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where event_type in ('click', 'view', 'purchase')) where r = 1""")

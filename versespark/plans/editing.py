@@ -57,13 +57,6 @@ def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.note_lines(_rows(spark, sf_dir), "page", "y", F.col("l_returnflag") == "R", limits).select("l_orderkey", "place", "is_note")
 
 
-@query(f"""with r as (select l_orderkey, place, l_returnflag as f, sum((l_returnflag = 'N')::int) over (partition by l_orderkey order by place) as verses from {PLACED_SQL})
-select l_orderkey, place, case when verses > 0 then 'verse' else 'number' end as role from r""")
-def heading_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbers that lead each order's lines."""
-    return A.peeled_headings(_rows(spark, sf_dir), "l_orderkey", "place", "text").select("l_orderkey", "place", "role")
-
-
 @query(f"""with r as (select l_orderkey, place, l_returnflag, l_suppkey % 2 = 0 as star, max(case when l_suppkey % 2 = 0 then place end) over (partition by l_orderkey) as last from {PLACED_SQL})
 select l_orderkey, place, l_returnflag || case when star and place = last then '*' else '' end as text from r""")
 def last_star(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,12 +73,16 @@ def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.out_of_order(_boxes(spark, sf_dir), "l_orderkey", "place", "y0").select("l_orderkey", "place")
 
 
-@query(f"""with a as (select distinct l_orderkey, place, l_quantity, l_returnflag from {PLACED_SQL} where l_linenumber % 2 = 1), b as (select l_orderkey, place, l_quantity, l_returnflag from {PLACED_SQL} where l_linenumber % 2 = 0)
-select a.l_orderkey, a.place, coalesce(string_agg(b.l_returnflag, ' ' order by b.place, b.l_returnflag), '') as alternate, lower(a.l_returnflag) = lower(replace(coalesce(string_agg(b.l_returnflag, ' ' order by b.place, b.l_returnflag), ''), ' ', '')) as agrees
-from a left join b on a.l_orderkey = b.l_orderkey and least(a.l_quantity, b.l_quantity) + 10 - greatest(a.l_quantity, b.l_quantity) > 0 group by a.l_orderkey, a.place, a.l_quantity, a.l_returnflag""")
+#: What order lines say as recognised text: cases, hyphens and blanks that comparing leaves out.
+SAID = "case l_linenumber % 2 when 1 then upper(l_returnflag) || '-' || (l_partkey % 3) else lower(l_returnflag) || ' ' || (l_partkey % 3) || '.' end"
+
+
+@query(f"""with a as (select distinct l_orderkey, place, l_quantity, {SAID} as said from {PLACED_SQL} where l_linenumber % 2 = 1), b as (select l_orderkey, place, l_quantity, {SAID} as said from {PLACED_SQL} where l_linenumber % 2 = 0),
+o as (select a.l_orderkey, a.place, a.said, coalesce(string_agg(b.said, ' ' order by b.place, b.said), '') as alternate from a left join b on a.l_orderkey = b.l_orderkey and least(a.l_quantity, b.l_quantity) + 10 - greatest(a.l_quantity, b.l_quantity) > 0 group by a.l_orderkey, a.place, a.l_quantity, a.said)
+select l_orderkey, place, alternate, lower(replace(said, '-', '')) = replace(replace(alternate, ' ', ''), '.', '') as agrees from o""")
 def overlap_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd order lines against even ones of the same order, as two passes over a page."""
-    d = _boxes(spark, sf_dir)
+    d = _boxes(spark, sf_dir).drop("text").join(_placed(spark, sf_dir).select("l_orderkey", "place", F.expr(SAID).alias("text")).distinct(), ["l_orderkey", "place"])
     b = d.filter("l_linenumber % 2 = 0").select(*[F.col(c).alias(c) for c in d.columns])
     a = d.filter("l_linenumber % 2 = 1").select("l_orderkey", "place", "y0", "y1", "text").distinct()
     return L.overlapping(a, b, ["l_orderkey"], "place", "text").select("l_orderkey", "place", "alternate", "agrees")
@@ -101,7 +105,10 @@ def region_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.in_region(d, r, "page").select("l_orderkey", "l_linenumber", "s_suppkey")
 
 
-@query()
+@query(f"""with recursive r as (select l_suppkey as page, l_orderkey, place, l_quantity as y, row_number() over (partition by l_suppkey order by l_quantity, l_orderkey, place) as n from {PLACED_SQL}),
+c as (select page, l_orderkey, place, y, n, y as anchor, 1 as row_no from r where n = 1
+ union all select r.page, r.l_orderkey, r.place, r.y, r.n, case when abs(anchor - r.y) > 5 then r.y else anchor end, row_no + case when abs(anchor - r.y) > 5 then 1 else 0 end from c join r on r.page = c.page and r.n = c.n + 1)
+select page, l_orderkey, place, y, row_no from c""")
 def anchor_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _boxes(spark, sf_dir).select("page", "l_orderkey", "place", F.col("y0").alias("y"))
     return L.anchored_rows(d, "page", "y", "l_orderkey", 5.0)
@@ -113,20 +120,19 @@ def greedy_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.rejoined_rows(d, "page")
 
 
-def _first_words(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    words = F.array_join(F.slice(F.split("text", " "), 1, n), " ")
-    return lines(spark, sf_dir).select(F.col("doc_id"), F.col("line").cast("long").alias("line"), words.alias("text"))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select(F.col("doc_id"), F.col("line").cast("long").alias("line"), "text")
 
 
 @query()
 def best_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The openings of lines, against those of every third line of the same document."""
-    d = _first_words(spark, sf_dir, 6)
+    """Lines against every third line of the same document."""
+    d = _lines(spark, sf_dir)
     return L.best_similarity(d, d.filter("line % 3 = 0").select(*[F.col(c).alias(c) for c in d.columns]), "doc_id", "line", "text").select("doc_id", "line", F.round("best", 6).alias("best"), "missing")
 
 
 @query()
 def monotone_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The openings of lines without every fourth, aligned with all of them."""
-    d = _first_words(spark, sf_dir, 6)
+    """Lines without every fourth, aligned with all of them."""
+    d = _lines(spark, sf_dir)
     return L.aligned_rows(d.filter("line % 4 != 3").select(*[F.col(c).alias(c) for c in d.columns]), d, "doc_id")

@@ -20,6 +20,11 @@ def valid(events: DataFrame, statuses: list[str] = STATUSES):
     return F.col("status").isin(statuses) & (F.length(F.coalesce("comment", F.lit(""))) <= MOST_COMMENT)
 
 
+def stamped(reviews: DataFrame, viewport: str = "viewport") -> DataFrame:
+    """reviews as they are stored: the viewport (a struct; null: empty) as JSON, and when it is written, in UTC."""
+    return reviews.withColumns({viewport: F.coalesce(F.to_json(viewport), F.lit("{}")), "updated": F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())})
+
+
 def latest(events: DataFrame, key: str) -> DataFrame:
     """The last event of each key: a partial maximum before the shuffle."""
     cols = [c for c in events.columns if c != key]
