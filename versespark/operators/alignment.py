@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -141,8 +142,11 @@ def rejoined_rows(rows: DataFrame, page: str, reach: int = 4) -> DataFrame:
 def align_in_order(wanted: list[str], found: list[str], skip: float = SKIP, unmatched: float = UNMATCHED, scale: float = SCALE) -> list[tuple[int, float] | None]:
     """For each wanted text the place of the found one that it is, and their similarity, so that the order holds and the
     total cost is least: of a skipped found text, of an unmatched wanted one, and of the dissimilarity of a pair. Of equal
-    costs, a pair comes before an unmatched text and that before a skipped one. Two rows of costs are kept, and a byte for
-    each step."""
+    costs, a pair comes before an unmatched text and that before a skipped one.
+
+    States (texts behind us on both sides) are taken up in the order of the least total that they allow, as the surplus of
+    one side must be skipped or stay unmatched. Texts are compared when the bound by their lengths has its turn, so
+    alignments that are nearly right compare little more than their own pairs."""
     n, m = len(wanted), len(found)
     known: dict[tuple[str, str], float] = {}
 
@@ -153,22 +157,51 @@ def align_in_order(wanted: list[str], found: list[str], skip: float = SKIP, unma
             known[a, b] = ratio(a, b)
         return known[a, b]
 
-    cost = [skip * j for j in range(m + 1)]
-    steps = [bytearray(b"\2" * (m + 1))]
-    for i in range(1, n + 1):
-        row, step = [unmatched * i], bytearray(b"\1" * (m + 1))
-        for j in range(1, m + 1):
-            c, step[j] = min((cost[j - 1] + (1 - alike(wanted[i - 1], found[j - 1])) * scale, 0), (cost[j] + unmatched, 1), (row[j - 1] + skip, 2))
-            row.append(c)
-        cost = row
-        steps.append(step)
+    def bound(a: str, b: str) -> float:
+        return 1.0 if a == b else 2 * min(len(a), len(b)) / max(len(a) + len(b), 1)
+
+    def least(so_far: float, i: int, j: int) -> float:
+        """The least total of a state; rounded, so that ties are ties."""
+        more = (m - j) - (n - i)
+        return round(so_far + (more * skip if more > 0 else -more * unmatched), 9)
+
+    cost: dict[tuple[int, int], float] = {}
+    best = float("inf")
+    # least total; whether a pair has still to be compared; of ties, later states first; the cost so far; the state
+    queue = [(least(0.0, 0, 0), False, 0, 0.0, 0, 0)]
+    while queue:
+        total, open_, _, so_far, i, j = heappop(queue)
+        if total > best + 1e-9:
+            break
+        if open_:  # the pair that leads here, from (i - 1, j - 1); texts that differ seldom reach their bound
+            if total < best - 1e-9:
+                so_far = cost[i - 1, j - 1] + (1 - alike(wanted[i - 1], found[j - 1])) * scale
+                heappush(queue, (least(so_far, i, j), False, -i - j, so_far, i, j))
+            continue
+        if so_far >= cost.get((i, j), float("inf")):
+            continue
+        cost[i, j] = so_far
+        if (i, j) == (n, m):
+            best = min(best, so_far)
+        if i < n and j < m:
+            low = so_far + (1 - bound(wanted[i], found[j])) * scale
+            heappush(queue, (least(low, i + 1, j + 1), wanted[i] != found[j], -i - j - 2, low, i + 1, j + 1))
+        if i < n:
+            heappush(queue, (least(so_far + unmatched, i + 1, j), False, -i - j - 1, so_far + unmatched, i + 1, j))
+        if j < m:
+            heappush(queue, (least(so_far + skip, i, j + 1), False, -i - j - 1, so_far + skip, i, j + 1))
     out: list[tuple[int, float] | None] = [None] * n
+    far = float("inf")
     i, j = n, m
     while i and j:
-        if steps[i][j] == 0:
+        pair = cost.get((i - 1, j - 1), far)
+        if pair < far:
+            pair += (1 - alike(wanted[i - 1], found[j - 1])) * scale if pair + (1 - bound(wanted[i - 1], found[j - 1])) * scale <= cost[i, j] + 1e-9 else far
+        alone, left = cost.get((i - 1, j), far) + unmatched, cost.get((i, j - 1), far) + skip
+        if pair <= min(alone, left) + 1e-12:
             i, j = i - 1, j - 1
             out[i] = (j, alike(wanted[i], found[j]))
-        elif steps[i][j] == 1:
+        elif alone <= left + 1e-12:
             i -= 1
         else:
             j -= 1

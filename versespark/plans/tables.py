@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..sources import staging
 
 #: The search index of each application and state of the documents: built once, asked by all searches.
 _INDEXES: dict[tuple, tuple] = {}
@@ -35,6 +36,12 @@ def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
     return _INDEXES[key][1]
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what queries of this application left in the shared folder; indexes are built again when they are asked for."""
+    _INDEXES.clear()
+    staging.release(spark)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line (from 0), text: the lines of documents."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")

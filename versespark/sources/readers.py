@@ -24,15 +24,18 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def proof_pages(spark: SparkSession, glob: str, page_schema: str) -> DataFrame:
-    """The pages of all files {pages: [...]} that a glob names; files that can't be parsed are left out."""
+    """The pages of all files {pages: [...]} that a glob names, with their file and place in it (file, page_no); files that
+    can't be parsed are left out."""
     d = spark.read.schema(f"pages array<struct<{page_schema}>>, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(glob)
-    return d.filter("_corrupt is null").select(F.explode("pages").alias("p")).select("p.*")
+    return d.filter("_corrupt is null").select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.posexplode("pages").alias("page_no", "p")).select("file", "page_no", "p.*")
 
 
 def keyed_chunks(spark: SparkSession, glob: str, value_schema: str) -> DataFrame:
-    """key, value of files that hold one object by key."""
-    d = spark.read.text(glob, wholetext=True)
-    return d.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("key", "value"))
+    """key, value of files that hold one object by key; a key in two files fails."""
+    d = spark.read.text(glob, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("key", "value"))
+    d = d.groupBy("key").agg(F.count("*").alias("_n"), F.first("value").alias("value"))
+    twice = F.raise_error(F.concat(F.lit("a key in two files: "), F.col("key"))).cast("string")
+    return d.select(F.when(F.col("_n") > 1, twice).otherwise(F.col("key")).alias("key"), "value")
 
 
 def ocr_words(spark: SparkSession, glob: str) -> DataFrame:
@@ -63,7 +66,7 @@ def body_spans(spans: DataFrame, size: float = 12.0, slack: float = 0.2) -> Data
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content of each file."""
+    """path, length, content of each file that isn't empty (Spark lists no empty ones)."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
 
 

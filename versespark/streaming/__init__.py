@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATUSES = ["pending", "issue", "verified"]
@@ -37,17 +37,38 @@ def merged(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return latest(state.unionByName(batch.select(*state.columns)), key)
 
 
+#: Buckets of keys that state is kept in; a batch rewrites only those that its keys are in.
+BUCKETS = 64
+
+
+def state_of(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The newest rows of keyed state under `path`: of each bucket, what the last batch that touched it wrote. `before` leaves
+    out that batch and later ones."""
+    d = spark.read.schema(f"{schema}, batch long, bucket int").option("basePath", path).parquet(path)
+    if before is not None:
+        d = d.filter(F.col("batch") < before)
+    newest = d.groupBy("bucket").agg(F.max("batch").alias("batch"))  # BUCKETS rows at most
+    return d.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("batch", "bucket")
+
+
+def put_state(rows: DataFrame, path: str, key: str, n: int, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Merge a batch's rows with the state of the buckets that they touch. A batch that is run again writes the same."""
+    spark, schema = rows.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    if n:
+        touched = [r[0] for r in rows.select(bucket).distinct().collect()]
+        rows = rows.unionByName(state_of(spark, path, schema, n).filter(bucket.isin(touched)))
+    merge(rows).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={n}")
+
+
 def upsert_stream(events: DataFrame, key: str, state_path: str, rejects_path: str, checkpoint: str, statuses: list[str] = STATUSES):
-    """A streaming query that keeps the last valid event of each key in numbered snapshots under `state_path`, and appends
-    what is invalid to `rejects_path`. A batch that is run again writes the same snapshot."""
+    """A streaming query that keeps the last valid event of each key in buckets under `state_path` (read by state_of), and
+    appends what is invalid to `rejects_path`."""
 
     def take(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        good = valid(batch, statuses)
-        batch.filter(~F.coalesce(good, F.lit(False))).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{rejects_path}/batch={n}")
-        new = latest(batch.filter(good), key)
-        state = merged(spark.read.parquet(f"{state_path}/{n - 1}"), new, key) if n else new
-        state.write.mode("overwrite").parquet(f"{state_path}/{n}")
+        good = F.coalesce(valid(batch, statuses), F.lit(False))
+        batch.filter(~good).write.mode("overwrite").parquet(f"{rejects_path}/batch={n}")
+        put_state(batch.filter(good), state_path, key, n, lambda d: latest(d, key))
 
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
 
@@ -59,26 +80,28 @@ def latest_query(requests: DataFrame, session: str = "session") -> DataFrame:
 
 def newest_only_stream(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, session: str = "session"):
     """Each micro-batch answers the last query of each session; older requests than one answered before are left out."""
+    seen_schema = f"`{session}` {requests.schema[session].dataType.simpleString()}, request_id {requests.schema['request_id'].dataType.simpleString()}"
 
     def take(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
         last = latest_query(batch, session)
         if n:
-            seen = spark.read.parquet(f"{path}/seen/{n - 1}")
+            seen = state_of(batch.sparkSession, f"{path}/seen", seen_schema, n)
             last = last.join(seen.withColumnRenamed("request_id", "_seen"), session, "left").filter("_seen is null or request_id > _seen").drop("_seen")
         answer(last).write.mode("overwrite").parquet(f"{path}/answers/batch={n}")
-        ids = last.select(session, "request_id")
-        if n:
-            ids = ids.unionByName(seen).groupBy(session).agg(F.max("request_id").alias("request_id"))
-        ids.write.mode("overwrite").parquet(f"{path}/seen/{n}")
+        put_state(last.select(session, "request_id"), f"{path}/seen", session, n, lambda d: d.groupBy(session).agg(F.max("request_id").alias("request_id")))
 
     return requests.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
 
 
+def progress_stream(events: DataFrame, active: DataFrame, path: str, checkpoint: str):
+    """Progress of active requests (a table) as it comes, appended to `path`."""
+    return progress(events, active).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def progress(events: DataFrame, active: DataFrame) -> DataFrame:
-    """Progress of active requests (request_id): at most 0.99 until an event says that it is complete."""
-    share = F.when(F.col("complete"), 1.0).otherwise(F.least(F.lit(0.99), F.try_divide(F.col("bytes").cast("double"), F.col("total"))))
-    return events.join(active, "request_id").withColumn("progress", F.coalesce(share, F.lit(0.0)))
+    """Progress of active requests (request_id): at most 0.99 until an event says that it is complete; 0 of an unknown total."""
+    share = F.coalesce(F.try_divide(F.col("bytes").cast("double"), F.col("total")), F.lit(0.0))
+    return events.join(active, "request_id").withColumn("progress", F.when(F.col("complete"), 1.0).otherwise(F.least(F.lit(0.99), share)))
 
 
 def progress_counts(state: DataFrame) -> DataFrame:
