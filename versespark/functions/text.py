@@ -42,14 +42,14 @@ def devanagari_number(n: Column) -> Column:
 
 
 def decomposed(words: DataFrame, word: str, out: str) -> DataFrame:
-    """`words` with the canonical decomposition of a column; words of ASCII letters don't go to Python."""
+    """`words` with the canonical decomposition of a column; words of ASCII letters go to Python as nulls."""
 
     @F.pandas_udf("string")
     def nfd(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFD", x), na_action="ignore")
 
-    plain = F.col(word).isNull() | F.col(word).rlike(r"^[\x00-\x7F]*\z")
-    return words.filter(plain).withColumn(out, F.col(word)).unionByName(words.filter(~plain).withColumn(out, nfd(F.col(word))))
+    plain = F.col(word).rlike(r"^[\x00-\x7F]*\z")
+    return words.withColumn(out, F.coalesce(nfd(F.when(~plain, F.col(word))), F.col(word)))
 
 
 def normal(nfd: Column) -> Column:

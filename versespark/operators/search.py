@@ -4,7 +4,7 @@ An index is built once: documents are exploded to fields and words, and each wor
 (postings). Everything that depends on a word alone (normal form, spelling, stems, sounds) is worked out once for each
 distinct word. The distinct terms of all queries meet distinct words first - by stem, by a prefix key, by sound, or by
 character trigrams for terms that aren't plain letters - and the words found meet their postings once, however many
-queries share a term. Section and collection filter before anything is scored; places are compared only for documents
+queries share a term. What a batch of queries brings is staged, so Spark knows its size and broadcasts it or not. Section and collection filter before anything is scored; places are compared only for documents
 that have all terms of a query; the field to show is worked out for the results that are shown.
 
 Queries: query_id, query and optionally `phrase` (boolean), `section` and `scope` (a collection; empty or null: all).
@@ -37,6 +37,11 @@ def small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt out to as many tasks as a shuffle has, before work that costs more than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def search_fields(pads: DataFrame) -> DataFrame:
     """mode, id, section, field_no, kind, text: the title, non-empty metadata, headings, verses and notes in order."""
     one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("text"))
@@ -58,20 +63,28 @@ def field_key(field_no: Column, kind: Column) -> Column:
 
 
 def postings_of(fields: DataFrame) -> DataFrame:
-    """word, mode, id, section, places, body: a document's places of a word. A place is the field's key and the word's number
-    in it; in `body`, words are counted on through the verses. The document's rows stay together, so there is one shuffle."""
+    """word, mode, id, section, places: a document's places of a word. A place is the field's key and the word's number in it;
+    words of verses are counted on through all of them, so that neighbours across lines are neighbours. The document's rows
+    stay together, so there is one shuffle."""
     d = field_words(fields)
     w = Window.partitionBy("mode", "id").orderBy("field_no").rowsBetween(Window.unboundedPreceding, -1)
     verse = F.col("kind") == "verse"
-    d = d.withColumn("before", F.when(verse, F.coalesce(F.sum(F.when(verse, F.size("words"))).over(w), F.lit(0))))
-    d = d.select("mode", "id", "section", "before", field_key(F.col("field_no"), F.col("kind")).alias("field"), F.posexplode("words").alias("pos", "word"))
-    place = F.call_function("shiftleft", F.col("field"), F.lit(32)) + F.col("pos")
-    return d.groupBy("mode", "id", "section", "word").agg(F.collect_list(place).alias("places"), F.collect_list(F.col("before") + F.col("pos")).alias("body"))
+    before = F.when(verse, F.coalesce(F.sum(F.when(verse, F.size("words"))).over(w), F.lit(0))).otherwise(0)
+    first = F.call_function("shiftleft", field_key(F.col("field_no"), F.col("kind")), F.lit(32)) + before
+    d = d.select("mode", "id", "section", first.alias("first"), "words").select("mode", "id", "section", "first", F.posexplode("words").alias("pos", "word"))
+    return d.groupBy("mode", "id", "section", "word").agg(F.collect_list(F.col("first") + F.col("pos")).alias("places"))
+
+
+def verse_places(places: Column) -> Column:
+    """The numbers of places in verses, whatever the line."""
+    verse = KINDS.index("verse")
+    inside = F.filter(places, lambda p: F.call_function("shiftright", p, F.lit(32)) % 8 == verse)
+    return F.transform(inside, lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def word_dim(words: DataFrame) -> DataFrame:
     """word, normal, stem, search_stems, sounds for each distinct word."""
-    d = T.decomposed(staged(words.select("word").distinct(), "distinct-words"), "word", "nfd")
+    d = T.decomposed(spread(words.select("word").distinct()), "word", "nfd")
     d = d.select("word", T.normal(F.col("nfd")).alias("normal"), T.stem_of(T.romanized(F.col("nfd"))).alias("stem"))
     d = d.withColumn("search_stems", T.search_stems(F.col("normal"), F.col("stem")))
     return d.withColumn("sounds", F.transform("search_stems", T.sound))
@@ -79,17 +92,16 @@ def word_dim(words: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """What many searches share: the fields (recomputed when asked), and the staged postings and words."""
+    """What many searches share: the staged postings and words."""
 
-    fields: DataFrame
     postings: DataFrame
     dim: DataFrame
 
 
 def build_index(pads: DataFrame | None = None, fields: DataFrame | None = None) -> Index:
-    fields = search_fields(pads) if fields is None else fields
+    fields = search_fields(spread(pads, "mode", "id")) if fields is None else spread(fields, "mode", "id")
     postings = staged(postings_of(fields), "search-postings")
-    return Index(fields, postings, staged(word_dim(postings), "search-words"))
+    return Index(postings, staged(word_dim(postings), "search-words"))
 
 
 def analysed(queries: DataFrame) -> DataFrame:
@@ -118,13 +130,13 @@ def matched_words(terms: DataFrame, dim: DataFrame, keys: list[str]) -> DataFram
     """keys, word, strength: 3 for a substring, 2 for a stem or its beginning, 1 for a sound."""
     latin, other = terms.filter("latin"), terms.filter("not latin")
     stems = dim.select("word", F.explode("search_stems").alias("s"))
-    exact = stems.join(small(latin.select(*keys, F.col("roman").alias("s"))), "s").select(*keys, "word", F.lit(2).alias("strength"))
+    exact = stems.join(latin.select(*keys, F.col("roman").alias("s")), "s").select(*keys, "word", F.lit(2).alias("strength"))
     long = latin.filter(F.length("roman") >= PREFIX).select(*keys, "roman", F.substring("roman", 1, PREFIX).alias("head"))
     heads = stems.filter(F.length("s") >= PREFIX).withColumn("head", F.substring("s", 1, PREFIX))
-    prefix = heads.join(small(long), "head").filter(F.startswith("s", "roman")).select(*keys, "word", F.lit(2).alias("strength"))
+    prefix = heads.join(long, "head").filter(F.startswith("s", "roman")).select(*keys, "word", F.lit(2).alias("strength"))
     heard = latin.filter(~F.col("phrase") & (F.length("text") >= 4) & (F.length("sound") >= 3)).select(*keys, F.col("sound").alias("snd"))
     sounds = dim.select("word", F.explode("sounds").alias("snd"))
-    phonetic = sounds.join(small(heard), "snd").select(*keys, "word", F.lit(1).alias("strength"))
+    phonetic = sounds.join(heard, "snd").select(*keys, "word", F.lit(1).alias("strength"))
     found = exact.unionByName(prefix).unionByName(phonetic)
     # substrings: words by all their grams, terms by their first one (of three characters, if they have so many)
     for n in sorted(r[0] for r in other.select(F.least(F.length("text"), F.lit(GRAM))).distinct().collect()):
@@ -132,7 +144,7 @@ def matched_words(terms: DataFrame, dim: DataFrame, keys: list[str]) -> DataFram
         of_word = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("normal") - n + 1), lambda i: gram(F.col("normal"), i)))
         words = dim.filter(F.length("normal") >= n).select("word", "normal", F.explode(of_word).alias("gram"))
         asked = other.filter(F.least(F.length("text"), F.lit(GRAM)) == n).select(*keys, F.col("text").alias("t"), gram(F.col("text"), F.lit(1)).alias("gram"))
-        found = found.unionByName(words.join(small(asked), "gram").filter(F.contains("normal", "t")).select(*keys, "word", F.lit(3).alias("strength")))
+        found = found.unionByName(words.join(asked, "gram").filter(F.contains("normal", "t")).select(*keys, "word", F.lit(3).alias("strength")))
     return found.groupBy(*keys, "word").agg(F.max("strength").alias("strength"))
 
 
@@ -151,19 +163,17 @@ def ask(index: Index, queries: DataFrame) -> Asked:
     distinct = terms.select("term", "text", "latin", "roman", "sound", "phrase").distinct()
     found = matched_words(distinct, index.dim, ["term"])
     # words that are the term as a whole: by stem, or by normal form where it isn't plain letters
-    found = index.dim.select("word", "stem", "normal").join(small(staged(found, "search-found")), "word")
+    found = index.dim.select("word", "stem", "normal").join(staged(found, "search-found"), "word")
     whole = (F.col("latin") & (F.col("stem") == F.col("roman"))) | (~F.col("latin") & (F.col("normal") == F.col("text")))
-    found = found.join(small(distinct.select("term", "latin", "roman", "text")), "term").select("term", "word", "strength", whole.alias("whole"))
+    found = found.join(distinct.select("term", "latin", "roman", "text"), "term").select("term", "word", "strength", whole.alias("whole"))
     return Asked(q, terms, staged(found, "search-found"))
 
 
 def term_hits(index: Index, asked: Asked) -> DataFrame:
-    """term, mode, id, section, strength, title (whether it is in the title), and the places where it stands as a whole."""
-    hit = index.postings.join(small(asked.words), "word")
-    own = lambda c: F.flatten(F.collect_list(F.when(F.col("whole"), F.col(c))))
+    """term, mode, id, section, strength, title (whether it is in the title), and whether it stands somewhere as a whole."""
+    hit = index.postings.join(asked.words, "word")
     in_title = F.bool_or(F.array_min("places") < F.lit(8 << 32))
-    d = hit.groupBy("term", "mode", "id", "section").agg(F.max("strength").alias("strength"), in_title.alias("title"), own("places").alias("places"), own("body").alias("body"))
-    return d.withColumn("n_places", F.size("places"))
+    return hit.groupBy("term", "mode", "id", "section").agg(F.max("strength").alias("strength"), in_title.alias("title"), F.bool_or("whole").alias("whole"))
 
 
 def search(pads: DataFrame, queries: DataFrame, index: Index | None = None, snippets: bool = True) -> DataFrame:
@@ -174,13 +184,13 @@ def search(pads: DataFrame, queries: DataFrame, index: Index | None = None, snip
     index = build_index(pads) if index is None else index
     asked = ask(index, queries)
     hits = staged(term_hits(index, asked), "search-hits")
-    terms = asked.terms.select("query_id", "term_no", "term", "n_terms", "n_other").join(small(asked.queries.select("query_id", "phrase", F.col("section").alias("asked"), "scope")), "query_id")
+    terms = asked.terms.select("query_id", "term_no", "term", "n_terms", "n_other").join(asked.queries.select("query_id", "phrase", F.col("section").alias("asked"), "scope"), "query_id")
     terms = staged(terms, "search-asked")
     allowed = ((F.col("asked") == "") | (F.col("asked") == F.coalesce("section", F.lit("")))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode")))
-    docs = hits.drop("places", "body").join(small(terms), "term").filter(allowed)
-    docs = docs.groupBy(*DOC).agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.first("n_other").alias("n_other"), F.first("phrase").alias("phrase"), F.min("strength").alias("quality"), F.bool_and("title").alias("title"), F.min("n_places").alias("n_places"))
+    docs = hits.join(terms, "term").filter(allowed)
+    docs = docs.groupBy(*DOC).agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.first("n_other").alias("n_other"), F.first("phrase").alias("phrase"), F.min("strength").alias("quality"), F.bool_and("title").alias("title"), F.bool_and("whole").alias("whole"))
     docs = staged(docs.filter("n = n_terms").drop("n"), "search-candidates")
-    phrase = _in_order(docs, hits, terms).unionByName(_substring(index, docs, asked))
+    phrase = _in_order(index, docs, asked, terms).unionByName(_substring(pads, index, docs, asked))
     phrase = phrase.groupBy(*DOC).agg(F.max("bonus").alias("bonus"), F.lit(True).alias("some"))
     docs = docs.join(phrase, DOC, "left").filter(~F.col("phrase") | F.coalesce("some", F.lit(False)))
     score = F.col("quality") * 100 + F.when(F.col("title"), 50).otherwise(0) + F.when(F.coalesce("bonus", F.lit(False)), 20).otherwise(0)
@@ -189,32 +199,37 @@ def search(pads: DataFrame, queries: DataFrame, index: Index | None = None, snip
     return with_snippets(index, found, asked) if snippets else found
 
 
-def _in_order(docs: DataFrame, hits: DataFrame, terms: DataFrame) -> DataFrame:
+def _in_order(index: Index, docs: DataFrame, asked: Asked, terms: DataFrame) -> DataFrame:
     """DOC, bonus: documents where all terms of a query stand one after the other, each as its own word, in a field or through
-    the verses; bonus where it isn't a field other than the title."""
-    d = docs.filter((F.col("n_other") < F.col("n_terms")) & (F.col("n_places") > 0)).select(*DOC)
-    d = d.join(small(terms.select("query_id", "term_no", "term")), "query_id")
-    d = d.join(hits.select("term", "mode", "id", "places", "body"), ["term", "mode", "id"])
+    the verses; bonus where it isn't a field other than the title. Only documents that have all terms as whole words are
+    asked for places, and only for those of these words."""
+    d = docs.filter((F.col("n_other") < F.col("n_terms")) & F.col("whole")).select(*DOC)
+    d = staged(d.join(terms.select("query_id", "term_no", "term"), "query_id"), "search-whole")
+    mine = index.postings.join(asked.words.filter("whole").select("term", "word"), "word").join(d.select("term", "mode", "id").distinct(), ["term", "mode", "id"], "left_semi")
+    d = d.join(mine.select("term", "mode", "id", "places"), ["term", "mode", "id"])
     start = lambda c: F.transform(c, lambda x: x - F.col("term_no"))
-    d = d.groupBy(*DOC).agg(F.collect_list(F.struct(start("places").alias("places"), start("body").alias("body"))).alias("t"))
+    # a term may stand as several words; its places are those of all of them
+    d = d.groupBy(*DOC, "term_no").agg(F.flatten(F.collect_list("places")).alias("places"))
+    d = d.select(*DOC, F.struct(start(F.col("places")).alias("places"), start(verse_places(F.col("places"))).alias("body")).alias("t"))
+    d = d.groupBy(*DOC).agg(F.collect_list("t").alias("t"))
     common = lambda c: F.aggregate("t", F.get("t", F.lit(0))[c], lambda a, x: F.array_intersect(a, x[c]))
     d = d.select(*DOC, common("places").alias("places"), common("body").alias("body"))
     d = d.withColumn("bonus", (F.size("body") > 0) | F.coalesce(F.array_min("places") < F.lit(8 << 32), F.lit(False)))
-    return d.filter((F.size("places") > 0) | (F.size("body") > 0)).select(*DOC, "bonus")
+    return staged(d.filter((F.size("places") > 0) | (F.size("body") > 0)).select(*DOC, "bonus"), "search-in-order")
 
 
-def _substring(index: Index, docs: DataFrame, asked: Asked) -> DataFrame:
+def _substring(pads: DataFrame, index: Index, docs: DataFrame, asked: Asked) -> DataFrame:
     """DOC, bonus: where a query of other terms only stands in the normal text, also within words."""
-    d = docs.filter("n_other = n_terms").select(*DOC).join(small(asked.queries.select("query_id", "q")), "query_id")
+    d = docs.filter("n_other = n_terms").select(*DOC).join(asked.queries.select("query_id", "q"), "query_id")
     d = staged(d, "search-substrings")
-    mine = field_words(index.fields.join(small(d.select("mode", "id").distinct()), ["mode", "id"], "left_semi"))
+    mine = field_words(search_fields(spread(pads.join(d.select("mode", "id").distinct(), ["mode", "id"], "left_semi"))))
     words = mine.select("mode", "id", "field_no", "kind", F.posexplode("words").alias("pos", "word")).join(index.dim.select("word", "normal"), "word")
     text = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["normal"]), " ")
     texts = words.groupBy("mode", "id", "field_no", "kind").agg(text(F.collect_list(F.struct("pos", "normal"))).alias("normal"))
     texts = texts.groupBy("mode", "id").agg(F.collect_list(F.struct("field_no", "normal")).alias("all"), text(F.collect_list(F.when(F.col("kind") == "verse", F.struct("field_no", "normal")))).alias("body"))
     hit = d.join(texts, ["mode", "id"]).withColumn("fields", F.filter("all", lambda x: F.contains(x["normal"], F.col("q"))))
     in_body = F.contains("body", "q")
-    return hit.filter((F.size("fields") > 0) | in_body).select(*DOC, (in_body | F.exists("fields", lambda x: x["field_no"] == 0)).alias("bonus"))
+    return staged(hit.filter((F.size("fields") > 0) | in_body).select(*DOC, (in_body | F.exists("fields", lambda x: x["field_no"] == 0)).alias("bonus")), "search-within")
 
 
 def with_snippets(index: Index, results: DataFrame, asked: Asked | DataFrame) -> DataFrame:
@@ -222,10 +237,10 @@ def with_snippets(index: Index, results: DataFrame, asked: Asked | DataFrame) ->
     snippet_kind, its kind. `asked` may be the queries."""
     asked = asked if isinstance(asked, Asked) else ask(index, asked)
     results = staged(results, "search-results")
-    want = results.select(*DOC).join(small(asked.terms.select("query_id", "term_no", "term")), "query_id")
+    want = results.select(*DOC).join(asked.terms.select("query_id", "term_no", "term"), "query_id")
     pairs = want.select("term", "mode", "id").distinct()
     fields = F.array_distinct(F.transform("places", lambda p: F.call_function("shiftright", p, F.lit(32))))
-    mine = index.postings.join(small(asked.words), "word").join(small(pairs), ["term", "mode", "id"], "left_semi")
+    mine = index.postings.join(asked.words, "word").join(pairs, ["term", "mode", "id"], "left_semi")
     mine = mine.select("term", "mode", "id", "strength", F.explode(fields).alias("field")).groupBy("term", "mode", "id", "field").agg(F.max("strength").alias("strength"))
     per = want.join(mine, ["term", "mode", "id"]).groupBy(*DOC, "field").agg((F.count("*") * 10 + F.sum("strength")).alias("sum"))
     kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("field") % 8).cast("int"))
@@ -237,7 +252,7 @@ def with_snippets(index: Index, results: DataFrame, asked: Asked | DataFrame) ->
 
 def by_number(pads: DataFrame, q: DataFrame) -> DataFrame:
     """Results of queries that ask for a number; a document without a number is never found."""
-    asked = small(q.filter(F.col("cls") == "number").select("query_id", "number", F.col("section").alias("asked"), "scope"))
+    asked = q.filter(F.col("cls") == "number").select("query_id", "number", F.col("section").alias("asked"), "scope")
     hit = pads.join(asked, F.col("search_number") == F.col("number")).filter(((F.col("asked") == "") | (F.col("asked") == F.col("section"))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode"))))
     return hit.select(*DOC, F.lit(1000).alias("score"), F.lit("number").alias("match_kind"))
 
@@ -246,7 +261,7 @@ def by_nothing(pads: DataFrame, queries: DataFrame) -> DataFrame:
     """Results of empty queries: all documents, score 0, with the first line as snippet. Punctuation alone finds nothing."""
     q = analysed(queries).filter(F.col("cls") == "empty").select("query_id", F.col("section").alias("asked"), "scope")
     lines = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("headings", "verses", "notes")])
-    hit = pads.join(small(q), ((F.col("asked") == "") | (F.col("asked") == F.col("section"))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode"))))
+    hit = pads.join(q, ((F.col("asked") == "") | (F.col("asked") == F.col("section"))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode"))))
     return hit.select(*DOC, F.lit(0).alias("score"), F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("snippet"))
 
 
@@ -273,8 +288,8 @@ def name_matches(names: DataFrame, queries: DataFrame) -> DataFrame:
     fields = names.select(F.lit("").alias("mode"), F.col("name").alias("id"), F.lit("").alias("section"), F.lit(0).alias("field_no"), F.lit("name").alias("kind"), F.col("name").alias("text"))
     index = build_index(fields=fields.distinct())
     found = matched_words(terms, index.dim, ["query_id", "term_no"])
-    n = index.postings.join(small(staged(found, "name-words")), "word").select("query_id", "id", "term_no").distinct().groupBy("query_id", "id").agg(F.count("*").alias("n"))
-    return n.join(small(terms.select("query_id", "n_terms").distinct()), "query_id").filter("n = n_terms").select("query_id", F.col("id").alias("name"))
+    n = index.postings.join(staged(found, "name-words"), "word").select("query_id", "id", "term_no").distinct().groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    return n.join(terms.select("query_id", "n_terms").distinct(), "query_id").filter("n = n_terms").select("query_id", F.col("id").alias("name"))
 
 
 def excerpts(results: DataFrame, pads: DataFrame, queries: DataFrame, least: int = 240) -> DataFrame:
