@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import staging
+
 #: A table may be broadcast when it has at most this many rows (narrow rows: some tens of MB).
 BROADCAST_ROWS = 500_000
 
@@ -15,21 +14,9 @@ BROADCAST_ROWS = 500_000
 ARROW_BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-versespark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back, so that later reads survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """`df` written into the shared folder and read back; most tables here are worth packing well."""
+    return staging.staged(df, name, codec)
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -28,7 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, small_enough, staged
+from ..sources.staging import staging_dir
+from .common import bounded_batches, small_enough, staged
 
 #: Records of one archive file at most, and its bytes of payload: it is read back as a whole.
 RECORDS_PER_FILE, FILE_BYTES = 500, 512 << 20
@@ -245,4 +246,4 @@ def with_positions(merged: DataFrame) -> DataFrame:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return f"{staging_dir(spark)}/warc-{uuid.uuid4().hex}"
