@@ -114,6 +114,19 @@ def test_near_duplicates(docs, rows, nothing, width):
         assert near_dup.near_duplicates(nothing).count() == 0
 
 
+def test_working_columns_do_not_clash(spark, docs):
+    """Columns of a caller with the names of working columns or results pass through, or are replaced where a result has the name."""
+    d = docs.withColumns({c: F.lit(7) for c in ("id", "pool", "c1", "bands", "near_copy_id", "component_id", "mix_cell", "word", "bpe_both", "both", "repeat_id", "spans_", "place")})
+    left = near_dup.drop_near_duplicates(d)
+    assert left.columns == d.columns and left.filter("id <> 7 or pool <> 7").count() == 0
+    mixed = mixing.mix(d.withColumn("mix", F.lit(1)), {}, 0.5)
+    assert mixed.columns == [*d.columns, "mix"] and mixed.select("mix.drawn").count() == docs.count()
+    cut = substring_dedup.remove_repeats(d.withColumn("kept", F.lit(1)))
+    assert sorted(cut.columns) == sorted([*d.columns, "spans", "kept"]) and cut.filter("repeat_id <> 7").count() == 0
+    coded = bpe.encode_decode(d.withColumn("ids", F.lit(1)), public_tokenizers.path("byte_bpe_50k.json"))
+    assert coded.columns == [*d.columns, "ids", "decoded"] and coded.filter("bpe_both <> 7").count() == 0
+
+
 def test_near_duplicates_in_blocks(docs, monkeypatch):
     want = {(r["id"], r["component_id"]) for r in near_dup.near_duplicates(docs, 2).collect()}
     for name, value in (("CHUNK", 3), ("PIVOTS", 1)):
@@ -136,6 +149,28 @@ def test_pools_beside_unrelated_pivots(spark, monkeypatch, few):
     assert pools == {b * 100 + i: b * 100 + (3 if i < 5 else 7) for b in range(5) for i in (3, 4, 7, 8, 9)}
 
 
+def test_pools_at_background_similarity(spark):
+    """All documents are alike by 0.3, so bands are full of documents that are no candidates; every close pair is found."""
+    rng = np.random.default_rng(5)
+    new = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    core, sets = new(55), []
+    for _ in range(4000):
+        sets.append(np.concatenate([core, new(65)]))
+    for _ in range(60):  # 111 of 129 shingles in common
+        own = new(65)
+        sets += [np.concatenate([core, own]), np.concatenate([core, own[:56], new(9)])]
+    rows = []
+    for i, h in enumerate(sets):
+        samples = near_dup._samples(np.unique(h), near_dup.BANDS, near_dup.ROWS)
+        keys = np.arange(near_dup.BANDS, dtype=np.uint64)
+        for column in samples.reshape(near_dup.BANDS, near_dup.ROWS).T:
+            keys = near_dup._mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+        rows.append((i, len(h), keys.view(np.int64).tolist(), near_dup._sketch(samples, near_dup.SKETCH_LONGS).tolist()))
+    reps = spark.createDataFrame(rows, "id long, n_shingles long, bands array<long>, sketch array<long>")
+    pools = {r["id"]: r["pool"] for r in near_dup.candidate_pools(reps).collect()}
+    assert all(pools[i] == pools[i + 1] for i in range(4000, 4120, 2)) and len(pools) < 1000
+
+
 def test_odd_sketches_estimate(spark):
     rng = np.random.default_rng(1)
     for similarity in (0.7, 0.8, 0.95):
