@@ -97,7 +97,10 @@ def believed_box(box: Column, reliable: Column, height: Column) -> Column:
 
 
 def anchored_rows(fragments: DataFrame, page: str, y: str, order: str, tolerance: float = 0.7) -> DataFrame:
-    """fragments with row_no: a fragment more than `tolerance` off the first one of the row opens a new row."""
+    """fragments with row_no: a fragment more than `tolerance` off the first one of the row opens a new row.
+
+    A gap of more than that always opens one, so a page is cut at its gaps first, and only what stands close together is
+    one group; rows are then counted on through the page."""
 
     def cluster(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values([y, order], kind="stable")
@@ -108,7 +111,14 @@ def anchored_rows(fragments: DataFrame, page: str, y: str, order: str, tolerance
             rows.append(n)
         return p.assign(row_no=pd.array(rows, "int32"))
 
-    return fragments.groupBy(page).applyInPandas(lambda p: cluster(p), fragments.withColumn("row_no", F.lit(0)).schema)
+    gap = F.col(y) - F.lag(y).over(Window.partitionBy(page).orderBy(y)) > tolerance
+    cut = fragments.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
+    cut = cut.withColumn("_part", F.sum("_gap").over(Window.partitionBy(page).orderBy(y).rangeBetween(Window.unboundedPreceding, 0))).drop("_gap")
+    rows = cut.groupBy(page, "_part").applyInPandas(lambda p: cluster(p), cut.withColumn("row_no", F.lit(0)).schema)
+    counted = rows.groupBy(page, "_part").agg(F.max("row_no").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(page).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counted.select(page, "_part", before.cast("int").alias("_before"))
+    return rows.join(starts, [page, "_part"]).withColumn("row_no", F.col("row_no") + F.col("_before")).select(*fragments.columns, "row_no")
 
 
 def rejoined_rows(rows: DataFrame, page: str, reach: int = 4) -> DataFrame:

@@ -105,7 +105,7 @@ def region_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.in_region(d, r, "page").select("l_orderkey", "l_linenumber", "s_suppkey")
 
 
-@query(f"""with recursive r as (select l_suppkey as page, l_orderkey, place, l_quantity as y, row_number() over (partition by l_suppkey order by l_quantity, l_orderkey, place) as n from {PLACED_SQL}),
+@query(f"""with recursive r as materialized (select l_suppkey as page, l_orderkey, place, l_quantity as y, row_number() over (partition by l_suppkey order by l_quantity, l_orderkey, place) as n from {PLACED_SQL}),
 c as (select page, l_orderkey, place, y, n, y as anchor, 1 as row_no from r where n = 1
  union all select r.page, r.l_orderkey, r.place, r.y, r.n, case when abs(anchor - r.y) > 5 then r.y else anchor end, row_no + case when abs(anchor - r.y) > 5 then 1 else 0 end from c join r on r.page = c.page and r.n = c.n + 1)
 select page, l_orderkey, place, y, row_no from c""")
@@ -114,9 +114,20 @@ def anchor_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.anchored_rows(d, "page", "y", "l_orderkey", 5.0)
 
 
-@query()
+#: What order lines say, some in brackets, which stay alone.
+BRACKETED = "case when l_returnflag = 'R' and l_linestatus = 'F' then '[R]' else l_returnflag end"
+
+
+@query(f"""with recursive r as materialized (select l_suppkey as page, lpad(l_orderkey::varchar, 12, '0') || ' ' || lpad(place::varchar, 24, '0') as "order", (l_partkey % 500)::double as x0, l_quantity as y0, (l_partkey % 500 + 40.0)::double as x1, l_quantity + 10.0 as y1, {BRACKETED} as text, row_number() over (partition by l_suppkey order by l_orderkey, place) as n from {PLACED_SQL}),
+a as materialized (select *, length(text) < 18 and (contains(text, '[') or contains(text, ']')) as alone, y1 - y0 as h from r),
+c as (select *, [{{'k': 0, 'y0': y0, 'y1': y1, 'alone': alone}}] as last, 1 as lines, 0 as line_no from a where n = 1
+ union all select page, "order", x0, y0, x1, y1, text, n, alone, h, case when hit is null then list_append(last, {{'k': lines, 'y0': y0, 'y1': y1, 'alone': alone}})[-4:] else list_transform(last, lambda o: case when o.k = hit then {{'k': o.k, 'y0': least(o.y0, y0), 'y1': greatest(o.y1, y1), 'alone': o.alone}} else o end) end,
+  lines + (hit is null)::int, coalesce(hit, lines) from (
+   select a.*, c.last, c.lines, list_reverse(list_filter(c.last, lambda o: not a.alone and not o.alone and greatest(o.y1 - o.y0, a.h) < 2 * least(o.y1 - o.y0, a.h) and least(o.y1, a.y1) - greatest(o.y0, a.y0) > least(o.y1 - o.y0, a.h) / 2))[1].k as hit from c join a on a.page = c.page and a.n = c.n + 1))
+select page, "order", x0, y0, x1, y1, text, line_no::int as line_no from c""")
 def greedy_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _boxes(spark, sf_dir).withColumn("order", F.format_string("%012d %024d", "l_orderkey", "place")).select("page", "order", "x0", "y0", "x1", "y1", "text")
+    d = _boxes(spark, sf_dir).drop("text").join(_placed(spark, sf_dir).select("l_orderkey", "place", F.expr(BRACKETED).alias("text")).distinct(), ["l_orderkey", "place"])
+    d = d.withColumn("order", F.format_string("%012d %024d", "l_orderkey", "place")).select("page", "order", "x0", "y0", "x1", "y1", "text")
     return L.rejoined_rows(d, "page")
 
 
