@@ -11,6 +11,7 @@ def pad(id_, title, verses, mode="m", section=None, raag=None, notes=(), number=
     return (mode, id_, title, section, None, raag, None, None, [], list(verses), list(notes), number)
 
 
+# Words and queries whose spellings have to be found or told apart as they are here.
 DOCS = [
     pad(1, "राम", ["राम श्याम दयालु"], "a", "अ"),
     pad(2, "राम", ["राम दयालु"], "a", "ब"),
