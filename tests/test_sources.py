@@ -84,6 +84,18 @@ def test_staged_tables_are_released(spark):
     assert path.startswith(staging.staging_dir(spark)) and os.path.isdir(path)
 
 
+def test_search_index_is_shared_and_built_again(spark):
+    import shutil
+
+    from versespark.plans import tables
+
+    a = tables.index_of(spark, "/root/testdata/sf0.001")
+    assert tables.index_of(spark, "/root/testdata/sf0.001") is a and staging.there(a.dim)
+    shutil.rmtree(a.dim.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:"))
+    b = tables.index_of(spark, "/root/testdata/sf0.001")
+    assert b is not a and b.dim.count() > 0
+
+
 def test_newest_query_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("session string, request_id long, query string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

@@ -27,11 +27,12 @@ def pads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
-    """The documents' search index. It is built again if a file of the table is another, or newer, or of another length."""
+    """The documents' search index. It is built again if a file of the table is another, or newer, or of another length, or
+    if the index's own files are gone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
     state = files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES or _INDEXES[key][0] != state:
+    if key not in _INDEXES or _INDEXES[key][0] != state or not all(map(staging.there, (_INDEXES[key][1].postings, _INDEXES[key][1].dim))):
         _INDEXES[key] = (state, S.build_index(pads(spark, sf_dir)))
     return _INDEXES[key][1]
 

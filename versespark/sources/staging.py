@@ -32,6 +32,13 @@ def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def there(df: DataFrame) -> bool:
+    """Whether the files of a staged table are still there."""
+    context = df.sparkSession.sparkContext
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return all(p.getFileSystem(context._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application. Results that were not written or collected yet are lost with them."""
     jvm, folder = spark.sparkContext._jvm, staging_dir(spark)
