@@ -549,6 +549,7 @@ def odd_tables(spark, rows, tmp_path_factory):
     spark.createDataFrame(docs, DOCS).write.parquet(str(folder / "documents.parquet"))
     pages = [(1, "https://A.Example.org:8080/X?q=1#f", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "no scheme", None), (4, "http://u@b.com", ""), (5, "http://b.com/%20 a", "ñ"), (6, "http://b.com/%20 a", "ñ")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(folder / "pages.parquet"))
+    spark.createDataFrame([(1, "a b, A-c"), (2, None), (3, ""), (4, "éd ed\n10")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
     return str(folder)
 
 
@@ -559,7 +560,7 @@ def test_queries_equal_sql(spark, odd_tables, name, sf):
 
     folder = odd_tables if sf == "odd" else sf
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS FROM '{folder}/{t}.parquet{'/*.parquet' if sf == 'odd' else ''}'")
     got = corpus_queries.queries()[name](spark, folder)
     cols = ", ".join(sorted(got.columns))

@@ -3,7 +3,7 @@ its sketches, fingerprints, indexes or merges, so that it checks them."""
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, warc
+from . import line_dedup, mixing, quality, resampling, warc
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -156,3 +156,33 @@ SELECT doc_id, topic, counted.tokens, round(weight, 6) AS weight, round(coalesce
   ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < coalesce(least(1, weight * c), 1) AS drawn, (SELECT bool_and(converged) FROM weighed) AS converged
 FROM counted CROSS JOIN factor LEFT JOIN weighed USING (source, lang, topic)
 """
+
+
+def _resampling_words(table: str, doc_id: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"SELECT row_number() OVER () AS k, {doc_id} AS doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM {table}"
+
+
+#: The CRC-32 of distinct words is worked out byte by byte with a table of 256 values.
+RESAMPLING = f"""
+WITH RECURSIVE bit AS (SELECT n, 0 AS k, n::BIGINT AS x FROM range(256) r(n) UNION ALL SELECT n, k + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) FROM bit WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(x ORDER BY n) AS c FROM bit WHERE k = 8),
+doc AS MATERIALIZED ({_resampling_words("documents", "doc_id")}),
+aim AS MATERIALIZED ({_resampling_words("benchmark", "NULL")}),
+raw AS MATERIALIZED (SELECT k, w, count(*)::BIGINT AS n FROM (SELECT k, unnest(w) AS w FROM doc) GROUP BY ALL),
+goal AS (SELECT w, count(*)::BIGINT AS n FROM (SELECT unnest(w) AS w FROM aim) GROUP BY ALL),
+word AS (SELECT w, hex(w) AS h, list_transform(range(octet_length(encode(w))), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) AS bytes FROM (SELECT w FROM raw UNION SELECT w FROM goal)),
+bucket AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295) % {resampling.BUCKETS} AS b FROM word, crc),
+s AS (SELECT b, sum(n)::BIGINT AS s FROM raw JOIN bucket USING (w) GROUP BY b),
+t AS (SELECT b, sum(n)::BIGINT AS t FROM goal JOIN bucket USING (w) GROUP BY b),
+size AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE + {resampling.BUCKETS} AS s, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE + {resampling.BUCKETS} AS t),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * size.s / ((s.s + 1)::DOUBLE * size.t)))::BIGINT AS g FROM s LEFT JOIN t USING (b), size),
+mean AS (SELECT k, floor(sum(n * g)::DOUBLE / sum(n))::BIGINT AS m, sum(n)::BIGINT AS n FROM raw JOIN bucket USING (w) JOIN gain USING (b) GROUP BY k),
+scored AS (
+  SELECT k, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(m, 0) AS weight,
+    coalesce(m, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM doc LEFT JOIN mean USING (k)
+),
+ranked AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= {resampling.MIN_WORDS})
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN r <= n * {resampling.PERCENT} // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (k)
+"""
