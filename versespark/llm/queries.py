@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_wrappers, line_dedup, mixing, near_dup, permutation_index, quality, resampling, sql, substring_dedup, url_filter, warc
+from . import bpe, html_wrappers, line_dedup, mixing, near_dup, permutation_index, quality, resampling, sql, substring_dedup, url_filter, warc, whitening
 from .url_labels import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("kept_bytes"), "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     df = resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
@@ -100,7 +104,7 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_permutation_index, op3_html_wrappers, op4_near_dedup, op5_bpe_round_trip, op6_mixing, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup, op12_resampling)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_permutation_index, op3_html_wrappers, op4_near_dedup, op5_bpe_round_trip, op6_mixing, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup, op11_whitening, op12_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
