@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_wrappers, line_dedup, mixing, near_dup, permutation_index, quality, resampling, sql, substring_dedup, url_filter, warc, whitening
+from . import bpe, html_wrappers, line_dedup, mixing, near_dup, permutation_index, quality, resampling, sql, substring_dedup, toxicity, url_filter, warc, whitening
 from .url_labels import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,8 +103,17 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = toxicity.fold(F.col("doc_id")) == 0
+    lexicon = toxicity.learn(docs, labels.filter(~held_out))
+    score = F.col("toxicity.score")
+    return toxicity.judge(docs, lexicon).select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.size("toxicity.hits").alias("n_hits"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_permutation_index, op3_html_wrappers, op4_near_dedup, op5_bpe_round_trip, op6_mixing, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup, op11_whitening, op12_resampling)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_permutation_index, op3_html_wrappers, op4_near_dedup, op5_bpe_round_trip, op6_mixing, op7_url_filter, op8_quality_rules, op9_warc, op10_line_dedup, op11_whitening, op12_resampling, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
