@@ -86,6 +86,58 @@ def test_align_in_order_of_long_pages():
     assert [g[0] for g in L.align_in_order([found[k] for k in keep], found)] == keep
 
 
+def page_pairs(seed, pages):
+    """Lines of pages, and as they were found: some missing, some changed, some added, some twice, some in another order."""
+    rng = random.Random(seed)
+    words = lambda k: "".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(k))
+    wanted, source = {}, {}
+    for p in range(pages):
+        src = [words(rng.randrange(3, 8)) for _ in range(rng.randrange(0, 14))]
+        if p % 3 == 0 and len(src) > 4:
+            src[3] = src[1]
+        want = []
+        for x in src:
+            r = rng.random()
+            want += [] if r < 0.15 else [x[:4] + "z" + x[5:]] if r < 0.4 else [x]
+            want += [words(5)] if r > 0.92 else []
+        if p % 5 == 0 and len(want) > 3:
+            want[0], want[2] = want[2], want[0]
+        wanted[p], source[p] = want, src
+    return wanted, source
+
+
+def as_lines(spark, pages):
+    return spark.createDataFrame([(p, i, x) for p, lines in pages.items() for i, x in enumerate(lines)], "page long, line long, text string")
+
+
+def test_aligned_rows_between_anchors(spark):
+    wanted, source = page_pairs(2, 40)
+    wanted[99], source[98] = ["only here"], ["only there"]
+    got = {(r["page"], r["line"]): (r["source_line"], r["score"], r["reliable"]) for r in L.aligned_rows(as_lines(spark, wanted), as_lines(spark, source), "page").collect()}
+    want = {(p, i): (None, None, False) if g is None else (g[0], round(g[1], 3), g[1] >= L.RELIABLE) for p in wanted for i, g in enumerate(L.align_in_order(wanted[p], source.get(p, [])))}
+    total = lambda d, p: sum((1 - v[1]) * 1.3 - 1.35 if v[1] is not None else 0 for k, v in d.items() if k[0] == p)
+    assert got.keys() == want.keys()
+    assert all(total(got, p) == pytest.approx(total(want, p), abs=0.01) for p in wanted)
+
+
+def test_aligned_rows_of_a_long_page(spark):
+    """Two thousand lines, no two of which are alike, every tenth changed and every seventh missing: work is between anchors."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choices("abcdefghij", k=40)) for _ in range(2000)]
+    source = [(0, i, x) for i, x in enumerate(lines)]
+    wanted = [(0, i, "zz" + x[2:] if i % 10 == 3 else x) for i, x in enumerate(lines) if i % 7]
+    frame = lambda rows: spark.createDataFrame(rows, "page long, line long, text string")
+    got = L.aligned_rows(frame(wanted), frame(source), "page").collect()
+    assert len(got) == len(wanted) and all(r["line"] == r["source_line"] and r["reliable"] for r in got)
+
+
+def test_undisputed_pairs():
+    assert L.longest_rising([5, 1, 2, 9, 3]) == [1, 2, 4] and L.longest_rising([]) == []
+    assert L.undisputed([(0, 2), (1, 1), (2, 0)]) == []  # any of them may be right
+    moved = [(0, 9), *((i, i - 1) for i in range(1, 10))]
+    assert L.undisputed(moved) == list(range(1, 10))
+
+
 def test_correction_that_does_not_fit(spark):
     d = spark.createDataFrame([(1, 0, "x")], "p long, line long, text string")
     c = spark.createDataFrame([(1, 0, "y", "z")], "p long, line long, before string, after string")

@@ -6,6 +6,7 @@ before, an alignment on all rows before) runs in Arrow groups of one page, which
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
 from heapq import heappop, heappush
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ocr_normal
+from ..sources.staging import staged
 
 
 # From how many letters on a row is compared, below what similarity it may be missing; costs of an alignment,
@@ -23,6 +25,9 @@ MORE_LETTERS, MISSING = 10, 0.5
 SKIP, UNMATCHED, SCALE, RELIABLE = 0.55, 0.8, 1.3, 0.62
 HEIGHTS = (8, 100)
 
+#: A pair of equal lines out of order is a matter of dispute if it crosses at most so many others.
+CROSSED = 3
+
 
 def ratio(a: str, b: str) -> float:
     """The share of characters that two texts have in common blocks (longest first); the order of the texts matters."""
@@ -218,9 +223,70 @@ def align_in_order(wanted: list[str], found: list[str], skip: float = SKIP, unma
     return out
 
 
+def longest_rising(values: list[int]) -> list[int]:
+    """The places of a longest strictly rising subsequence."""
+    tails: list[int] = []  # the smallest value that ends a subsequence of each length
+    at: list[int] = []
+    before: list[int] = []
+    for k, v in enumerate(values):
+        n = bisect_left(tails, v)
+        before.append(at[n - 1] if n else -1)
+        tails[n : n + 1], at[n : n + 1] = [v], [k]
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def undisputed(pairs: list[tuple[int, int]], few: int = CROSSED) -> list[int]:
+    """The places of pairs (sorted by their first number) that a longest rising chain holds, less those that are crossed by a
+    pair outside of it which crosses no more than `few` - there, either may be the right one - and less those whose
+    neighbours aren't pairs too, on either side: a line alone may be out of place."""
+    chain = longest_rising([j for _, j in pairs])
+    lines, sources = [pairs[k][0] for k in chain], [pairs[k][1] for k in chain]
+    inside, disputed = set(chain), set()
+    for k, (i, j) in enumerate(pairs):
+        if k not in inside:
+            low, high = sorted((bisect_left(lines, i), bisect_left(sources, j)))
+            if high - low <= few:
+                disputed.update(range(low, high))
+    kept = [k for n, k in enumerate(chain) if n not in disputed]
+    there = {pairs[k] for k in kept}
+    return [k for k in kept if {(pairs[k][0] - 1, pairs[k][1] - 1), (pairs[k][0] + 1, pairs[k][1] + 1)} & there]
+
+
+def anchors(corrected: DataFrame, source: DataFrame, page: str) -> DataFrame:
+    """page, line, source_line: lines that are equal and stand once on either side of their page, as far as their order is
+    that of the source (a longest rising subsequence) beyond dispute. Only pairs of numbers go to a page's task, no texts."""
+    once = lambda d, line: d.groupBy(page, "text").agg(F.min("line").alias(line), F.count("*").alias("n")).filter("n = 1").drop("n")
+    pairs = once(corrected.filter("text != ''"), "line").join(once(source.filter("text != ''"), "source_line"), [page, "text"]).select(page, "line", "source_line")
+
+    def chain(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("line")
+        return p.iloc[undisputed(list(zip(p["line"], p["source_line"], strict=True)))]
+
+    return pairs.groupBy(page).applyInPandas(lambda p: chain(p), pairs.schema)
+
+
 def aligned_rows(corrected: DataFrame, source: DataFrame, page: str, reliable: float = RELIABLE) -> DataFrame:
     """page, line, source_line, score, reliable for the corrected lines (line, text) against the source's, page by page, by
-    their normal forms."""
+    their normal forms.
+
+    Anchors pair off at once and cut a page into blocks. A block of one side only needs no work; the others are aligned each
+    on its own, in as many tasks as there are blocks, so what a task holds is what lies between two anchors."""
+    normal = lambda d: d.select(F.col(page).alias(page), F.col("line").cast("long").alias("line"), F.coalesce(ocr_normal(F.col("text"), True), F.lit("")).alias("text"))
+    a, b = staged(normal(corrected), "align-wanted"), staged(normal(source), "align-source")
+    fixed = staged(anchors(a, b, page), "align-anchors")
+
+    def blocks(d: DataFrame, line: str) -> DataFrame:
+        """The lines between anchors, with the number of anchors of their page before them."""
+        marks = fixed.select(page, F.col(line).alias("line"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("_mark"))
+        w = Window.partitionBy(page).orderBy("line", F.desc("_mark")).rowsBetween(Window.unboundedPreceding, 0)
+        both = d.withColumn("_mark", F.lit(0)).unionByName(marks)
+        # an anchor's own line stands behind its mark, and is left out
+        both = both.withColumns({"_block": F.sum("_mark").over(w), "_own": F.max("_mark").over(Window.partitionBy(page, "line"))})
+        return both.filter((F.col("_mark") == 0) & (F.col("_own") == 0)).select(page, "_block", "line", "text")
 
     def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("line"), b.sort_values("line")
@@ -236,6 +302,12 @@ def aligned_rows(corrected: DataFrame, source: DataFrame, page: str, reliable: f
             }
         )
 
-    normal = lambda d: d.select(F.col(page).alias(page), F.col("line").alias("line"), F.coalesce(ocr_normal(F.col("text"), True), F.lit("")).alias("text"))
-    b = normal(source)
-    return normal(corrected).groupBy(page).cogroup(b.groupBy(page)).applyInPandas(lambda a, b: align(a, b), f"{page} long, line long, source_line long, score double, reliable boolean")
+    x, y = staged(blocks(a, "line"), "align-wanted"), blocks(b, "source_line")
+    keys = [page, "_block"]
+    y = staged(y.join(x.select(*keys).distinct(), keys, "left_semi"), "align-source")
+    there = y.select(*keys).distinct()
+    alone = x.join(there, keys, "left_anti").select(page, "line", F.lit(None).cast("long").alias("source_line"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("reliable"))
+    kind = a.schema[page].dataType.simpleString()
+    between = x.join(there, keys, "left_semi").groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(lambda a, b: align(a, b), f"{page} {kind}, line long, source_line long, score double, reliable boolean")
+    paired = fixed.select(page, "line", "source_line", F.lit(1.0).alias("score"), F.lit(1.0 >= reliable).alias("reliable"))
+    return paired.unionByName(alone).unionByName(between)

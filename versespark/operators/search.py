@@ -1,11 +1,14 @@
 """Ranked, transliteration-aware search of many queries over many documents, as joins and aggregations.
 
 An index is built once: documents are exploded to fields and words, and each word's places in a document are one row
-(postings). Everything that depends on a word alone (normal form, spelling, stems, sounds) is worked out once for each
-distinct word. The distinct terms of all queries meet distinct words first - by stem, by a prefix key, by sound, or by
-character trigrams for terms that aren't plain letters - and the words found meet their postings once, however many
-queries share a term. What a batch of queries brings is staged, so Spark knows its size and broadcasts it or not. Section and collection filter before anything is scored; places are compared only for documents
-that have all terms of a query; the field to show is worked out for the results that are shown.
+(postings). Postings are kept in buckets by the first letters of their word, sorted by word, and so are the keys by which
+words are found (stems, heads of stems, sounds): a batch of queries reads the buckets of its terms and words, and no other.
+Everything that depends on a word alone (normal form, spelling, stems, sounds) is worked out once for each distinct word.
+
+The distinct terms of all queries meet the keys of words first - or, for terms that aren't plain letters, the words' character
+trigrams - and the words found meet their postings once, however many queries share a term. That one pass brings strength,
+title and places together, dealt by document, so that terms, queries and phrases are all decided without another shuffle.
+Section and collection filter before anything is scored; the field to show is worked out for the results that are shown.
 
 Queries: query_id, query and optionally `phrase` (boolean), `section` and `scope` (a collection; empty or null: all).
 Documents (pads): mode, id, title, section, subtopic, raag, taal, form, headings, verses, notes (arrays of strings),
@@ -16,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +32,15 @@ METADATA = ["section", "subtopic", "raag", "taal", "form"]
 PREFIX = 4
 KINDS = ["title", "metadata", "heading", "verse", "footnote", "name"]
 GRAM = 3
+#: Places below are in the title.
+TITLE_END = 8 << 32
+#: Terms of a query whose states share one number.
+MASK = 62
 DOC = ["query_id", "mode", "id"]
-#: A query table is broadcast up to so many terms.
+#: A table is broadcast up to so many rows.
 BROADCAST_TERMS = 200_000
+#: Buckets of postings and of keys.
+BUCKETS = 64
 
 
 def small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
@@ -63,7 +74,7 @@ def field_key(field_no: Column, kind: Column) -> Column:
 
 
 def postings_of(fields: DataFrame) -> DataFrame:
-    """word, mode, id, section, places: a document's places of a word. A place is the field's key and the word's number in it;
+    """word, mode, id, section, in_title, places: a document's places of a word. A place is the field's key and the word's number in it;
     words of verses are counted on through all of them, so that neighbours across lines are neighbours. The document's rows
     stay together, so there is one shuffle."""
     d = field_words(fields)
@@ -72,7 +83,8 @@ def postings_of(fields: DataFrame) -> DataFrame:
     before = F.when(verse, F.coalesce(F.sum(F.when(verse, F.size("words"))).over(w), F.lit(0))).otherwise(0)
     first = F.call_function("shiftleft", field_key(F.col("field_no"), F.col("kind")), F.lit(32)) + before
     d = d.select("mode", "id", "section", first.alias("first"), "words").select("mode", "id", "section", "first", F.posexplode("words").alias("pos", "word"))
-    return d.groupBy("mode", "id", "section", "word").agg(F.collect_list(F.col("first") + F.col("pos")).alias("places"))
+    d = d.groupBy("mode", "id", "section", "word").agg(F.collect_list(F.col("first") + F.col("pos")).alias("places"))
+    return d.withColumn("in_title", F.array_min("places") < F.lit(TITLE_END))
 
 
 def verse_places(places: Column) -> Column:
@@ -90,18 +102,68 @@ def word_dim(words: DataFrame) -> DataFrame:
     return d.withColumn("sounds", F.transform("search_stems", T.sound))
 
 
+def bucket_of(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
+
+def word_bucket(word: Column) -> Column:
+    """Words that begin alike share a bucket, as terms ask for all words with the same beginning."""
+    return bucket_of(F.lower(F.substring(word, 1, PREFIX)))
+
+
+def grams(c: Column, n: int = GRAM) -> Column:
+    """The distinct runs of n characters of a text that has so many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n))))
+
+
+def word_keys(dim: DataFrame) -> DataFrame:
+    """kind, key, s, word, stem, normal: what a word is found by. Kinds: its stems (s), their heads (h), their sounds (p), and
+    the trigrams (g) of its normal form."""
+    d = dim.select("word", "stem", "normal", F.explode(F.arrays_zip("search_stems", "sounds")).alias("x"))
+    s, sound = F.col("x.search_stems"), F.col("x.sounds")
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    keys = F.array(key("s", s), F.when(F.length(s) >= PREFIX, key("h", F.substring(s, 1, PREFIX))), F.when(F.length(sound) >= 3, key("p", sound)))
+    by_stem = d.select("word", "stem", "normal", s.alias("s"), F.explode(F.array_compact(keys)).alias("k")).select("k.kind", "k.key", "s", "word", "stem", "normal").distinct()
+    by_gram = dim.filter(F.length("normal") >= GRAM).select(F.lit("g").alias("kind"), F.explode(grams(F.col("normal"))).alias("key"), F.lit(None).cast("string").alias("s"), "word", "stem", "normal")
+    return by_stem.unionByName(by_gram)
+
+
 @dataclass(frozen=True)
 class Index:
-    """What many searches share: the staged postings and words."""
+    """What many searches share: the staged postings, keys of words, and words."""
 
     postings: DataFrame
+    keys: DataFrame
     dim: DataFrame
 
+    @property
+    def tables(self) -> tuple[DataFrame, ...]:
+        return self.postings, self.keys, self.dim
+
+
+def bucketed(df: DataFrame, name: str, bucket: Column, order: str, *by: str) -> DataFrame:
+    """`df` staged in folders by bucket (below those of columns `by`), each file sorted. Large buckets are split over tasks,
+    small ones share them."""
+    folders = [*by, "bucket"]
+    d = df.withColumn("bucket", bucket).hint("rebalance", *folders).sortWithinPartitions(*folders, order)
+    return staged(d.select(*[c for c in d.columns if c not in folders], *folders), name, by=folders)
+
+
+def of_buckets(df: DataFrame, buckets: list[int]) -> DataFrame:
+    """Only these buckets of `df`: a list of at most BUCKETS numbers, which prunes the folders read."""
+    return df.filter(F.col("bucket").isin(sorted(buckets))) if buckets else df.filter("false")
+
+
+def when_few(df: DataFrame, rows: int, most: int = BROADCAST_TERMS) -> DataFrame:
+    """A broadcast hint for a table whose rows are counted already."""
+    return F.broadcast(df) if rows <= most else df
+
 
 def build_index(pads: DataFrame | None = None, fields: DataFrame | None = None) -> Index:
     fields = search_fields(spread(pads, "mode", "id")) if fields is None else spread(fields, "mode", "id")
-    postings = staged(postings_of(fields), "search-postings")
-    return Index(postings, staged(word_dim(postings), "search-words"))
+    postings = bucketed(postings_of(fields), "search-postings", word_bucket(F.col("word")), "word")
+    dim = staged(word_dim(postings), "search-words")
+    return Index(postings, bucketed(word_keys(dim), "search-keys", bucket_of(F.col("key")), "key", "kind"), dim)
 
 
 def analysed(queries: DataFrame) -> DataFrame:
@@ -118,62 +180,71 @@ def analysed(queries: DataFrame) -> DataFrame:
 
 
 def terms_of(analysed_queries: DataFrame) -> DataFrame:
-    """query_id, term_no, text, latin, roman, sound, n_terms, phrase, n_other (terms that aren't plain letters)."""
-    d = analysed_queries.filter(F.col("cls") == "terms").select("query_id", "q", "phrase", F.posexplode(F.split("q", " ")).alias("term_no", "text"))
-    d = d.withColumn("latin", F.col("text").rlike(r"^[a-z]+\z"))
-    d = d.withColumns({"roman": T.stem_of(F.col("text")), "sound": T.sound(F.col("text"))})
-    w = Window.partitionBy("query_id")
-    return d.withColumns({"n_terms": F.count("*").over(w), "n_other": F.count_if(~F.col("latin")).over(w)})
-
-
-def matched_words(terms: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, word, strength: 3 for a substring, 2 for a stem or its beginning, 1 for a sound."""
-    latin, other = terms.filter("latin"), terms.filter("not latin")
-    stems = dim.select("word", F.explode("search_stems").alias("s"))
-    exact = stems.join(latin.select(*keys, F.col("roman").alias("s")), "s").select(*keys, "word", F.lit(2).alias("strength"))
-    long = latin.filter(F.length("roman") >= PREFIX).select(*keys, "roman", F.substring("roman", 1, PREFIX).alias("head"))
-    heads = stems.filter(F.length("s") >= PREFIX).withColumn("head", F.substring("s", 1, PREFIX))
-    prefix = heads.join(long, "head").filter(F.startswith("s", "roman")).select(*keys, "word", F.lit(2).alias("strength"))
-    heard = latin.filter(~F.col("phrase") & (F.length("text") >= 4) & (F.length("sound") >= 3)).select(*keys, F.col("sound").alias("snd"))
-    sounds = dim.select("word", F.explode("sounds").alias("snd"))
-    phonetic = sounds.join(heard, "snd").select(*keys, "word", F.lit(1).alias("strength"))
-    found = exact.unionByName(prefix).unionByName(phonetic)
-    # substrings: words by all their grams, terms by their first one (of three characters, if they have so many)
-    for n in sorted(r[0] for r in other.select(F.least(F.length("text"), F.lit(GRAM))).distinct().collect()):
-        gram = lambda c, i, n=n: c.substr(i, F.lit(n))
-        of_word = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("normal") - n + 1), lambda i: gram(F.col("normal"), i)))
-        words = dim.filter(F.length("normal") >= n).select("word", "normal", F.explode(of_word).alias("gram"))
-        asked = other.filter(F.least(F.length("text"), F.lit(GRAM)) == n).select(*keys, F.col("text").alias("t"), gram(F.col("text"), F.lit(1)).alias("gram"))
-        found = found.unionByName(words.join(asked, "gram").filter(F.contains("normal", "t")).select(*keys, "word", F.lit(3).alias("strength")))
-    return found.groupBy(*keys, "word").agg(F.max("strength").alias("strength"))
+    """query_id, term_no, text, latin, roman, sound, n_terms, phrase, n_other (terms that aren't plain letters), and role: how
+    the words of a phrase fit the term. A phrase of other terms only may begin and end within words: its first term ends a
+    word (e), its last one starts one (s), and one alone is contained (c); else words fit as a whole (w)."""
+    plain = lambda t: t.rlike(r"^[a-z]+\z")
+    words = F.split("q", " ")
+    d = analysed_queries.filter(F.col("cls") == "terms").select("query_id", "phrase", F.size(words).alias("n_terms"), F.size(F.filter(words, lambda t: ~plain(t))).alias("n_other"), F.posexplode(words).alias("term_no", "text"))
+    role = F.when(F.col("n_other") < F.col("n_terms"), "w").when(F.col("n_terms") == 1, "c").when(F.col("term_no") == 0, "e").when(F.col("term_no") == F.col("n_terms") - 1, "s").otherwise("w")
+    d = d.withColumns({"latin": plain(F.col("text")), "role": role})
+    return d.withColumns({"roman": T.stem_of(F.col("text")), "sound": T.sound(F.col("text"))})
+
+
+def term_keys(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, text, roman, latin, role, kind, key, strength: by what terms ask for words, and the strength of what they find; one
+    row with nulls for terms too short for that."""
+    roman, sound, text = F.col("roman"), F.col("sound"), F.col("text")
+    one = lambda kind, key, strength: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(strength).alias("strength"))
+    heard = ~F.col("phrase") & (F.length(text) >= 4) & (F.length(sound) >= 3)
+    latin = F.array_compact(F.array(one("s", roman, 2), F.when(F.length(roman) >= PREFIX, one("h", F.substring(roman, 1, PREFIX), 2)), F.when(heard, one("p", sound, 1))))
+    other = F.array_compact(F.array(F.when(F.length(text) >= GRAM, one("g", F.substring(text, 1, GRAM), 3))))
+    return terms.select(*keys, "text", "roman", "latin", "role", F.explode_outer(F.when(F.col("latin"), latin).otherwise(other)).alias("k")).select(*keys, "text", "roman", "latin", "role", "k.*")
+
+
+def matched_words(terms: DataFrame, index_keys: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, word, strength - 3 for a substring, 2 for a stem or its beginning, 1 for a sound -, and whether the word fits the
+    term's role in a phrase: by stem, or by normal form where the term isn't plain letters."""
+    asked = term_keys(terms, keys)
+    # one job tells how many keys there are, in which buckets, and which lengths of short terms
+    size, short = F.length("text"), ~F.col("latin") & (F.length("text") < GRAM)
+    facts = asked.agg(F.count("kind").alias("n"), F.collect_set(F.when(F.col("kind").isNotNull(), F.struct("kind", bucket_of(F.col("key")).alias("bucket")))).alias("buckets"), F.collect_set(F.when(short, size)).alias("short")).first()
+    asked = asked.filter("kind is not null")
+    if "bucket" in index_keys.columns:
+        per = {k: [b for kind, b in facts["buckets"] if kind == k] for k in sorted({kind for kind, _ in facts["buckets"]})}
+        index_keys = index_keys.filter(reduce(or_, [(F.col("kind") == k) & F.col("bucket").isin(sorted(b)) for k, b in per.items()], F.lit(False)))
+    inside = F.when(F.col("kind") == "h", F.startswith("s", "roman")).when(F.col("kind") == "g", F.contains("normal", "text")).otherwise(True)
+    found = index_keys.join(when_few(asked, facts["n"]), ["kind", "key"]).filter(inside).select(*keys, "word", "stem", "normal", "text", "roman", "latin", "role", "strength")
+    # terms of less than a gram: words by all that is as long
+    for n in sorted(facts["short"]):
+        words = dim.filter(F.length("normal") >= n).select("word", "stem", "normal", F.explode(grams(F.col("normal"), n)).alias("text"))
+        few = terms.filter(short & (size == n)).select(*keys, "text", "roman", "latin", "role")
+        found = found.unionByName(words.join(few, "text").withColumn("strength", F.lit(3)))
+    role, normal, text = F.col("role"), F.col("normal"), F.col("text")
+    fits = F.when(F.col("latin"), F.col("stem") == F.col("roman")).when(role == "c", True).when(role == "e", F.endswith(normal, text)).when(role == "s", F.startswith(normal, text)).otherwise(normal == text)
+    return found.groupBy(*keys, "word").agg(F.max("strength").alias("strength"), F.bool_or(fits).alias("fits"))
 
 
 @dataclass(frozen=True)
 class Asked:
-    """A batch of queries: as analysed, by term (each with the number of its distinct term), and what their terms found."""
+    """A batch of queries: as analysed, by term (each with its distinct term), what their terms found, the postings of these
+    words' buckets, and those of words that fit as parts of phrases."""
 
     queries: DataFrame
     terms: DataFrame
     words: DataFrame
+    postings: DataFrame
+    fitting: DataFrame
 
 
 def ask(index: Index, queries: DataFrame) -> Asked:
     q = staged(analysed(queries), "search-queries")
-    terms = staged(terms_of(q).withColumn("term", F.concat_ws(" ", "phrase", "text")), "search-terms")
-    distinct = terms.select("term", "text", "latin", "roman", "sound", "phrase").distinct()
-    found = matched_words(distinct, index.dim, ["term"])
-    # words that are the term as a whole: by stem, or by normal form where it isn't plain letters
-    found = index.dim.select("word", "stem", "normal").join(staged(found, "search-found"), "word")
-    whole = (F.col("latin") & (F.col("stem") == F.col("roman"))) | (~F.col("latin") & (F.col("normal") == F.col("text")))
-    found = found.join(distinct.select("term", "latin", "roman", "text"), "term").select("term", "word", "strength", whole.alias("whole"))
-    return Asked(q, terms, staged(found, "search-found"))
-
-
-def term_hits(index: Index, asked: Asked) -> DataFrame:
-    """term, mode, id, section, strength, title (whether it is in the title), and whether it stands somewhere as a whole."""
-    hit = index.postings.join(asked.words, "word")
-    in_title = F.bool_or(F.array_min("places") < F.lit(8 << 32))
-    return hit.groupBy("term", "mode", "id", "section").agg(F.max("strength").alias("strength"), in_title.alias("title"), F.bool_or("whole").alias("whole"))
+    terms = terms_of(q).withColumn("term", F.concat_ws(" ", "phrase", "role", "text"))
+    distinct = terms.select("term", "text", "latin", "roman", "sound", "phrase", "role").distinct()
+    words = staged(matched_words(distinct, index.keys, index.dim, ["term"]), "search-found")
+    bucket = word_bucket(F.col("word"))
+    facts = words.agg(F.count("*").alias("n"), F.collect_set(bucket).alias("all"), F.collect_set(F.when(F.col("fits"), bucket)).alias("fit")).first()
+    return Asked(q, terms, when_few(words, facts["n"]), of_buckets(index.postings, facts["all"]), of_buckets(index.postings, facts["fit"]))
 
 
 def search(pads: DataFrame, queries: DataFrame, index: Index | None = None, snippets: bool = True) -> DataFrame:
@@ -183,53 +254,57 @@ def search(pads: DataFrame, queries: DataFrame, index: Index | None = None, snip
     rank counts within query and mode, by score and id."""
     index = build_index(pads) if index is None else index
     asked = ask(index, queries)
-    hits = staged(term_hits(index, asked), "search-hits")
-    terms = asked.terms.select("query_id", "term_no", "term", "n_terms", "n_other").join(asked.queries.select("query_id", "phrase", F.col("section").alias("asked"), "scope"), "query_id")
-    terms = staged(terms, "search-asked")
-    allowed = ((F.col("asked") == "") | (F.col("asked") == F.coalesce("section", F.lit("")))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode")))
-    docs = hits.join(terms, "term").filter(allowed)
-    docs = docs.groupBy(*DOC).agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"), F.first("n_other").alias("n_other"), F.first("phrase").alias("phrase"), F.min("strength").alias("quality"), F.bool_and("title").alias("title"), F.bool_and("whole").alias("whole"))
-    docs = staged(docs.filter("n = n_terms").drop("n"), "search-candidates")
-    phrase = _in_order(index, docs, asked, terms).unionByName(_substring(pads, index, docs, asked))
-    phrase = phrase.groupBy(*DOC).agg(F.max("bonus").alias("bonus"), F.lit(True).alias("some"))
-    docs = docs.join(phrase, DOC, "left").filter(~F.col("phrase") | F.coalesce("some", F.lit(False)))
-    score = F.col("quality") * 100 + F.when(F.col("title"), 50).otherwise(0) + F.when(F.coalesce("bonus", F.lit(False)), 20).otherwise(0)
+    docs = candidates(asked).filter(~F.col("phrase") | F.col("in_order"))
+    score = F.col("quality") * 100 + F.when(F.col("title"), 50).otherwise(0) + F.when(F.col("bonus"), 20).otherwise(0)
     docs = docs.select(*DOC, score.cast("int").alias("score"), F.when(F.col("quality") == 1, "approximate").otherwise("exact").alias("match_kind"))
-    found = ranked(docs.unionByName(by_number(pads, asked.queries)))
-    return with_snippets(index, found, asked) if snippets else found
-
-
-def _in_order(index: Index, docs: DataFrame, asked: Asked, terms: DataFrame) -> DataFrame:
-    """DOC, bonus: documents where all terms of a query stand one after the other, each as its own word, in a field or through
-    the verses; bonus where it isn't a field other than the title. Only documents that have all terms as whole words are
-    asked for places, and only for those of these words."""
-    d = docs.filter((F.col("n_other") < F.col("n_terms")) & F.col("whole")).select(*DOC)
-    d = staged(d.join(terms.select("query_id", "term_no", "term"), "query_id"), "search-whole")
-    mine = index.postings.join(asked.words.filter("whole").select("term", "word"), "word").join(d.select("term", "mode", "id").distinct(), ["term", "mode", "id"], "left_semi")
-    d = d.join(mine.select("term", "mode", "id", "places"), ["term", "mode", "id"])
-    start = lambda c: F.transform(c, lambda x: x - F.col("term_no"))
+    if not asked.queries.filter(F.col("cls") == "number").isEmpty():
+        docs = docs.unionByName(by_number(pads, asked.queries))
+    results = ranked(docs)
+    return with_snippets(index, results, asked) if snippets else results
+
+
+def candidates(asked: Asked) -> DataFrame:
+    """DOC, phrase, quality, title for documents that have all terms of a query, whether its terms stand one after the other
+    (in_order), each as its own word, in a field or through the verses, and `bonus` where that isn't a field other than the
+    title. Which terms a document has, how strongly and whether in its title are bits of numbers, so sums over documents are
+    of fixed width, and are made without reading places."""
+    spec = asked.queries.select("query_id", F.col("section").alias("asked"), "scope")
+    terms = asked.terms.select("query_id", "term_no", "term", "n_terms", "phrase").join(spec, "query_id")
+    hits = asked.postings.join(asked.words, "word").select("term", "mode", "id", "section", "strength", "fits", "in_title")
+    hits = hits.repartition("mode", "id").groupBy("term", "mode", "id", "section").agg(F.max("strength").alias("strength"), F.bool_or("in_title").alias("title"), F.bool_or("fits").alias("fits"))
+    d = hits.join(terms, "term").filter(allowed())
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("term_no") % MASK).cast("int"))
+    which = lambda c: F.bit_or(F.when(c, bit).otherwise(F.lit(0).cast("long")))
+    # long queries have several numbers
+    d = d.groupBy(*DOC, "n_terms", "phrase", F.floor(F.col("term_no") / MASK).alias("part")).agg(which(F.lit(True)).alias("m1"), which(F.col("strength") >= 2).alias("m2"), which(F.col("strength") >= 3).alias("m3"), which(F.col("title")).alias("mt"), which(F.col("fits")).alias("mf"))
+    every = lambda c: F.sum(F.bit_count(c)) == F.col("n_terms")
+    d = d.groupBy(*DOC, "n_terms", "phrase").agg(every("m1").alias("all"), F.when(every("m3"), 3).when(every("m2"), 2).otherwise(1).alias("quality"), every("mt").alias("title"), every("mf").alias("fits"))
+    d = staged(d.filter(F.col("all") & (~F.col("phrase") | F.col("fits"))).select(*DOC, "phrase", "quality", "title", "fits"), "search-candidates")
+    d = d.drop("fits").join(in_order(asked, terms, d.filter("fits").select(*DOC)), DOC, "left")
+    return d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_order", "bonus")})
+
+
+def allowed() -> Column:
+    """Whether a document's section and collection are those asked for."""
+    return ((F.col("asked") == "") | (F.col("asked") == F.coalesce("section", F.lit("")))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode")))
+
+
+def in_order(asked: Asked, terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """DOC, in_order (true), bonus: where words that fit all terms of a query stand one after the other in a document. Only
+    the postings of such words are read, and only for these documents."""
+    fit = asked.words.filter("fits").select("term", "word").join(terms.select("query_id", "term_no", "n_terms", "term"), "term")
+    found = asked.fitting.join(small(fit), "word")
+    found = found.join(small(docs), DOC, "left_semi").select(*DOC, "n_terms", "term_no", "places")
     # a term may stand as several words; its places are those of all of them
-    d = d.groupBy(*DOC, "term_no").agg(F.flatten(F.collect_list("places")).alias("places"))
-    d = d.select(*DOC, F.struct(start(F.col("places")).alias("places"), start(verse_places(F.col("places"))).alias("body")).alias("t"))
-    d = d.groupBy(*DOC).agg(F.collect_list("t").alias("t"))
-    common = lambda c: F.aggregate("t", F.get("t", F.lit(0))[c], lambda a, x: F.array_intersect(a, x[c]))
-    d = d.select(*DOC, common("places").alias("places"), common("body").alias("body"))
-    d = d.withColumn("bonus", (F.size("body") > 0) | F.coalesce(F.array_min("places") < F.lit(8 << 32), F.lit(False)))
-    return staged(d.filter((F.size("places") > 0) | (F.size("body") > 0)).select(*DOC, "bonus"), "search-in-order")
-
-
-def _substring(pads: DataFrame, index: Index, docs: DataFrame, asked: Asked) -> DataFrame:
-    """DOC, bonus: where a query of other terms only stands in the normal text, also within words."""
-    d = docs.filter("n_other = n_terms").select(*DOC).join(asked.queries.select("query_id", "q"), "query_id")
-    d = staged(d, "search-substrings")
-    mine = field_words(search_fields(spread(pads.join(d.select("mode", "id").distinct(), ["mode", "id"], "left_semi"))))
-    words = mine.select("mode", "id", "field_no", "kind", F.posexplode("words").alias("pos", "word")).join(index.dim.select("word", "normal"), "word")
-    text = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["normal"]), " ")
-    texts = words.groupBy("mode", "id", "field_no", "kind").agg(text(F.collect_list(F.struct("pos", "normal"))).alias("normal"))
-    texts = texts.groupBy("mode", "id").agg(F.collect_list(F.struct("field_no", "normal")).alias("all"), text(F.collect_list(F.when(F.col("kind") == "verse", F.struct("field_no", "normal")))).alias("body"))
-    hit = d.join(texts, ["mode", "id"]).withColumn("fields", F.filter("all", lambda x: F.contains(x["normal"], F.col("q"))))
-    in_body = F.contains("body", "q")
-    return staged(hit.filter((F.size("fields") > 0) | in_body).select(*DOC, (in_body | F.exists("fields", lambda x: x["field_no"] == 0)).alias("bonus")), "search-within")
+    d = found.repartition("mode", "id").groupBy(*DOC, "n_terms").agg(F.collect_list(F.struct("term_no", "places")).alias("t"))
+    starts = lambda k: F.flatten(F.transform(F.filter("t", lambda x: x["term_no"] == k), lambda x: F.transform(x["places"], lambda p: p - x["term_no"])))
+    # in verses, places are those through all of them; else a field's own
+    through = lambda k: F.flatten(F.transform(F.filter("t", lambda x: x["term_no"] == k), lambda x: F.transform(verse_places(x["places"]), lambda p: p - x["term_no"])))
+    later = F.when(F.col("n_terms") > 1, F.sequence(F.lit(1), F.col("n_terms") - 1)).otherwise(F.array().cast("array<int>"))
+    common = lambda of: F.aggregate(later, of(F.lit(0)), lambda a, k: F.array_intersect(a, of(k)))
+    d = d.select(*DOC, common(starts).alias("places"), common(through).alias("body"))
+    in_body, in_title = F.size("body") > 0, F.coalesce(F.array_min("places") < F.lit(TITLE_END), F.lit(False))
+    return d.filter((F.size("places") > 0) | in_body).select(*DOC, F.lit(True).alias("in_order"), (in_body | in_title).alias("bonus"))
 
 
 def with_snippets(index: Index, results: DataFrame, asked: Asked | DataFrame) -> DataFrame:
@@ -240,7 +315,7 @@ def with_snippets(index: Index, results: DataFrame, asked: Asked | DataFrame) ->
     want = results.select(*DOC).join(asked.terms.select("query_id", "term_no", "term"), "query_id")
     pairs = want.select("term", "mode", "id").distinct()
     fields = F.array_distinct(F.transform("places", lambda p: F.call_function("shiftright", p, F.lit(32))))
-    mine = index.postings.join(asked.words, "word").join(pairs, ["term", "mode", "id"], "left_semi")
+    mine = asked.postings.join(asked.words, "word").join(pairs, ["term", "mode", "id"], "left_semi")
     mine = mine.select("term", "mode", "id", "strength", F.explode(fields).alias("field")).groupBy("term", "mode", "id", "field").agg(F.max("strength").alias("strength"))
     per = want.join(mine, ["term", "mode", "id"]).groupBy(*DOC, "field").agg((F.count("*") * 10 + F.sum("strength")).alias("sum"))
     kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("field") % 8).cast("int"))
@@ -257,12 +332,28 @@ def by_number(pads: DataFrame, q: DataFrame) -> DataFrame:
     return hit.select(*DOC, F.lit(1000).alias("score"), F.lit("number").alias("match_kind"))
 
 
-def by_nothing(pads: DataFrame, queries: DataFrame) -> DataFrame:
-    """Results of empty queries: all documents, score 0, with the first line as snippet. Punctuation alone finds nothing."""
-    q = analysed(queries).filter(F.col("cls") == "empty").select("query_id", F.col("section").alias("asked"), "scope")
+def by_nothing(pads: DataFrame, queries: DataFrame, page: int | None = None, size: int = 20) -> DataFrame:
+    """Results of empty queries: all documents, score 0, with the first line as snippet; with `page`, the first pages of each
+    collection only. Punctuation alone finds nothing.
+
+    A document stands under each collection and section that a query may ask for (its own, or any), so queries meet them by
+    key; with `page` the first ones of each key are picked before queries are looked at."""
+    q = analysed(queries).filter(F.col("cls") == "empty").select("query_id", F.nullif(F.col("section"), F.lit("")).alias("_section"), F.col("scope").alias("_scope"))
     lines = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("headings", "verses", "notes")])
-    hit = pads.join(q, ((F.col("asked") == "") | (F.col("asked") == F.col("section"))) & (F.col("scope").isNull() | (F.col("scope") == F.col("mode"))))
-    return hit.select(*DOC, F.lit(0).alias("score"), F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("snippet"))
+    wanted = q.select("_scope", "_section").distinct()
+    kinds = wanted.select(F.col("_scope").isNotNull().alias("s"), F.col("_section").isNotNull().alias("n")).distinct().collect()
+    under = [F.struct(F.when(F.lit(r["s"]), F.col("mode")).alias("_scope"), F.when(F.lit(r["n"]), F.col("section")).alias("_section")) for r in kinds]
+    d = pads.select("mode", "id", "section", F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("snippet"))
+    if not under:
+        return d.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "mode", "id", F.lit(0).alias("score"), "snippet").filter("false")
+    d = d.select("mode", "id", "snippet", F.explode(F.array(*under)).alias("k")).select("mode", "id", "snippet", "k.*")
+    if page is not None:
+        w = Window.partitionBy("_scope", "_section", "mode").orderBy("id")
+        d = d.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= page * size)
+    key = lambda c: F.struct(F.coalesce(F.col(c), F.lit("")), F.col(c).isNull())
+    d = d.withColumns({"_k": key("_scope"), "_l": key("_section")}).drop("_scope", "_section")
+    q = q.select("query_id", key("_scope").alias("_k"), key("_section").alias("_l"))
+    return d.join(q, ["_k", "_l"]).select(*DOC, F.lit(0).alias("score"), "snippet")
 
 
 def ranked(results: DataFrame) -> DataFrame:
@@ -275,6 +366,11 @@ def top(results: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
     return results.filter(F.col("rank") <= size * page)
 
 
+def page_of(results: DataFrame, page: int, size: int = 20) -> DataFrame:
+    """One page of each query and mode."""
+    return top(results, page, size).filter(F.col("rank") > size * (page - 1))
+
+
 def counts(results: DataFrame) -> DataFrame:
     """query_id, mode, n: results by collection, and in total (mode null)."""
     by = results.groupBy("query_id", "mode").agg(F.count("*").alias("n"))
@@ -287,7 +383,7 @@ def name_matches(names: DataFrame, queries: DataFrame) -> DataFrame:
     terms = staged(terms_of(q), "name-terms")
     fields = names.select(F.lit("").alias("mode"), F.col("name").alias("id"), F.lit("").alias("section"), F.lit(0).alias("field_no"), F.lit("name").alias("kind"), F.col("name").alias("text"))
     index = build_index(fields=fields.distinct())
-    found = matched_words(terms, index.dim, ["query_id", "term_no"])
+    found = matched_words(terms, index.keys, index.dim, ["query_id", "term_no"])
     n = index.postings.join(staged(found, "name-words"), "word").select("query_id", "id", "term_no").distinct().groupBy("query_id", "id").agg(F.count("*").alias("n"))
     return n.join(terms.select("query_id", "n_terms").distinct(), "query_id").filter("n = n_terms").select("query_id", F.col("id").alias("name"))
 
@@ -310,7 +406,8 @@ def excerpts(results: DataFrame, pads: DataFrame, queries: DataFrame, least: int
     # which of them match a term of their query
     terms = staged(terms_of(analysed(queries)).withColumn("phrase", F.lit(False)), "excerpt-terms")
     tokens = words.select(*DOC, "i", F.explode(F.filter(F.split(F.translate("piece", T.JOINERS, ""), T.SEPARATOR), lambda x: x != "")).alias("word"))
-    found = matched_words(terms, staged(word_dim(tokens), "excerpt-words"), ["query_id", "term_no"]).select("query_id", "word").distinct()
+    dim = staged(word_dim(tokens), "excerpt-words")
+    found = matched_words(terms, word_keys(dim), dim, ["query_id", "term_no"]).select("query_id", "word").distinct()
     hit = tokens.join(found, ["query_id", "word"]).select(*DOC, "i").distinct().withColumn("hit", F.lit(True))
     spans = words.join(hit, [*DOC, "i"], "left").groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("i", "start", "end", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("w"))
     d = d.join(spans, DOC, "left")

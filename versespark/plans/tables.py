@@ -32,7 +32,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
     state = files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES or _INDEXES[key][0] != state or not all(map(staging.there, (_INDEXES[key][1].postings, _INDEXES[key][1].dim))):
+    if key not in _INDEXES or _INDEXES[key][0] != state or not all(map(staging.there, _INDEXES[key][1].tables)):
         _INDEXES[key] = (state, S.build_index(pads(spark, sf_dir)))
     return _INDEXES[key][1]
 

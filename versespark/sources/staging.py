@@ -24,11 +24,12 @@ def staging_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Write `df` as Parquet and read it back: it is computed once, however often it is used, and survives lost executors."""
+def staged(df: DataFrame, name: str, codec: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Write `df` as Parquet and read it back: it is computed once, however often it is used, and survives lost executors.
+    With `by`, files lie in folders by these columns, so filters on them decide what is read."""
     path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec) if codec else df.write
-    writer.parquet(path)
+    writer.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
