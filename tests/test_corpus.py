@@ -86,6 +86,38 @@ def test_align_in_order_of_long_pages():
     assert [g[0] for g in L.align_in_order([found[k] for k in keep], found)] == keep
 
 
+def test_best_similarity_of_the_query(spark):
+    """Every line of the given documents against all proof lines of its document."""
+    import re
+
+    norm = lambda t: re.sub(r"[^a-z0-9]", "", re.sub("[^\u0900-\u097fa-z0-9]", "", t.lower()))
+    docs = {r["doc_id"]: r["text"].split("\n") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r["text"] is not None}
+    got = {(r["doc_id"], r["line"]): (r["best"], r["missing"]) for r in plans.queries()["best_similarity"](spark, DATA).collect()}
+    want, known = {}, {}
+    for i, texts in docs.items():
+        proofs = {norm(t) for t in texts[::3]}
+        for k, t in enumerate(texts):
+            n = norm(t)
+            if len(n) > L.MORE_LETTERS:
+                if (i, n) not in known:
+                    known[i, n] = 1.0 if n in proofs else max(SequenceMatcher(None, n, p, autojunk=False).ratio() for p in proofs)
+                want[i, k] = (round(known[i, n], 6), known[i, n] < L.MISSING)
+    assert got == want
+
+
+def test_best_similarity_of_a_large_page(spark):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choices("abcd", k=rng.randrange(5, 40)))
+    proofs = [text() for _ in range(60)]
+    rows = [text() for _ in range(60)] + [p[:-1] + "d" for p in proofs[:30]] + proofs[:3]
+    frame = lambda lines, page: spark.createDataFrame([(page, i, t) for i, t in enumerate(lines)], "page long, line long, text string")
+    a = frame(rows, 1).unionByName(frame(rows[:5], 2)).unionByName(frame([None, ""], 1))
+    got = {(r["page"], r["line"]): r["best"] for r in L.best_similarity(a, frame(proofs, 1), "page", "line", "text").collect()}
+    want = {(1, i): max(SequenceMatcher(None, t, p, autojunk=False).ratio() for p in proofs) for i, t in enumerate(rows) if len(t) > 10}
+    assert {k: v for k, v in got.items() if k[0] == 1} == pytest.approx(want)
+    assert {v for k, v in got.items() if k[0] == 2} <= {0.0}
+
+
 def page_pairs(seed, pages):
     """Lines of pages, and as they were found: some missing, some changed, some added, some twice, some in another order."""
     rng = random.Random(seed)
@@ -138,6 +170,31 @@ def test_undisputed_pairs():
     assert L.undisputed(moved) == list(range(1, 10))
 
 
+def test_scans_of_a_key_in_several_tasks(spark):
+    from versespark.operators import notes as N
+    from versespark.operators import scan
+    from versespark.operators import sections as S
+
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 else rng.choice([None, "a", "b"]), i, rng.choice(["x", "x", "y", None])) for i in range(600)]
+    d = spark.createDataFrame(rows, "mode string, id long, label string").repartition(5)
+    assert scan.dealt(d, ["mode"], ["id"], 8).filter("mode = 'hot'").select("_part").distinct().count() > 2
+    by = {}
+    for m, i, x in rows:
+        by.setdefault(m, []).append((i, x))
+    shown = {i: x is not None and (k == 0 or x != lines[k - 1][1]) for lines in by.values() for k, (i, x) in enumerate(lines)}
+    assert {r["id"]: r["show_header"] for r in S.headers(d, "mode", "id", "label").collect()} == shown
+    next_to = {i: (lines[k - 1][0], lines[(k + 1) % len(lines)][0]) for lines in by.values() for k, (i, _) in enumerate(lines)}
+    assert {r["id"]: (r["prev_key"], r["next_key"]) for r in S.neighbours(d, "mode", "id", "id").collect()} == next_to
+    labels = {i: next((x for _, x in reversed(lines[: k + 1]) if x), None) for lines in by.values() for k, (i, _) in enumerate(lines)}
+    assert {r["id"]: r["seen"] for r in scan.carried(d, ["mode"], ["id"], F.col("label"), "seen", own=True, parts=8).collect()} == labels
+    assert {r["id"]: r["n"] for r in scan.numbered(d, ["label", "id"], "n", 8).collect()} == {i: n + 1 for n, (_, i) in enumerate(sorted((x is not None, x or "", i) for _, i, x in rows) and sorted(((x is not None, x or ""), i) for _, i, x in rows))}
+    starts = d.filter("id % 7 = 0").select("mode", F.col("id").alias("start"), F.col("id").alias("owner"), (F.col("id") + 5).alias("end"))
+    got = N.owner_asof(d, starts, "mode", "id", "start", "owner", "end", spark.createDataFrame([("a", -1)], "mode string, owner long")).collect()
+    own = {i: next((j for j, _ in reversed(lines) if j <= i and j % 7 == 0), None) for lines in by.values() for i, _ in lines}
+    assert {r["id"]: r["owner"] for r in got} == {i: -1 if m == "a" else own[i] if own[i] is not None and own[i] + 5 >= i else None for m, i, _ in rows}
+
+
 def test_correction_that_does_not_fit(spark):
     d = spark.createDataFrame([(1, 0, "x")], "p long, line long, text string")
     c = spark.createDataFrame([(1, 0, "y", "z")], "p long, line long, before string, after string")

@@ -25,6 +25,8 @@ MORE_LETTERS, MISSING = 10, 0.5
 SKIP, UNMATCHED, SCALE, RELIABLE = 0.55, 0.8, 1.3, 0.62
 HEIGHTS = (8, 100)
 
+#: Grams of a text's sketch, and lines that are looked at for one of them.
+SKETCH, LISTED = 4, 8
 #: A pair of equal lines out of order is a matter of dispute if it crosses at most so many others.
 CROSSED = 3
 
@@ -34,34 +36,55 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def best_ratio(text: str, others: list[str], least: float = 0.0) -> float:
-    """The best ratio of a text with others. Bounds by length and by letters leave out those that can't be better."""
-    letters, best = Counter(text), least
-    bound = lambda o: 2 * min(len(text), len(o)) / max(len(text) + len(o), 1)
-    for o in sorted(others, key=bound, reverse=True):
-        if bound(o) <= best:
-            break
-        if 2 * (letters & Counter(o)).total() / max(len(text) + len(o), 1) > best:
-            best = max(best, ratio(text, o))
-    return best
+def ratio_over(a: str, b: str, least: float) -> float | None:
+    """The ratio of two texts if it is more than `least`. What lengths and letters allow at most is looked at first."""
+    whole = max(len(a) + len(b), 1)
+    if 2 * min(len(a), len(b)) / whole <= least or 2 * (Counter(a) & Counter(b)).total() / whole <= least:
+        return None
+    found = ratio(a, b)
+    return found if found > least else None
+
+
+def some_grams(text: Column, n: int = 3, most: int = SKETCH) -> Column:
+    """The `most` runs of n characters with the smallest hashes: texts that are alike share some."""
+    all_of = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(n))))
+    return F.slice(F.array_sort(F.array_distinct(all_of)), 1, most)
 
 
 def best_similarity(rows: DataFrame, proofs: DataFrame, page: str, key: str, text: str, least: float = MISSING) -> DataFrame:
     """The rows with enough letters, with the best similarity of their normal form to a proof line of their page (0 if it has
-    none) and whether they may be missing there. Rows that equal a proof line are found by a join; the others meet a page's
-    distinct proof lines in Arrow batches, so no pairs are emitted."""
+    none) and whether they may be missing there.
+
+    Rows that equal a proof line are found by a join. For the others, proof lines that share a gram of their sketch give a
+    first similarity; then a row meets those lines of its page whose length still allows a better one, and texts are compared
+    only where their letters do so too. The first step looks at LISTED lines of a gram at most, as it only sets the bar that
+    the second step, which leaves out nothing that could pass it, starts from."""
     d = rows.withColumn("_n", ocr_normal(F.col(text), True)).filter(F.length("_n") > MORE_LETTERS)
-    p = proofs.select(F.col(page).alias("_page"), ocr_normal(F.col(text), True).alias("_proof")).distinct()
-    d = d.join(p.withColumn("_same", F.lit(True)), (F.col(page) == F.col("_page")) & (F.col("_n") == F.col("_proof")), "left").drop("_page", "_proof")
-    d = d.join(p.groupBy("_page").agg(F.collect_list("_proof").alias("_proofs")), F.col(page) == F.col("_page"), "left").drop("_page")
+    p = staged(proofs.select(F.col(page).alias("_page"), ocr_normal(F.col(text), True).alias("_proof")).distinct(), "similar-proofs")
+    same = p.withColumn("_same", F.lit(True))
+    d = d.join(same, (F.col(page) == F.col("_page")) & (F.col("_n") == F.col("_proof")), "left").drop("_page", "_proof")
+    d = staged(d.withColumn("_same", F.coalesce("_same", F.lit(False))), "similar-rows")
+    x = staged(d.filter(~F.col("_same") & F.col(page).isNotNull()).select(F.col(page).alias("_page"), "_n").distinct(), "similar-texts")
 
     @F.pandas_udf("double")
-    def best(x: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if o is None else best_ratio(t, list(o)) for t, o in zip(x, others, strict=True)], dtype=float)
-
-    same = F.coalesce("_same", F.lit(False))
-    d = d.withColumn("_b", best("_n", F.when(~same, F.col("_proofs"))))
-    return d.withColumn("best", F.when(same, 1.0).otherwise(F.col("_b"))).withColumn("missing", F.col("best") < least).drop("_n", "_same", "_proofs", "_b")
+    def over(a: pd.Series, b: pd.Series, bar: pd.Series) -> pd.Series:
+        return pd.Series([ratio_over(*t) for t in zip(a, b, bar, strict=True)], dtype=float)
+
+    def best(pairs: DataFrame, bar: Column) -> DataFrame:
+        return pairs.withColumn("_b", over("_n", "_proof", bar)).groupBy("_page", "_n").agg(F.max("_b").alias("_b"))
+
+    lists = p.withColumn("_g", F.explode(some_grams(F.col("_proof"))))
+    lists = lists.withColumn("_k", F.row_number().over(Window.partitionBy("_page", "_g").orderBy(F.xxhash64("_proof"), "_proof"))).filter(F.col("_k") <= LISTED)
+    near = x.withColumn("_g", F.explode(some_grams(F.col("_n")))).join(lists.drop("_k"), ["_page", "_g"]).select("_page", "_n", "_proof").distinct()
+    bars = x.join(best(near, F.lit(0.0)), ["_page", "_n"], "left").select("_page", "_n", F.coalesce("_b", F.lit(0.0)).alias("_bar"))
+    bars = staged(bars, "similar-bars")
+    length, other = F.length("_n"), F.length("_proof")
+    allowed = 2.0 * F.least(length, other) / (length + other) > F.col("_bar")
+    found = best(bars.join(p, "_page").filter(allowed), F.col("_bar"))
+    found = bars.join(found, ["_page", "_n"], "left").select(F.col("_page").alias("_p"), F.col("_n").alias("_m"), F.greatest("_b", "_bar").alias("_b"))
+    d = d.join(found, (F.col(page) == F.col("_p")) & (F.col("_n") == F.col("_m")), "left")
+    d = d.withColumn("best", F.when(F.col("_same"), 1.0).otherwise(F.coalesce("_b", F.lit(0.0))))
+    return d.withColumn("missing", F.col("best") < least).drop("_n", "_same", "_p", "_m", "_b")
 
 
 def coverage(best: DataFrame, page: str, key: str, most: int = 2) -> DataFrame:

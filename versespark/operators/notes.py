@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import carried
+from .search import small
+
 
 def resolved_refs(pads: DataFrame, notes: DataFrame, refs: DataFrame) -> DataFrame:
     """id, owner_id, note_index, marker: the notes that an entry refers to, or its own if it refers to none. References to
@@ -26,17 +29,20 @@ def refs_per_target(notes: DataFrame) -> DataFrame:
     return d.groupBy("id").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
 
 
-def owner_asof(spans: DataFrame, intervals: DataFrame, key: str, at: str, start: str, owner: str, end: str | None = None) -> DataFrame:
+def owner_asof(spans: DataFrame, intervals: DataFrame, key: str, at: str, start: str, owner: str, end: str | None = None, manual: DataFrame | None = None) -> DataFrame:
     """spans with the owner whose interval started last at or before the span, within the same key. Starts and spans are
-    merged in order, so each is read once; an interval that has ended (end < at) gives no owner."""
-    cols = [F.col(key), F.col(at).alias("_at"), F.lit(1).alias("_kind")]
-    a = intervals.select(F.col(key), F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(owner).alias("o"), (F.col(end) if end else F.lit(None)).alias("e")).alias("_iv"), F.lit(None).alias("_row"))
-    b = spans.select(*cols, F.lit(None).alias("_iv"), F.struct(*spans.columns).alias("_row"))
-    both = a.unionByName(b)
-    w = Window.partitionBy(key).orderBy("_at", "_kind", F.col("_iv.o")).rowsBetween(Window.unboundedPreceding, 0)
-    d = both.withColumn("_last", F.last("_iv", ignorenulls=True).over(w)).filter("_kind = 1")
-    ended = F.col("_last.e") < F.col("_at") if end else F.lit(False)
-    return d.select("_row.*", F.when(~F.coalesce(ended, F.lit(False)), F.col("_last.o")).alias("owner"))
+    merged in order, so each is read once, and a key with very many of them is scanned in several tasks. An interval that has
+    ended (end < at) gives no owner. A `manual` table (key, owner) wins over what is found."""
+    iv = F.struct(F.col(owner).alias("o"), (F.col(end) if end else F.lit(None).cast("string")).alias("e"))
+    a = intervals.select(F.col(key).alias("_key"), F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.col(owner).alias("_o"), iv.alias("_iv"), F.lit(None).alias("_row"))
+    b = spans.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).alias("_o"), F.lit(None).alias("_iv"), F.struct(*spans.columns).alias("_row"))
+    d = carried(a.unionByName(b), ["_key"], ["_at", "_kind", "_o"], F.col("_iv"), "_last", own=True).filter("_kind = 1")
+    ended = F.coalesce(F.col("_last.e") < F.col("_at"), F.lit(False)) if end else F.lit(False)
+    d = d.select("_row.*", F.when(~ended, F.col("_last.o")).alias("owner"))
+    if manual is None:
+        return d
+    m = small(manual.select(F.col(key).alias("_key"), F.col(owner).alias("_manual")))
+    return d.join(m, F.col(key) == F.col("_key"), "left").withColumn("owner", F.coalesce("_manual", "owner")).drop("_key", "_manual")
 
 
 def ranked_occurrences(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -90,8 +96,7 @@ def group_summaries(spans: DataFrame, keys: list[str], order: str, text: str, pa
     """keys, marker, lines, pages and target_ids of note groups: the marker is the number that opens the first line, else a
     star, or what `named` gives a group that stands on one page; targets (page, target_ids; few) are by the first page."""
     from ..functions.text import DIGITS
-    from .search import small
-
+    
     first = F.struct(order, F.col(text).alias("t"))
     d = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(first)).alias("_l"), F.array_sort(F.collect_set(page)).alias("pages"))
     d = d.withColumn("lines", F.transform("_l", lambda x: x["t"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import carried
+
 #: Ids of one bucket of the range join; a section is listed in each bucket that it reaches into.
 BUCKET = 1000
 
@@ -21,6 +23,19 @@ def not_exactly_one(entries: DataFrame, sections: DataFrame) -> DataFrame:
     return range_join(entries.select("id"), sections).groupBy("id").agg(F.count("name").alias("n")).filter("n != 1")
 
 
+def coverage_violations(entries: DataFrame, sections: DataFrame) -> DataFrame:
+    """id, kind, n: entries that don't lie in exactly one main section (kind "section"; parent is null), or, where that section
+    has any subsections, not in exactly one of these ("subsection"). n is in how many they lie."""
+    main, sub = sections.filter("parent is null"), sections.filter("parent is not null")
+    held = range_join(entries.select("id"), main.select("name", "start_id", "end_id")).select("id", "name")
+    n_main = held.groupBy("id").agg(F.count("name").alias("n"), F.min("name").alias("name"))
+    wrong = n_main.filter("n != 1").select("id", F.lit("section").alias("kind"), "n")
+    split = n_main.filter("n = 1").join(sub.select(F.col("parent").alias("name")).distinct(), "name", "left_semi").select("id", F.col("name").alias("_main"))
+    inside = range_join(split, sub.select("name", "parent", "start_id", "end_id")).select("id", "_main", "parent")
+    n_sub = inside.groupBy("id").agg(F.count_if(F.col("parent") == F.col("_main")).alias("n"))
+    return wrong.unionByName(n_sub.filter("n != 1").select("id", F.lit("subsection").alias("kind"), "n"))
+
+
 def tiling_gaps(sections: DataFrame, parent: str) -> DataFrame:
     """parent, name, end_id, next_start, gap: where a section doesn't start right after the one before (overlaps are negative)."""
     w = Window.partitionBy(parent).orderBy("start_id", "end_id")
@@ -34,17 +49,21 @@ def bounds(entries: DataFrame, section: str, pos: str, shown: str) -> DataFrame:
 
 
 def headers(entries: DataFrame, mode: str, pos: str, label: str) -> DataFrame:
-    """entries with show_header: whether the label differs from the entry before."""
-    before = F.lag(label).over(Window.partitionBy(mode).orderBy(pos))
-    return entries.withColumn("show_header", ~F.col(label).eqNullSafe(before) & F.col(label).isNotNull())
+    """entries with show_header: whether the label differs from the entry before. A mode may be as large as the table."""
+    d = carried(entries, [mode], [pos], F.struct(F.col(label).alias("label")), "_before")
+    first = F.col("_before").isNull()
+    return d.withColumn("show_header", F.col(label).isNotNull() & (first | ~F.col(label).eqNullSafe(F.col("_before.label")))).drop("_before")
 
 
 def neighbours(entries: DataFrame, mode: str, pos: str, key: str) -> DataFrame:
-    """entries with the keys of the previous and the next entry; the ends meet."""
-    w = Window.partitionBy(mode).orderBy(pos)
-    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    prev, after = F.lag(key).over(w), F.lead(key).over(w)
-    return entries.withColumns({"prev_key": F.coalesce(prev, F.last(key).over(ends)), "next_key": F.coalesce(after, F.first(key).over(ends))})
+    """entries with the keys of the previous and the next entry; the ends meet. A mode may be as large as the table."""
+    d = carried(entries, [mode], [pos], F.struct(F.col(key).alias("key"), F.col(pos).alias("pos")), "_prev")
+    # whom each entry is the next of
+    back = d.filter("_prev is not null").select(F.col(mode).alias("_m"), F.col(key).alias("_next"), F.col("_prev.pos").alias("_of"))
+    ends = entries.groupBy(mode).agg(F.max_by(key, pos).alias("_end"), F.min_by(key, pos).alias("_start"))
+    d = d.join(back.withColumn("_there", F.lit(True)), F.col(mode).eqNullSafe(F.col("_m")) & (F.col(pos) == F.col("_of")), "left").drop("_m", "_of")
+    d = d.join(ends.withColumnRenamed(mode, "_m"), F.col(mode).eqNullSafe(F.col("_m")), "left")
+    return d.withColumns({"prev_key": F.when(F.col("_prev").isNull(), F.col("_end")).otherwise(F.col("_prev.key")), "next_key": F.when(F.col("_there"), F.col("_next")).otherwise(F.col("_start"))}).drop("_prev", "_next", "_there", "_m", "_end", "_start")
 
 
 def numeric_order(key: str) -> list:

@@ -76,6 +76,34 @@ def interval_owner_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.owner_asof(spans, o, "o_custkey", "at", "o_orderdate", "o_orderkey").select("span_id", "owner")
 
 
+@query("""with f as (select s.o_orderkey as span_id, s.o_custkey, s.o_orderdate - interval 20 day as place, arg_max((i.o_orderkey, i.o_orderdate + interval 60 day), (i.o_orderdate, i.o_orderkey)) as last
+  from orders s left join orders i on s.o_custkey = i.o_custkey and i.o_orderdate <= s.o_orderdate - interval 20 day group by all)
+select span_id, case when o_custkey % 50 = 7 then o_custkey + 1000000 when last[2] >= place then last[1] end as owner from f""")
+def interval_owner_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last order of the customer at least twenty days before each order, if it isn't over sixty days older than that;
+    some customers' owners are given by hand."""
+    o = table(spark, sf_dir, "orders").withColumn("ends", F.col("o_orderdate") + F.expr("interval 60 days"))
+    spans = o.select("o_custkey", F.col("o_orderkey").alias("span_id"), (F.col("o_orderdate") - F.expr("interval 20 days")).alias("at"))
+    manual = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 7").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") + 1000000).alias("o_orderkey"))
+    return N.owner_asof(spans, o, "o_custkey", "at", "o_orderdate", "o_orderkey", "ends", manual).select("span_id", "owner")
+
+
+@query("""with s as (select n_name as name, n_nationkey * 60 as start_id, n_nationkey * 60 + case when n_nationkey % 5 = 0 then 70 else 58 end as end_id, n_nationkey from nation),
+u as (select n_name as parent, n_nationkey * 60 + k * 30 as start_id, n_nationkey * 60 + k * 30 + case when n_nationkey % 4 = 0 then 35 else 28 end as end_id from nation, (values (0), (1)) t(k) where n_nationkey % 3 = 0),
+h as (select p_partkey as id, count(name) as n, min(name) as name from part left join s on p_partkey between start_id and end_id group by 1)
+select id, 'section' as kind, n from h where n <> 1
+union all select id, 'subsection', count(u.parent) as n from h left join u on u.parent = h.name and h.id between u.start_id and u.end_id where h.n = 1 and h.name in (select parent from u) group by id having count(u.parent) <> 1""")
+def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that lie in no nation's range or in several, or in a range with parts of its own, but not in exactly one of these."""
+    n = table(spark, sf_dir, "nation")
+    start = F.col("n_nationkey").cast("long") * 60
+    main = n.select(F.col("n_name").alias("name"), start.alias("start_id"), (start + F.when(F.col("n_nationkey") % 5 == 0, 70).otherwise(58)).alias("end_id"), F.lit(None).cast("string").alias("parent"))
+    halves = n.filter("n_nationkey % 3 = 0").select("n_name", "n_nationkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    begin = start + F.col("k") * 30
+    sub = halves.select(F.concat("n_name", F.lit(" "), F.col("k").cast("string")).alias("name"), begin.alias("start_id"), (begin + F.when(F.col("n_nationkey") % 4 == 0, 35).otherwise(28)).alias("end_id"), F.col("n_name").alias("parent"))
+    return S.coverage_violations(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), main.unionByName(sub))
+
+
 @query(f"""with l as ({LINES_SQL}),
 a as (select *, row_number() over (partition by doc_id, text order by line) as k, count(*) over (partition by doc_id, text) as n from l),
 b as (select doc_id, text, line as physical, row_number() over (partition by doc_id, text order by line) as k, count(*) over (partition by doc_id, text) as found from l where line % 7 != 3),

@@ -4,7 +4,7 @@ of a kind, it is derived from their columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming
@@ -17,6 +17,7 @@ from ..operators import notes as N
 from ..operators import routes as R
 from ..operators import sections
 from ..operators import search as S
+from ..operators.scan import numbered
 from .layout import PLACE
 from .search import _first_words_sql, _found, search_sql
 from .tables import first_words, lines, table
@@ -275,11 +276,13 @@ def search_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top(_found(spark, sf_dir, q)).select("query_id", "mode", "id", "score", "rank")
 
 
-@query("""select o_orderkey, row_number() over (order by o_orderstatus, o_custkey, o_orderkey)::int as pos from orders where o_custkey <= 20""")
+@query("""select o_orderkey, row_number() over (order by o_orderstatus, o_custkey, o_orderkey)::int as pos from orders""")
 def numeric_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bookmarks like F:12 of the first customers in the order of their numbers, not of their digits."""
-    d = table(spark, sf_dir, "orders").filter("o_custkey <= 20").select("o_orderkey", F.concat("o_orderstatus", F.lit(":"), F.col("o_custkey").cast("string")).alias("key"))
-    return d.select("o_orderkey", F.row_number().over(Window.orderBy(*sections.numeric_order("key"), "o_orderkey")).alias("pos"))
+    """Bookmarks like F:12 in the order of their numbers, not of their digits, numbered through in ranges."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderstatus", F.lit(":"), F.col("o_custkey").cast("string")).alias("key"))
+    name, number, whole = sections.numeric_order("key")
+    d = numbered(d.withColumns({"_name": name, "_number": number, "_whole": whole}), ["_name", "_number", "_whole", "o_orderkey"], "pos")
+    return d.select("o_orderkey", F.col("pos").cast("int"))
 
 
 @query("""select min(o_orderkey) as o_orderkey from orders where o_orderstatus = 'O' and o_orderkey > 100""")
