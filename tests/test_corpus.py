@@ -247,6 +247,25 @@ def test_review_stream(spark, tmp_path):
         d = d.withColumn("ts", F.timestamp_seconds("event_id")).select("pad", "comment", "status", "ts", "event_id")
         d.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         streaming.upsert_stream(events, "pad", str(tmp_path / "state"), str(tmp_path / "rejects"), str(tmp_path / "cp")).awaitTermination()
-    state = {r["pad"]: (r["comment"], r["status"]) for r in streaming.state_of(spark, str(tmp_path / "state"), schema).collect()}
-    assert state == {1: ("c", "verified"), 2: ("b", "pending")}
+    state = streaming.state_of(spark, str(tmp_path / "cp"), schema)
+    assert {r["pad"]: (r["comment"], r["status"]) for r in state.collect()} == {1: ("c", "verified"), 2: ("b", "pending")}
     assert [r["comment"] for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == ["d"]
+    # the state is what the batch twin makes of all events that are valid
+    every = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    want = streaming.latest(every.filter(streaming.valid(every)), "pad")
+    assert sorted(map(tuple, state.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    changes = spark.read.parquet(str(tmp_path / "state"))
+    assert sorted((r["batch"], r["pad"]) for r in changes.collect()) == [(0, 1), (0, 2), (1, 1)]
+
+
+def test_late_events_do_not_win(spark, tmp_path):
+    schema = "pad long, comment string, status string, ts timestamp, event_id long"
+    (tmp_path / "in").mkdir()
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for part in ([(1, "new", "issue", 9), (None, "x", "issue", 1)], [(1, "old", "verified", 3), (1, None, "pending", 9)]):
+        d = spark.createDataFrame(part, "pad long, comment string, status string, event_id long").withColumn("ts", F.timestamp_micros(F.col("event_id") * 1000001))
+        d.select("pad", "comment", "status", "ts", "event_id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streaming.upsert_stream(events, "pad", str(tmp_path / "changes"), str(tmp_path / "rejects"), str(tmp_path / "cp")).awaitTermination()
+    got = streaming.state_of(spark, str(tmp_path / "cp"), schema).selectExpr("pad", "comment", "unix_micros(ts)").collect()
+    assert [tuple(r) for r in got] == [(1, "new", 9000009)]
+    assert [r["pad"] for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == [None]

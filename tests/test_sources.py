@@ -104,10 +104,35 @@ def test_newest_query_stream(spark, tmp_path):
         streaming.newest_only_stream(stream, lambda d: d.withColumn("answer", F.upper("query")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "answers")).select("batch", "session", "request_id", "answer")
     assert rows(got) == [(0, "a", 3, "XYZ"), (0, "b", 2, "Q"), (1, "c", 5, "N"), (2, "b", 4, "QQ")]
-    seen = streaming.state_of(spark, str(tmp_path / "out" / "seen"), "session string, request_id long")
+    seen = streaming.state_of(spark, str(tmp_path / "cp"), "session string, request_id long")
     assert rows(seen) == [("a", 3), ("b", 4), ("c", 5)]
 
 
+def test_ingest_takes_up_new_files_only(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    asked, failing = [], {"b"}
+
+    def work(pages):
+        asked.append(sorted(r["page"] for r in pages.select("page").collect()))
+        text = F.when(F.col("page").isin(sorted(failing)), "").otherwise(F.upper(F.col("content").cast("string"))) if failing else F.upper(F.col("content").cast("string"))
+        return pages.select("page", text.alias("text"))
+
+    run = lambda: readers.ingest(spark, str(tmp_path / "in"), work, str(tmp_path / "out"), str(tmp_path / "cp"))
+    for name in "ab":
+        (tmp_path / "in" / f"{name}.txt").write_text(f"text {name}")
+    run()
+    assert asked == [["a", "b"], ["b"]]  # what came out empty is tried again
+    failing.clear()
+    asked.clear()
+    (tmp_path / "in" / "c.txt").write_text("text c")
+    run()
+    assert asked == [["c"], ["b"]]
+    asked.clear()
+    run()
+    assert asked == [[]]
+    assert rows(readers.ingested(spark, str(tmp_path / "out"))) == [("a", "TEXT A"), ("b", "TEXT B"), ("c", "TEXT C")]
+
+
 def test_progress_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     schema = "request_id long, bytes long, total long, complete boolean"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Schemas are stated, never inferred.
@@ -73,3 +75,33 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def pages_to_do(listed: DataFrame, done: DataFrame, key: str = "page") -> DataFrame:
     """Pages without an output that isn't empty."""
     return listed.join(done.filter("length > 0").select(key), key, "left_anti")
+
+
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def page_of(path: Column) -> Column:
+    """A file's name without its ending."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?\z", 1)
+
+
+def ingest(spark: SparkSession, folder: str, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, most_files: int = 1000) -> None:
+    """Turn each file of a folder into a row of `out` (page, text), once: a stream takes up the files that came since the last
+    run, its checkpoint tells which. Pages whose output is missing or empty are done again after that. `work` gets page and
+    content, and gives page and text; a batch that is run again writes the same."""
+    stream = spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", most_files).load(folder)
+
+    def write(batch: DataFrame, n: int) -> None:
+        work(batch.select(page_of(F.col("path")).alias("page"), "content")).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    listed = spark.read.format("binaryFile").load(folder).select(page_of(F.col("path")).alias("page"), "content")
+    if not listed.isEmpty():
+        again = pages_to_do(listed, ingested(spark, out).withColumn("length", F.length("text")))
+        work(again).write.mode("append").parquet(f"{out}/batch=-1")
+
+
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """page, text: of each page the longest output, as one that was empty was done again."""
+    d = spark.read.schema("page string, text string, batch long").option("basePath", out).parquet(out)
+    return d.groupBy("page").agg(F.max_by("text", F.coalesce(F.length("text"), F.lit(0))).alias("text"))

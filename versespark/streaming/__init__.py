@@ -1,15 +1,20 @@
 """Streams of review events, queries and progress.
 
-The order of events is (ts, event_id). State is kept by key and is as large as the number of keys; a watermark would bound
-it by forgetting old keys, which none of these may do.
+The order of events is (ts, event_id). State is kept by key in the RocksDB state store, which keeps what doesn't fit in
+memory on disk, uploads what a batch changed to the checkpoint, and deletes old versions by itself. It is as large as the
+number of keys; a watermark would bound it by forgetting old keys, which none of these may do. `state_of` reads it back
+as a table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATUSES = ["pending", "issue", "verified"]
 MOST_COMMENT = 100_000
@@ -37,40 +42,76 @@ def merged(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return latest(state.unionByName(batch.select(*state.columns)), key)
 
 
-#: Buckets of keys that state is kept in; a batch rewrites only those that its keys are in.
-BUCKETS = 64
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How a row is kept in the state: as JSON, with all of a time's digits.
+JSON = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 
 
-def state_of(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """The newest rows of keyed state under `path`: of each bucket, what the last batch that touched it wrote. `before` leaves
-    out that batch and later ones."""
-    d = spark.read.schema(f"{schema}, batch long, bucket int").option("basePath", path).parquet(path)
-    if before is not None:
-        d = d.filter(F.col("batch") < before)
-    newest = d.groupBy("bucket").agg(F.max("batch").alias("batch"))  # BUCKETS rows at most
-    return d.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("batch", "bucket")
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB; the session's setting is put back."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
-def put_state(rows: DataFrame, path: str, key: str, n: int, merge: Callable[[DataFrame], DataFrame]) -> None:
-    """Merge a batch's rows with the state of the buckets that they touch. A batch that is run again writes the same."""
-    spark, schema = rows.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    if n:
-        touched = [r[0] for r in rows.select(bucket).distinct().collect()]
-        rows = rows.unionByName(state_of(spark, path, schema, n).filter(bucket.isin(touched)))
-    merge(rows).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={n}")
+class KeepGreatest(StatefulProcessor):
+    """For each key the row with the greatest (first, second). A batch's rows may come in any order; a key is given out when
+    its row has changed, and rows that aren't `good` are given out as they are."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "first long, second long, row string")
 
-def upsert_stream(events: DataFrame, key: str, state_path: str, rejects_path: str, checkpoint: str, statuses: list[str] = STATUSES):
-    """A streaming query that keeps the last valid event of each key in buckets under `state_path` (read by state_of), and
-    appends what is invalid to `rejects_path`."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.last.get() if self.last.exists() else None
+        best = known
+        for batch in rows:
+            bad = batch[~batch["good"]]
+            if len(bad):
+                yield pd.DataFrame({"key": bad["key"], "good": False, "row": bad["row"]})
+            for row in batch.loc[batch["good"], ["first", "second", "row"]].itertuples(index=False, name=None):
+                if best is None or (int(row[0]), int(row[1])) > (best[0], best[1]):
+                    best = (int(row[0]), int(row[1]), row[2])
+        if best is not known:
+            self.last.update(best)
+            yield pd.DataFrame({"key": [key[0]], "good": [True], "row": [best[2]]})
 
-    def take(batch: DataFrame, n: int) -> None:
-        good = F.coalesce(valid(batch, statuses), F.lit(False))
-        batch.filter(~good).write.mode("overwrite").parquet(f"{rejects_path}/batch={n}")
-        put_state(batch.filter(good), state_path, key, n, lambda d: latest(d, key))
+    def close(self) -> None:
+        pass
 
-    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+
+def greatest_by_key(events: DataFrame, key: str, first: Column, second: Column, good: Column) -> DataFrame:
+    """A stream of `events` (the key among them) that were taken in as the greatest of their key, or aren't good, with `good`."""
+    schema = events.schema
+    d = events.select(F.col(key).alias("key"), F.coalesce(good, F.lit(False)).alias("good"), F.coalesce(first, F.lit(0)).cast("long").alias("first"), F.coalesce(second, F.lit(0)).cast("long").alias("second"), F.to_json(F.struct(*events.columns), JSON).alias("row"))
+    out = d.groupBy("key").transformWithStateInPandas(KeepGreatest(), f"key {schema[key].dataType.simpleString()}, good boolean, row string", "update", "none")
+    return out.select("good", F.from_json("row", schema.simpleString(), JSON).alias("e")).select("good", "e.*")
+
+
+def state_of(spark: SparkSession, checkpoint: str, schema: str) -> DataFrame:
+    """The rows that a stream keeps by key, read from its checkpoint."""
+    d = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load()
+    return d.select(F.from_json("value.row", schema, JSON).alias("e")).select("e.*")
+
+
+def upsert_stream(events: DataFrame, key: str, changes_path: str, rejects_path: str, checkpoint: str, statuses: list[str] = STATUSES):
+    """A streaming query that keeps the last valid event of each key in its state (read by state_of), and writes a batch's
+    changes and what is invalid to folders of its own. A batch that is run again writes the same."""
+    order = F.unix_micros(F.col("ts")), F.col("event_id")
+    d = greatest_by_key(events, key, *order, valid(events, statuses) & F.col(key).isNotNull())
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        batch.filter("good").drop("good").write.mode("overwrite").parquet(f"{changes_path}/batch={n}")
+        batch.filter("not good").drop("good").write.mode("overwrite").parquet(f"{rejects_path}/batch={n}")
+        batch.unpersist()
+
+    with rocksdb(events.sparkSession):
+        return d.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def latest_query(requests: DataFrame, session: str = "session") -> DataFrame:
@@ -79,18 +120,14 @@ def latest_query(requests: DataFrame, session: str = "session") -> DataFrame:
 
 
 def newest_only_stream(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, session: str = "session"):
-    """Each micro-batch answers the last query of each session; older requests than one answered before are left out."""
-    seen_schema = f"`{session}` {requests.schema[session].dataType.simpleString()}, request_id {requests.schema['request_id'].dataType.simpleString()}"
-
-    def take(batch: DataFrame, n: int) -> None:
-        last = latest_query(batch, session)
-        if n:
-            seen = state_of(batch.sparkSession, f"{path}/seen", seen_schema, n)
-            last = last.join(seen.withColumnRenamed("request_id", "_seen"), session, "left").filter("_seen is null or request_id > _seen").drop("_seen")
-        answer(last).write.mode("overwrite").parquet(f"{path}/answers/batch={n}")
-        put_state(last.select(session, "request_id"), f"{path}/seen", session, n, lambda d: d.groupBy(session).agg(F.max("request_id").alias("request_id")))
-
-    return requests.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+    """Each micro-batch answers the last query of each session; requests older than one seen before are left out."""
+    d = greatest_by_key(requests, session, F.col("request_id"), F.lit(0), F.col(session).isNotNull()).filter("good").drop("good")
+
+    def write(batch: DataFrame, n: int) -> None:
+        answer(batch).write.mode("overwrite").parquet(f"{path}/answers/batch={n}")
+
+    with rocksdb(requests.sparkSession):
+        return d.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def progress_stream(events: DataFrame, active: DataFrame, path: str, checkpoint: str):
