@@ -59,6 +59,49 @@ def test_rejoined_rows(spark):
     assert [r["line_no"] for r in L.rejoined_rows(d, "page").orderBy("order").collect()] == [0, 0, 1, 2]
 
 
+def test_rejoined_rows_of_a_long_page(spark):
+    """One page of many batches gives what a list of all its lines gives."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(30_000):
+        y = k // 2 + rng.randrange(3)
+        rows.append((None if k % 10 == 0 else 1, k, 0.0, float(y), 1.0, float(y + rng.choice([3, 4, 9])), rng.choice(["a", "[b]", None])))
+    d = spark.createDataFrame(rows, "page long, order long, x0 double, y0 double, x1 double, y1 double, text string")
+    want = {}
+    for page in (None, 1):
+        lines = []
+        for _, k, _, y0, _, y1, text in (r for r in rows if r[0] == page):
+            alone, found = "[" in (text or ""), None
+            for n in range(len(lines) - 1, max(len(lines) - 5, -1), -1):
+                a0, a1, single = lines[n]
+                low, high = sorted((a1 - a0, y1 - y0))
+                if not alone and not single and high < 2 * low and min(a1, y1) - max(a0, y0) > low / 2:
+                    found = n
+                    break
+            if found is None:
+                found = len(lines)
+                lines.append([y0, y1, alone])
+            else:
+                lines[found][:2] = min(lines[found][0], y0), max(lines[found][1], y1)
+            want[k] = found
+    assert {r["order"]: r["line_no"] for r in L.rejoined_rows(d, "page").collect()} == want
+
+
+def test_terms_in_texts(spark):
+    from versespark.operators import patterns
+
+    rng = random.Random(4)
+    terms = sorted({"".join(rng.choices("ab", k=rng.randrange(1, 7))) for _ in range(60)} | {"abc", "bcd"})
+    texts = ["".join(rng.choices("abcd", k=rng.randrange(0, 60))) for _ in range(80)]
+    automaton = patterns.TermAutomaton(terms)
+    assert all({terms[n] for n in automaton.found(t)} == {x for x in terms if x in t} for t in texts)
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(3)
+    asked = spark.createDataFrame([(x,) for x in [*terms, "", None, "zz", terms[0]]], "x string")
+    want = sorted([x for x in terms if any(x in t for t in texts)] + [""])
+    assert sorted(r["term"] for r in patterns.terms_found(d, "t", asked, "x", at_once=20).collect()) == want
+    assert patterns.terms_found(d.filter("t is null"), "t", asked, "x").count() == 0
+
+
 def cheapest(a, b):
     """Least cost by trying every way."""
     if not a or not b:

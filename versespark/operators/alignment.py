@@ -1,13 +1,14 @@
 """Matching of recognised lines: overlaps, similarity, alignment in order, and clustering of rows.
 
-Overlaps and nearest rows are joins within a page. What is sequential by nature (a row's cluster depends on the row
-before, an alignment on all rows before) runs in Arrow groups of one page, which is as much as a page holds.
+Overlaps and nearest rows are joins within a page. What is sequential by nature streams through tasks in order with a few
+lines of state, or is cut where the order starts anew: at gaps of a page, or at lines that pair off beyond dispute.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from heapq import heappop, heappush
 
@@ -151,30 +152,33 @@ def anchored_rows(fragments: DataFrame, page: str, y: str, order: str, tolerance
 
 def rejoined_rows(rows: DataFrame, page: str, reach: int = 4) -> DataFrame:
     """rows (order, x0, y0, x1, y1, text) with line_no: columns of one printed line, joined to the latest of the last few
-    lines that they overlap by more than half of the lower height; much higher rows and short bracketed ones stay alone."""
-
-    def join(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("order", kind="stable")
-        lines: list[list] = []  # y0, y1, alone
-        out = []
-        for y0, y1, text in zip(p["y0"], p["y1"], p["text"], strict=True):
-            alone = len(text) < 18 and ("[" in text or "]" in text)
-            h, found = y1 - y0, None
-            for k in range(len(lines) - 1, max(len(lines) - 1 - reach, -1), -1):
-                a0, a1, single = lines[k]
-                low, high = min(a1 - a0, h), max(a1 - a0, h)
-                if not alone and not single and high < 2 * low and min(a1, y1) - max(a0, y0) > low / 2:
-                    found = k
-                    break
-            if found is None:
-                lines.append([y0, y1, alone])
-                found = len(lines) - 1
-            else:
-                lines[found][:2] = min(lines[found][0], y0), max(lines[found][1], y1)
-            out.append(found)
-        return p.assign(line_no=pd.array(out, "int32"))
-
-    return rows.groupBy(page).applyInPandas(lambda p: join(p), rows.withColumn("line_no", F.lit(0)).schema)
+    lines that they overlap by more than half of the lower height; much higher rows and short bracketed ones stay alone.
+
+    Rows stream through a task in order, and only the last few lines are kept, so a page may be as long as it likes."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, lines = None, 0, []  # the page, its lines so far, and of the last ones: number, y0, y1, alone
+        for p in batches:
+            out = []
+            for key, y0, y1, text in zip(p["_page"], p["y0"], p["y1"], p["text"], strict=True):
+                if key != at:
+                    at, n, lines = key, 0, []
+                alone = len(text or "") < 18 and ("[" in (text or "") or "]" in (text or ""))
+                for line in reversed(lines):
+                    low, high = sorted((line[2] - line[1], y1 - y0))
+                    if not alone and not line[3] and high < 2 * low and min(line[2], y1) - max(line[1], y0) > low / 2:
+                        line[1:3] = min(line[1], y0), max(line[2], y1)
+                        break
+                else:
+                    line = [n, y0, y1, alone]
+                    lines = [*lines[1 - reach :], line] if reach > 1 else [line]
+                    n += 1
+                out.append(line[0])
+            yield p.drop(columns="_page").assign(line_no=pd.array(out, "int32"))
+
+    keyed = rows.withColumn("_page", F.coalesce(F.col(page).cast("string"), F.lit("\0null")))
+    schema = rows.withColumn("line_no", F.lit(0)).schema
+    return keyed.repartition("_page").sortWithinPartitions("_page", "order").mapInPandas(lambda batches: join(batches), schema)
 
 
 def align_in_order(wanted: list[str], found: list[str], skip: float = SKIP, unmatched: float = UNMATCHED, scale: float = SCALE) -> list[tuple[int, float] | None]:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+from .patterns import terms_found
 from .search import small
 
 
@@ -29,12 +31,15 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def required_terms(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """accepted, rejected, has_accepted, has_rejected for a dictionary of readings (a bounded table) over all texts."""
-    keys = ["accepted", "rejected"]
-    asked = terms.select(keys).distinct()
-    has = {f"has_{k}": F.bool_or(F.contains(text, k)) for k in keys}
-    found = texts.join(small(asked), F.contains(text, "accepted") | F.contains(text, "rejected")).groupBy(keys).agg(*[v.alias(k) for k, v in has.items()])
-    return asked.join(found, keys, "left").select(*keys, *[F.coalesce(F.col(k), F.lit(False)).alias(k) for k in has])
+    """accepted, rejected, has_accepted, has_rejected for a dictionary of readings over all texts, which are read once for
+    all of them."""
+    asked = terms.select("accepted", "rejected").distinct()
+    both = asked.select(F.explode(F.array("accepted", "rejected")).alias("term"))
+    found = staged(terms_found(texts, text, both, "term"), "terms-found").withColumn("_there", F.lit(True))
+    for side in ("accepted", "rejected"):
+        asked = asked.join(found.select(F.col("term").alias(side), F.col("_there").alias(f"has_{side}")), side, "left")
+    has = [F.coalesce(f"has_{side}", F.lit(False)).alias(f"has_{side}") for side in ("accepted", "rejected")]
+    return asked.select("accepted", "rejected", *has)
 
 
 def checksum_mismatches(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -320,3 +320,19 @@ def asset_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") % 7 + 1).alias("bytes"))
     there = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.count("*").alias("size"))
     return C.available(m, there).select("file", "available")
+
+
+#: Consonants that are spelt with one letter, and vowel signs, for words of the script made from words of other letters.
+LETTERS = {"k": "क", "g": "ग", "j": "ज", "t": "त", "d": "द", "n": "न", "p": "प", "b": "ब", "m": "म", "y": "य", "r": "र", "l": "ल", "v": "व", "s": "स", "h": "ह"}
+SIGNS = {"i": "ि", "e": "े", "o": "ो", "u": "ु"}
+
+
+@query(f"""with w as (select p_partkey, regexp_replace(lower(p_type), '[^{''.join(LETTERS)}{''.join(SIGNS)} ]', '', 'g') as w from part)
+select p_partkey, regexp_replace(regexp_replace(regexp_replace(w, '([{''.join(LETTERS)}])', '\\1a', 'g'), 'a([{''.join(SIGNS)}])', '\\1', 'g'), 'a( |$)', '\\1', 'g') as roman from w""")
+def romanize_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of parts in letters of the script, as they are spelt on a keyboard: consonants carry an "a" unless a vowel
+    sign follows, or the word ends."""
+    keep = F.regexp_replace(F.lower("p_type"), f"[^{''.join(LETTERS)}{''.join(SIGNS)} ]", "")
+    script = F.translate(keep, "".join(LETTERS) + "".join(SIGNS), "".join(LETTERS.values()) + "".join(SIGNS.values()))
+    d = T.decomposed(table(spark, sf_dir, "part").select("p_partkey", script.alias("word")), "word", "nfd")
+    return d.select("p_partkey", T.romanized(F.col("nfd")).alias("roman"))

@@ -148,15 +148,15 @@ def box_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with l as (select l_orderkey as id, place, l_shipmode as text, row_number() over (partition by l_orderkey, l_shipmode order by place) as r from {PLACED_SQL}),
-s as (select o_orderkey as id, page, y, text, row_number() over (partition by o_orderkey, text order by page, y) as r from orders join (select p_size as page, p_partkey::double as y, ['AIR', 'RAIL', 'SHIP'][1 + p_partkey % 3] as text from part where p_partkey <= 60) on page between o_custkey % 50 and o_custkey % 50 + 2 and (o_custkey % 50 < page or 10 <= y) and (o_custkey % 50 + 2 > page or y < 40))
+s as (select o_orderkey as id, page, y, text, row_number() over (partition by o_orderkey, text order by page, y) as r from orders join (select p_partkey as page, p_size::double as y, ['AIR', 'RAIL', 'SHIP'][1 + p_partkey % 3] as text from part) on page between o_custkey and o_custkey + 2 and (o_custkey < page or 10 <= y) and (o_custkey + 2 > page or y < 40))
 select l.id, place, 'line' as kind from l where not exists (select 1 from s where s.id = l.id and s.text = l.text and s.r = l.r)
 union all select s.id, page, 'missed' from s where not exists (select 1 from l where s.id = l.id and s.text = l.text and s.r = l.r)""")
 def notes_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Note lines (parts on the page of their size) taken out of the orders whose three pages hold them."""
+    """Note lines (a part on each page) taken out of the orders whose three pages hold them."""
     li = _placed(spark, sf_dir).select(F.col("l_orderkey").alias("id"), "place", F.col("l_shipmode").alias("text"))
     word = F.get(F.array(*map(F.lit, ("AIR", "RAIL", "SHIP"))), (F.col("p_partkey") % 3).cast("int"))
-    spans = table(spark, sf_dir, "part").filter("p_partkey <= 60").select(F.col("p_size").cast("long").alias("page"), F.col("p_partkey").cast("double").alias("y"), word.alias("text"))
-    first = F.col("o_custkey") % 50
+    spans = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page"), F.col("p_size").cast("double").alias("y"), word.alias("text"))
+    first = F.col("o_custkey").cast("long")
     pads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), first.alias("start_page"), F.lit(10.0).alias("start_y"), (first + 2).alias("end_page"), F.lit(40.0).alias("end_y"))
     kept, missed = N.interval_removal(li, spans, pads, "place")
     return kept.select("id", "place", F.lit("line").alias("kind")).unionByName(missed.select("id", F.col("page").alias("place"), F.lit("missed").alias("kind")))

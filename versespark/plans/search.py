@@ -68,6 +68,23 @@ def search_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.excerpts(r, p, q).select("query_id", "mode", "id", "rank", "snippet")
 
 
+def search_whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a whole: all of its words, in any order."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _top(spark, sf_dir, q)
+
+
+def search_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second twenty results of each query and collection."""
+    return S.page_of(_found(spark, sf_dir, first_words(spark, sf_dir, 2)), 2).select(*COLS)
+
+
+def search_empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of an empty query in all collections, in one, and in one section."""
+    q = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.lit(" ").alias("query"), F.when(F.col("r_regionkey") == 1, "de").alias("scope"), F.when(F.col("r_regionkey") == 2, "src0").alias("section"))
+    return S.by_nothing(pads(spark, sf_dir), q, page=1).select("query_id", "mode", "id", "score")
+
+
 def section_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names that match the first word of a brand's neighbours: names as sections."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
@@ -75,7 +92,7 @@ def section_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.name_matches(names, q)
 
 
-QUERIES = [search_latin_ranked, search_batch_benchmark, search_phrase, search_number, search_empty_punct, search_substring_nonlatin, search_counts_by_mode, search_excerpts, section_name_match]
+QUERIES = [search_latin_ranked, search_batch_benchmark, search_phrase, search_number, search_empty_punct, search_substring_nonlatin, search_counts_by_mode, search_excerpts, search_whole_items, search_second_page, search_empty_pages, section_name_match]
 
 
 def _decomposed_sql(x: str) -> str:
@@ -170,6 +187,9 @@ ORACLES = {
     "search_empty_punct": "select 0::bigint as query_id, lang as mode, doc_id as id, 0 as score, string_split(text, chr(10))[1] as snippet from documents",
     "search_substring_nonlatin": search_sql("select item_id as query_id, regexp_extract(text, '([a-z]*[éèêçäöüñíóá][a-z]*)', 1) as query, false as phrase from benchmark where regexp_matches(text, '[éèêçäöüñíóá]')", TOP),
     "search_counts_by_mode": search_sql(_first_words_sql(2), "select query_id, mode, count(*) as n from ranked group by all union all select query_id, 'all', count(*) from ranked group by all"),
+    "search_whole_items": search_sql("select item_id as query_id, text as query, false as phrase from benchmark", TOP),
+    "search_second_page": search_sql(_first_words_sql(2), "select query_id, mode, id, score, match_kind, rank from ranked where rank between 21 and 40"),
+    "search_empty_pages": "select query_id, mode, id, 0 as score from (select r_regionkey::bigint as query_id, lang as mode, doc_id as id, row_number() over (partition by r_regionkey, lang order by doc_id) as r from region, documents where (r_regionkey <> 1 or lang = 'de') and (r_regionkey <> 2 or source = 'src0')) where r <= 20",
     "section_name_match": f"""
 with {word_tables_sql("select distinct '' as mode, p_name as id, 0 as field_no, 'name' as kind, p_name as text from part")},
 q as (select p_partkey as query_id, {_normal_sql("string_split(p_name, ' ')[1]")} as q from part where p_partkey % 50 = 0),
