@@ -90,6 +90,39 @@ def segment_texts(lines: DataFrame, text: str, fragments: str, out: str = "segme
     return d.withColumn(out, F.when(F.coalesce(fits, F.lit(False)), cut).otherwise(whole)).drop("_l", "_e")
 
 
+def merged_segments(lines: DataFrame, text: str, fragments: str, out: str = "segments", shown: str | None = None) -> DataFrame:
+    """lines with the accepted text cut where printed fragments end, as segments (text, x0, y0, x1, y1). Fragments (of the
+    same fields) are counted without blanks, and blanks stay with what stands before them. A fragment that begins within a
+    word is merged with the one before it, from whose left edge to its own right one the segment reaches. Where the letters
+    aren't the fragments' own, the whole text is one segment without a box. `shown` may end otherwise than the text does:
+    then the last segment says so."""
+    box = ("x0", "y0", "x1", "y1")
+    sizes = F.transform(fragments, lambda f: F.length(squeezed(f["text"])))
+    ends = F.transform(F.sequence(F.lit(1), F.size(fragments)), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, x: a + x))
+    letters = F.filter(F.transform(F.split(text, ""), lambda ch, i: F.struct(ch.alias("ch"), i.alias("i"))), lambda x: F.trim(x["ch"]) != "")
+    same = squeezed(F.array_join(F.transform(fragments, lambda f: f["text"]), "")) == squeezed(F.col(text))
+    d = lines.withColumns({"_l": letters, "_e": F.when(same & (F.size(fragments) > 0), ends), "_f": F.col(fragments)})
+    start = lambda k: F.when(k == 0, 0).otherwise(F.coalesce(F.get(F.col("_l"), F.get(F.col("_e"), k - 1))["i"], F.length(text)))
+    piece = lambda f, k: F.struct(F.substring(F.col(text), start(k) + 1, start(k + 1) - start(k)).alias("text"), *[f[c].cast("double").alias(c) for c in box])
+    pieces = F.transform("_f", piece)
+    empty = F.array().cast("array<struct<text:string,x0:double,y0:double,x1:double,y1:double>>")
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joined = F.struct(F.concat(last["text"], x["text"]).alias("text"), last["x0"].alias("x0"), F.least(last["y0"], x["y0"]).alias("y0"), x["x1"].alias("x1"), F.greatest(last["y1"], x["y1"]).alias("y1"))
+        within = (F.size(done) > 0) & ~last["text"].rlike(r"\s\z")
+        return F.when(within, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+
+    whole = lambda t: F.array(F.struct(F.col(t).alias("text"), *[F.lit(None).cast("double").alias(c) for c in box]))
+    d = d.withColumn(out, F.when(F.col("_e").isNotNull(), F.aggregate(pieces, empty, step)).otherwise(whole(text)))
+    if shown is not None:
+        before = F.array_join(F.transform(F.slice(out, F.lit(1), F.size(out) - 1), lambda x: x["text"]), "")
+        last = F.get(F.col(out), F.size(out) - 1)
+        ends_so = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(last.withField("text", F.substring(F.col(shown), F.length(before) + 1, F.length(shown)))))
+        d = d.withColumn(out, F.when(F.col(shown) == F.col(text), F.col(out)).when(F.startswith(F.col(shown), before), ends_so).otherwise(whole(shown)))
+    return d.drop("_l", "_e", "_f")
+
+
 def replaced_across(segments: Column, change) -> Column:
     """Segments of a line after a change of the whole line that keeps its length: cut again at the same places. A change
     that doesn't keep it has no places to cut at, and fails."""

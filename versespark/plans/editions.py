@@ -320,3 +320,28 @@ def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = D.Collection("s", lambda: table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id")), lambda d: d.withColumn("width", F.lit(288)), lambda i: R.route_path(F.lit("s"), i, {}), lambda d: F.concat(F.lit("#"), F.col("id").cast("string")))
     n = D.Collection("n", lambda: table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id")), lambda d: d.withColumn("width", F.lit(100)), lambda i: R.route_path(F.lit("n"), i, {}, ("n",)), lambda d: T.devanagari_number(F.col("id")))
     return D.Collections(s, n).entries().select("mode", "id", "route", "display_number", "width")
+
+
+#: Part names in three printed fragments, cut after the third letter and after two letters of the second word.
+FRAGMENTS = """with w as (select p_partkey, p_size, p_name, length(split_part(p_name, ' ', 1)) as n from part),
+f as (select *, p_partkey % 2 + 0.0 as y1, p_partkey % 3 + 0.0 as y2, p_partkey % 5 + 0.0 as y3 from w)"""
+
+
+@query(FRAGMENTS + """
+select p_partkey, case when p_partkey % 7 = 0 then p_name when n = 3 then 'red ' || '|' || substring(p_name || '!', 5) else p_name || '!' end as texts,
+  case when p_partkey % 7 = 0 then null when n = 3 then 10.0 else 10.0 end as left_edge, case when p_partkey % 7 = 0 then null when n = 3 then y1 else least(y1, y2, y3) end as first_top,
+  case when p_partkey % 7 = 0 then null else greatest(y2, y3, case when n = 3 then 0.0 else y1 end) + p_size end as last_bottom, case when p_partkey % 7 = 0 then null else 39.0 end as right_edge from f""".replace("'red ' || '|'", "substring(p_name, 1, 4) || '|'"))
+def segments_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments that begin within a word are merged with what stands before; every seventh has other letters. Names end in
+    an exclamation mark where they are shown."""
+    n = F.length(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    cut = n + 3  # a blank and two letters of the second word
+    text = lambda k: [F.substring("p_name", F.lit(1), F.lit(3)), F.substring(F.col("p_name"), F.lit(4), cut - 3), F.substring(F.col("p_name"), cut + 1, F.length("p_name"))][k]
+    top = lambda k: (F.col("p_partkey") % (2, 3, 5)[k]).cast("double")
+    fragment = lambda k: F.struct(text(k).alias("text"), F.lit(10.0 * (k + 1)).alias("x0"), top(k).alias("y0"), F.lit(10.0 * (k + 1) + 9).alias("x1"), (top(k) + F.col("p_size")).alias("y1"))
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", F.array(*map(fragment, range(3))).alias("f"))
+    d = d.withColumn("f", F.when(F.col("p_partkey") % 7 == 0, F.slice("f", 1, 2)).otherwise(F.col("f")))
+    d = d.withColumn("shown", F.when(F.col("p_partkey") % 7 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit("!"))))
+    d = D.merged_segments(d, "p_name", "f", "s", "shown")
+    first, last = F.get("s", F.lit(0)), F.get(F.col("s"), F.size("s") - 1)
+    return d.select("p_partkey", F.array_join(F.transform("s", lambda x: x["text"]), "|").alias("texts"), first["x0"].alias("left_edge"), first["y0"].alias("first_top"), last["y1"].alias("last_bottom"), last["x1"].alias("right_edge"))
