@@ -422,6 +422,19 @@ def test_html_template_text_in_articles_is_dropped(spark):
     assert got[50] == "Title 0\nSale! Buy now\nBy 0 of the staff" and got[6] == ""
 
 
+def test_html_constants_of_running_text_stay(spark):
+    """Headings and quotations that all articles of a host have, and titles in the article's own header."""
+    recipe = "<article><h1>Dish {0}</h1><h2>Ingredients</h2><ul><li>salt {0}</li></ul><h3>Method</h3><p>Stir {0} times.</p></article>"
+    title = "<article><div class='article-header'><h1>The same title</h1></div><p>other text {0}</p></article>"
+    quote = "<main><p>news {0}</p><blockquote>We shall see, said all.</blockquote></main>"
+    rows = [(k * 10 + i, f"http://{k}.x/{i}", t.format(i)) for k, t in enumerate((recipe, title, quote)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(4):
+        assert got[i] == f"Dish {i}\nIngredients\nsalt {i}\nMethod\nStir {i} times."
+        assert got[10 + i] == f"The same title\nother text {i}"
+        assert got[20 + i] == f"news {i}\nWe shall see, said all."
+
+
 def test_html_texts_are_compared_whole(spark):
     """Lone blocks stay where only their first 64 characters agree, and on hosts of nothing but copies."""
     lead = "The council met in the great hall of the old town on Monday evening and "

@@ -11,8 +11,9 @@ wrappers are aligned in two rounds, so a host with very many pages costs no task
 to the pages by host; each page is matched against its wrapper, and the text of the wrapper's content slots is what is
 kept. Content lies in the article element, or else in main, or else in an element named like content, or else in the body.
 Where that element differs between pages, its data slots decide: in the first three, a block of text all of which is constant
-on every page that has the element is template and dropped (a constant beside data in one block is part of its sentence); in
-the body, each constant slot is. An element that is the same on all pages tells nothing about its template and is kept whole.
+on every page that has the element is template and dropped (a constant beside data in one block is part of its sentence),
+unless it stands in an element of running text (heading, paragraph, quotation, list, table); in the body, each constant slot
+is. An element that is the same on all pages tells nothing about its template and is kept whole.
 So is a constant block among others of its kind (a paragraph between paragraphs), which a repeated group can't tell apart.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are never content.
 
@@ -67,6 +68,8 @@ CLOSES = {
 #: Words of class, id and role that name what isn't content, and what is.
 NOISE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments disqus reply replies respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager contentinfo complementary search dialog alert".split())
 CONTENT = frozenset("content article post entry story".split())
+#: Elements of running text. What all pages of a host say in one may be a label of what follows, or a quotation: it stays.
+RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p blockquote q pre figure figcaption table ul ol dl li dt dd".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?P<closed>>|\Z)|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<opened>>|\Z)", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -261,7 +264,8 @@ def is_noise(label: str) -> bool:
     if not named or tag in ("html", "body", "article", "main"):
         return False
     words = {w.lower() for w in WORD.findall(re.sub(r"(?:^| )(?:class|id|role)=", " ", named))}
-    return bool(words & NOISE)
+    # the header of an article, unlike that of a page, holds its title
+    return bool(words & NOISE - {"header"}) or ("header" in words and not words & CONTENT)
 
 
 def is_content(label: str, rule: str) -> bool:
@@ -345,7 +349,7 @@ class Wrapper:
             if within and edge:
                 out.append((edge, False))
             if inside or not within:
-                shared = always and item is not None and not item[1]
+                shared = always and item is not None and not item[1] and (rule == "body" or tag not in RUNNING)
             else:  # an element of content starts; its constant is None if it differs
                 shared = item is not None and item[3] is None
             self._walk(c, item[4] if item is not None else [], rule, within, shared, out)
