@@ -231,7 +231,7 @@ def test_scans_of_a_key_in_several_tasks(spark):
     assert {r["id"]: (r["prev_key"], r["next_key"]) for r in S.neighbours(d, "mode", "id", "id").collect()} == next_to
     labels = {i: next((x for _, x in reversed(lines[: k + 1]) if x), None) for lines in by.values() for k, (i, _) in enumerate(lines)}
     assert {r["id"]: r["seen"] for r in scan.carried(d, ["mode"], ["id"], F.col("label"), "seen", own=True, parts=8).collect()} == labels
-    assert {r["id"]: r["n"] for r in scan.numbered(d, ["label", "id"], "n", 8).collect()} == {i: n + 1 for n, (_, i) in enumerate(sorted((x is not None, x or "", i) for _, i, x in rows) and sorted(((x is not None, x or ""), i) for _, i, x in rows))}
+    assert {r["id"]: r["n"] for r in scan.numbered(d, ["label", "id"], "n", 8).collect()} == {i: n + 1 for n, (_, i) in enumerate(sorted(((x is not None, x or ""), i) for _, i, x in rows))}
     starts = d.filter("id % 7 = 0").select("mode", F.col("id").alias("start"), F.col("id").alias("owner"), (F.col("id") + 5).alias("end"))
     got = N.owner_asof(d, starts, "mode", "id", "start", "owner", "end", spark.createDataFrame([("a", -1)], "mode string, owner long")).collect()
     own = {i: next((j for j, _ in reversed(lines) if j <= i and j % 7 == 0), None) for lines in by.values() for i, _ in lines}
