@@ -312,3 +312,12 @@ def test_late_events_do_not_win(spark, tmp_path):
     got = streaming.state_of(spark, str(tmp_path / "cp"), schema).selectExpr("pad", "comment", "unix_micros(ts)").collect()
     assert [tuple(r) for r in got] == [(1, "new", 9000009)]
     assert [r["pad"] for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == [None]
+
+
+def test_fragment_rows_sql_of_equal_fragments():
+    """Fragments that tie have gaps that don't: the gaps of a row are those of its sorted left edges, however rows come."""
+    c = duckdb.connect()
+    c.execute("create table lineitem as select (r % 50000)::bigint as l_orderkey, 1 as l_linenumber, (30 + 1000 * (hash(r) % 3) + 5000 * (hash(r + 1) % 2) + 10 * (hash(r + 7) % 3))::bigint as l_partkey, 1::bigint as l_suppkey, 1.0::double as l_quantity from range(1000000) t(r) order by hash(r + 5)")
+    edges = "select l_orderkey, list_sort(list((l_partkey * 7 % 1000)::int)) as v from lineitem group by 1"
+    want = f"select l_orderkey, array_to_string(list_transform(generate_series(2, len(v)), lambda k: v[k] - v[k - 1] - 40), ' ') as w from ({edges})"
+    assert c.execute(f"select count(*) from ({ORACLES['fragment_rows']}) join ({want}) using (l_orderkey) where gaps <> w").fetchone() == (0,)

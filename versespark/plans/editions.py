@@ -192,8 +192,9 @@ def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with b as (select l_orderkey, (l_partkey * 7 % 1000)::double as x0, l_quantity::double as y0, ' ' || l_shipmode || ' ' as t from {PLACED_SQL}),
 f as (select *, x0 + 40 as x1, y0 + 10 as y1, trim(t) as w from b),
-g as (select *, round(x0 - lag(x1) over (partition by l_orderkey order by x0, x1, w), 3) as gap from f)
-select l_orderkey, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, coalesce(string_agg(gap::int, ' ' order by x0, x1, w), '') as gaps, string_agg(w, ' ' order by x0, x1, w) as text from g group by 1""")
+n as (select *, row_number() over (partition by l_orderkey order by x0, x1, w) as n from f),
+g as (select *, round(x0 - lag(x1) over (partition by l_orderkey order by n), 3) as gap from n)
+select l_orderkey, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, coalesce(string_agg(gap::int, ' ' order by n), '') as gaps, string_agg(w, ' ' order by n) as text from g group by 1""")
 def fragment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as fragments of one printed row."""
     x, y = (F.col("l_partkey") * 7 % 1000).cast("double"), F.col("l_quantity").cast("double")
