@@ -9,13 +9,13 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similar import letters_bound, places, ratio_over
 from ..functions.text import ocr_normal
 from ..sources.staging import staged
 
@@ -26,63 +26,68 @@ MORE_LETTERS, MISSING = 10, 0.5
 SKIP, UNMATCHED, SCALE, RELIABLE = 0.55, 0.8, 1.3, 0.62
 HEIGHTS = (8, 100)
 
-#: Grams of a text's sketch, and lines that are looked at for one of them.
-SKETCH, LISTED = 4, 8
+#: Lines of a block: blocks of rows meet blocks of proof lines.
+BLOCK = 64
 #: A pair of equal lines out of order is a matter of dispute if it crosses at most so many others.
 CROSSED = 3
 
 
 def ratio(a: str, b: str) -> float:
     """The share of characters that two texts have in common blocks (longest first); the order of the texts matters."""
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
-
-
-def ratio_over(a: str, b: str, least: float) -> float | None:
-    """The ratio of two texts if it is more than `least`. What lengths and letters allow at most is looked at first."""
-    whole = max(len(a) + len(b), 1)
-    if 2 * min(len(a), len(b)) / whole <= least or 2 * (Counter(a) & Counter(b)).total() / whole <= least:
-        return None
-    found = ratio(a, b)
-    return found if found > least else None
-
-
-def some_grams(text: Column, n: int = 3, most: int = SKETCH) -> Column:
-    """The `most` runs of n characters with the smallest hashes: texts that are alike share some."""
-    all_of = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(n))))
-    return F.slice(F.array_sort(F.array_distinct(all_of)), 1, most)
+    return ratio_over(a, b)
+
+
+def in_blocks(texts: DataFrame, page: str, text: str, block: str, size: int = BLOCK) -> DataFrame:
+    """page, the number of a block, and the texts of the block: the distinct texts of a page, so many to a block."""
+    place = F.row_number().over(Window.partitionBy(page).orderBy(text)) - 1
+    return texts.withColumn(block, F.floor(place / size).cast("int")).groupBy(page, block).agg(F.collect_list(text).alias(text))
+
+
+def best_of(rows: list[str], proofs: list[str]) -> list[float]:
+    """For each row its best ratio with a proof. Those that length and letters allow most come first and set a bar; what
+    can't pass it is not looked at."""
+    letters = [(p, len(p), Counter(p)) for p in proofs]
+    at: dict[str, dict[str, int]] = {}
+    out = []
+    for row in rows:
+        n, own, best = len(row), Counter(row), 0.0
+        by_length = sorted(((2.0 * min(n, m) / max(n + m, 1), p, m, c) for p, m, c in letters), key=lambda x: -x[0])
+        for bound, p, m, c in by_length:
+            if bound <= best:
+                break
+            if letters_bound(own, c, n + m) > best:
+                if p not in at:
+                    at[p] = places(p)
+                best = max(best, ratio_over(row, p, best, at[p]) or 0.0)
+        out.append(best)
+    return out
 
 
 def best_similarity(rows: DataFrame, proofs: DataFrame, page: str, key: str, text: str, least: float = MISSING) -> DataFrame:
     """The rows with enough letters, with the best similarity of their normal form to a proof line of their page (0 if it has
     none) and whether they may be missing there.
 
-    Rows that equal a proof line are found by a join. For the others, proof lines that share a gram of their sketch give a
-    first similarity; then a row meets those lines of its page whose length still allows a better one, and texts are compared
-    only where their letters do so too. The first step looks at LISTED lines of a gram at most, as it only sets the bar that
-    the second step, which leaves out nothing that could pass it, starts from."""
+    Rows that equal a proof line are found by a join. The other texts of a page, and its proof lines, are put in blocks; each
+    block of rows meets each block of proof lines of its page in a task of its own, so that a page of very many lines is
+    dealt over tasks, and a text is prepared once for a block."""
     d = rows.withColumn("_n", ocr_normal(F.col(text), True)).filter(F.length("_n") > MORE_LETTERS)
     p = staged(proofs.select(F.col(page).alias("_page"), ocr_normal(F.col(text), True).alias("_proof")).distinct(), "similar-proofs")
     same = p.withColumn("_same", F.lit(True))
     d = d.join(same, (F.col(page) == F.col("_page")) & (F.col("_n") == F.col("_proof")), "left").drop("_page", "_proof")
     d = staged(d.withColumn("_same", F.coalesce("_same", F.lit(False))), "similar-rows")
-    x = staged(d.filter(~F.col("_same") & F.col(page).isNotNull()).select(F.col(page).alias("_page"), "_n").distinct(), "similar-texts")
-
-    @F.pandas_udf("double")
-    def over(a: pd.Series, b: pd.Series, bar: pd.Series) -> pd.Series:
-        return pd.Series([ratio_over(*t) for t in zip(a, b, bar, strict=True)], dtype=float)
-
-    def best(pairs: DataFrame, bar: Column) -> DataFrame:
-        return pairs.withColumn("_b", over("_n", "_proof", bar)).groupBy("_page", "_n").agg(F.max("_b").alias("_b"))
-
-    lists = p.withColumn("_g", F.explode(some_grams(F.col("_proof"))))
-    lists = lists.withColumn("_k", F.row_number().over(Window.partitionBy("_page", "_g").orderBy(F.xxhash64("_proof"), "_proof"))).filter(F.col("_k") <= LISTED)
-    near = x.withColumn("_g", F.explode(some_grams(F.col("_n")))).join(lists.drop("_k"), ["_page", "_g"]).select("_page", "_n", "_proof").distinct()
-    bars = x.join(best(near, F.lit(0.0)), ["_page", "_n"], "left").select("_page", "_n", F.coalesce("_b", F.lit(0.0)).alias("_bar"))
-    bars = staged(bars, "similar-bars")
-    length, other = F.length("_n"), F.length("_proof")
-    allowed = 2.0 * F.least(length, other) / (length + other) > F.col("_bar")
-    found = best(bars.join(p, "_page").filter(allowed), F.col("_bar"))
-    found = bars.join(found, ["_page", "_n"], "left").select(F.col("_page").alias("_p"), F.col("_n").alias("_m"), F.greatest("_b", "_bar").alias("_b"))
+    x = d.filter(~F.col("_same") & F.col(page).isNotNull()).select(F.col(page).alias("_page"), "_n").distinct()
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, r, q in zip(batch["_page"], batch["_n"], batch["_proof"], strict=True):
+                yield pd.DataFrame({"_page": [at] * len(r), "_n": list(r), "_b": best_of(list(r), list(q))})
+
+    pairs = in_blocks(x, "_page", "_n", "_i").join(in_blocks(p.filter("_proof != ''"), "_page", "_proof", "_j"), "_page")
+    # dealt by blocks, as their work is far more than their bytes
+    tasks = 4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = x.schema["_page"].dataType.simpleString()
+    found = pairs.repartition(tasks, "_page", "_i", "_j").mapInPandas(lambda batches: compared(batches), f"_page {kind}, _n string, _b double")
+    found = found.groupBy(F.col("_page").alias("_p"), F.col("_n").alias("_m")).agg(F.max("_b").alias("_b"))
     d = d.join(found, (F.col(page) == F.col("_p")) & (F.col("_n") == F.col("_m")), "left")
     d = d.withColumn("best", F.when(F.col("_same"), 1.0).otherwise(F.coalesce("_b", F.lit(0.0))))
     return d.withColumn("missing", F.col("best") < least).drop("_n", "_same", "_p", "_m", "_b")
