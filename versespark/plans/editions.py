@@ -266,7 +266,7 @@ def shared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 select query_id, mode, n, row_number() over (partition by query_id order by mode <> case when query_id % 2 = 0 then 'fr' else 'en' end, mode)::int as group_pos from f""")
 def current_group_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result counts by collection, the current one first."""
-    n = S.counts(_found(spark, sf_dir, first_words(spark, sf_dir, 2))).filter("mode is not null").withColumn("n", F.col("n").cast("long"))
+    n = S.counts(_found(spark, sf_dir, first_words(spark, sf_dir, 2), scored=False)).filter("mode is not null").withColumn("n", F.col("n").cast("long"))
     return R.current_first(n, "mode", "mode", F.when(F.col("query_id") % 2 == 0, "fr").otherwise("en"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..sources import staging
 
 #: The search index of each application and state of the documents: built once, asked by all searches.
 _INDEXES: dict[tuple, tuple] = {}
+#: The distinct words of documents, for batches that are asked once.
+_WORDS: dict[tuple, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,20 +30,30 @@ def pads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("lang").alias("mode"), F.col("doc_id").alias("id"), F.get(lines, F.lit(0)).alias("title"), F.col("source").alias("section"), *[v.alias(k) for k, v in meta.items()], empty.alias("headings"), lines.alias("verses"), empty.alias("notes"), F.col("doc_id").alias("search_number"))
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
-    """The documents' search index. It is built again if a file of the table is another, or newer, or of another length, or
-    if the index's own files are gone."""
+def _kept(kept: dict[tuple, tuple], build: Callable[[DataFrame], S.Index], spark: SparkSession, sf_dir: str) -> S.Index:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
     state = files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES or _INDEXES[key][0] != state or not all(map(staging.there, _INDEXES[key][1].tables)):
-        _INDEXES[key] = (state, S.build_index(pads(spark, sf_dir)))
-    return _INDEXES[key][1]
+    if key not in kept or kept[key][0] != state or not all(map(staging.there, kept[key][1].tables)):
+        kept[key] = (state, build(pads(spark, sf_dir)))
+    return kept[key][1]
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The documents' search index. It is built again if a file of the table is another, or newer, or of another length, or
+    if the index's own files are gone."""
+    return _kept(_INDEXES, S.build_index, spark, sf_dir)
+
+
+def words_of(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The same for batches that are asked once: the words of documents only, which cost a fraction of an index."""
+    return _kept(_WORDS, S.scan_index, spark, sf_dir)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what queries of this application left in the shared folder; indexes are built again when they are asked for."""
     _INDEXES.clear()
+    _WORDS.clear()
     staging.release(spark)
 
 
