@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from versespark import plans, streaming
+from versespark.functions import text as T
 from versespark.operators import alignment as L
 from versespark.operators import assembly as A
 from versespark.operators import checks as C
@@ -206,6 +207,31 @@ def test_aligned_rows_of_a_long_page(spark):
     assert len(got) == len(wanted) and all(r["line"] == r["source_line"] and r["reliable"] for r in got)
 
 
+def test_aligned_rows_are_dealt_by_work(spark):
+    """Pages go to a stated number of tasks, however few bytes they are, and blocks that reach over Arrow batches stay whole."""
+    wanted, source = page_pairs(3, 60)
+    a, b = as_lines(spark, wanted), as_lines(spark, source)
+    assert L.anchors(a, b, "page").rdd.getNumPartitions() == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row = lambda r: (r["page"], r["line"], r["source_line"], r["score"], r["reliable"])
+    want = sorted(map(row, L.aligned_rows(a, b, "page").collect()), key=str)
+    assert len(want) == sum(map(len, wanted.values()))
+    none = spark.createDataFrame([(None, 0, "x"), (7, 99, None)], a.schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted(map(row, L.aligned_rows(a.unionByName(none), b.unionByName(none.filter("page is null")), "page").collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r for r in got if r[:2] not in ((None, 0), (7, 99))] == want
+    assert (None, 0, None, None, False) in got and any(r[:2] == (7, 99) for r in got)
+
+
+def test_normal_form_of_mixed_text(spark):
+    texts = ["राम़ ab-C 1", "K\u0130 é x", "\u093c", "a\nB", "नुक़्ता", "", None, "२३ 9"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.ocr_normal(F.col("t")).alias("a"), T.ocr_normal(F.col("t"), True).alias("b"))
+    kept = lambda t: None if t is None else "".join(c for c in t.lower() if "\u0900" <= c <= "\u097f" or c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    assert [tuple(r)[1:] for r in d.collect()] == [(kept(t), kept(t) and kept(t).replace("\u093c", "")) for t in texts]
+
+
 def test_undisputed_pairs():
     assert L.longest_rising([5, 1, 2, 9, 3]) == [1, 2, 4] and L.longest_rising([]) == []
     assert L.undisputed([(0, 2), (1, 1), (2, 0)]) == []  # any of them may be right

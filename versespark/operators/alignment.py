@@ -10,6 +10,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,8 @@ HEIGHTS = (8, 100)
 BLOCK = 64
 #: A pair of equal lines out of order is a matter of dispute if it crosses at most so many others.
 CROSSED = 3
+#: Rows that a task gives back at once.
+BATCH = 10_000
 
 
 def ratio(a: str, b: str) -> float:
@@ -288,58 +291,84 @@ def undisputed(pairs: list[tuple[int, int]], few: int = CROSSED) -> list[int]:
     return [k for k in kept if {(pairs[k][0] - 1, pairs[k][1] - 1), (pairs[k][0] + 1, pairs[k][1] + 1)} & there]
 
 
+def runs(batches: Iterator[pd.DataFrame], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The keys (the first columns) of sorted rows, each with its rows. Only the rows of one key are held."""
+    rows = (row for p in batches for row in zip(*[p[c].tolist() for c in p.columns], strict=True))
+    for key, group in groupby(rows, key=lambda row: row[:keys]):
+        yield key, list(group)
+
+
+def sides(corrected: DataFrame, source: DataFrame) -> DataFrame:
+    """The lines of both with _side: 0 for corrected ones, 1 for those of the source."""
+    return corrected.withColumn("_side", F.lit(0)).unionByName(source.withColumn("_side", F.lit(1)))
+
+
 def anchors(corrected: DataFrame, source: DataFrame, page: str) -> DataFrame:
     """page, line, source_line: lines that are equal and stand once on either side of their page, as far as their order is
     that of the source (a longest rising subsequence) beyond dispute. Only pairs of numbers go to a page's task, no texts."""
-    once = lambda d, line: d.groupBy(page, "text").agg(F.min("line").alias(line), F.count("*").alias("n")).filter("n = 1").drop("n")
-    pairs = once(corrected.filter("text != ''"), "line").join(once(source.filter("text != ''"), "source_line"), [page, "text"]).select(page, "line", "source_line")
+    of = lambda side: F.when(F.col("_side") == side, F.col("line"))
+    texts = sides(corrected, source).filter((F.col("text") != "") & F.col(page).isNotNull()).groupBy(page, "text")
+    texts = texts.agg(F.min(of(0)).alias("line"), F.min(of(1)).alias("source_line"), F.count(of(0)).alias("_n"), F.count(of(1)).alias("_m"))
+    pairs = texts.filter("_n = 1 and _m = 1").select(page, "line", "source_line")
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for _, rows in runs(batches, 1):
+            out += [rows[k] for k in undisputed([row[1:] for row in rows])]
+            if len(out) >= BATCH:
+                yield pd.DataFrame(out, columns=[page, "line", "source_line"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=[page, "line", "source_line"])
+
+    return by_work(pairs, [page], "line").mapInPandas(lambda batches: chain(batches), pairs.schema)
+
+
+def by_work(d: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """d dealt by keys, in order within them. The number of tasks is stated, as their work is far more than their bytes."""
+    return d.repartition(4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, *order)
 
-    def chain(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("line")
-        return p.iloc[undisputed(list(zip(p["line"], p["source_line"], strict=True)))]
 
-    return pairs.groupBy(page).applyInPandas(lambda p: chain(p), pairs.schema)
+def normal_lines(lines: DataFrame, page: str) -> DataFrame:
+    """page, line, and the normal form of the text, which is empty for none."""
+    return lines.select(page, F.col("line").cast("long").alias("line"), F.coalesce(ocr_normal(F.col("text"), True), F.lit("")).alias("text"))
 
 
-def aligned_rows(corrected: DataFrame, source: DataFrame, page: str, reliable: float = RELIABLE) -> DataFrame:
+def aligned_rows(corrected: DataFrame, source: DataFrame, page: str, reliable: float = RELIABLE, normal: bool = False) -> DataFrame:
     """page, line, source_line, score, reliable for the corrected lines (line, text) against the source's, page by page, by
-    their normal forms.
+    their normal forms. Lines that are `normal` already (of normal_lines, and staged) are taken as they are.
 
-    Anchors pair off at once and cut a page into blocks. A block of one side only needs no work; the others are aligned each
-    on its own, in as many tasks as there are blocks, so what a task holds is what lies between two anchors."""
-    normal = lambda d: d.select(F.col(page).alias(page), F.col("line").cast("long").alias("line"), F.coalesce(ocr_normal(F.col("text"), True), F.lit("")).alias("text"))
-    a, b = staged(normal(corrected), "align-wanted"), staged(normal(source), "align-source")
+    Anchors pair off at once and cut a page into blocks. Blocks stream through tasks in order, those of both sides are
+    aligned each on its own, so what a task holds is what lies between two anchors."""
+    a, b = (corrected, source) if normal else (staged(normal_lines(corrected, page), "align-wanted"), staged(normal_lines(source, page), "align-source"))
     fixed = staged(anchors(a, b, page), "align-anchors")
 
-    def blocks(d: DataFrame, line: str) -> DataFrame:
-        """The lines between anchors, with the number of anchors of their page before them."""
-        marks = fixed.select(page, F.col(line).alias("line"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("_mark"))
-        w = Window.partitionBy(page).orderBy("line", F.desc("_mark")).rowsBetween(Window.unboundedPreceding, 0)
-        both = d.withColumn("_mark", F.lit(0)).unionByName(marks)
-        # an anchor's own line stands behind its mark, and is left out
-        both = both.withColumns({"_block": F.sum("_mark").over(w), "_own": F.max("_mark").over(Window.partitionBy(page, "line"))})
-        return both.filter((F.col("_mark") == 0) & (F.col("_own") == 0)).select(page, "_block", "line", "text")
-
-    def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("line"), b.sort_values("line")
-        got = align_in_order(a["text"].tolist(), b["text"].tolist())
-        at = b["line"].tolist()
-        return pd.DataFrame(
-            {
-                page: a[page].to_numpy(),
-                "line": a["line"].to_numpy(),
-                "source_line": pd.array([None if g is None else at[g[0]] for g in got], "Int64"),
-                "score": [None if g is None else round(g[1], 3) for g in got],
-                "reliable": [g is not None and g[1] >= reliable for g in got],
-            }
-        )
-
-    x, y = staged(blocks(a, "line"), "align-wanted"), blocks(b, "source_line")
-    keys = [page, "_block"]
-    y = staged(y.join(x.select(*keys).distinct(), keys, "left_semi"), "align-source")
-    there = y.select(*keys).distinct()
-    alone = x.join(there, keys, "left_anti").select(page, "line", F.lit(None).cast("long").alias("source_line"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("reliable"))
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+
+        def frame() -> pd.DataFrame:
+            at, line, source_line, score, sure = zip(*out, strict=True)
+            return pd.DataFrame({page: at, "line": line, "source_line": pd.array(source_line, "Int64"), "score": score, "reliable": sure})
+
+        for (at, _), rows in runs(batches, 2):
+            wanted, found = ([row[3:] for row in rows if row[2] == side] for side in (0, 1))
+            got = align_in_order([x[1] for x in wanted], [x[1] for x in found]) if wanted and found else [None] * len(wanted)
+            out += [(at, x[0], None, None, False) if g is None else (at, x[0], found[g[0]][0], round(g[1], 3), g[1] >= reliable) for x, g in zip(wanted, got, strict=True)]
+            if len(out) >= BATCH:
+                yield frame()
+                out = []
+        if out:
+            yield frame()
+
+    # the lines between anchors, with the number of anchors of their page before them
+    both = sides(a, b).withColumn("_mark", F.lit(0))
+    marks = sides(fixed.select(page, "line"), fixed.select(page, F.col("source_line").alias("line"))).withColumns({"text": F.lit(None).cast("string"), "_mark": F.lit(1)})
+    w = Window.partitionBy(page, "_side").orderBy("line", F.desc("_mark")).rowsBetween(Window.unboundedPreceding, 0)
+    # an anchor's own line stands behind its mark, and is left out
+    cut = both.filter(F.col(page).isNotNull()).unionByName(marks).withColumns({"_block": F.sum("_mark").over(w), "_own": F.max("_mark").over(Window.partitionBy(page, "_side", "line"))})
+    cut = cut.filter((F.col("_mark") == 0) & (F.col("_own") == 0)).select(page, "_block", "_side", "line", "text")
     kind = a.schema[page].dataType.simpleString()
-    between = x.join(there, keys, "left_semi").groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(lambda a, b: align(a, b), f"{page} {kind}, line long, source_line long, score double, reliable boolean")
+    between = by_work(cut, [page, "_block"], "_side", "line").mapInPandas(lambda batches: align(batches), f"{page} {kind}, line long, source_line long, score double, reliable boolean")
     paired = fixed.select(page, "line", "source_line", F.lit(1.0).alias("score"), F.lit(1.0 >= reliable).alias("reliable"))
-    return paired.unionByName(alone).unionByName(between)
+    unplaced = a.filter(F.col(page).isNull()).select(page, "line", F.lit(None).cast("long").alias("source_line"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("reliable"))
+    return paired.unionByName(between).unionByName(unplaced)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as L
 from ..operators import geometry as G
+from ..sources.staging import staged
 from .tables import lines, table
 
 QUERIES: list = []
@@ -145,5 +146,5 @@ def best_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def monotone_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines without every fourth, aligned with all of them."""
-    d = _lines(spark, sf_dir)
-    return L.aligned_rows(d.filter("line % 4 != 3").select(*[F.col(c).alias(c) for c in d.columns]), d, "doc_id")
+    d = staged(L.normal_lines(_lines(spark, sf_dir), "doc_id"), "align-lines")
+    return L.aligned_rows(d.filter("line % 4 != 3").select(*[F.col(c).alias(c) for c in d.columns]), d, "doc_id", normal=True)
