@@ -54,6 +54,31 @@ def test_anchored_rows(spark):
     assert got == [1, 1, 2, 2, 3, 4]  # measured from the first of a row, not from the one before
 
 
+def test_anchored_rows_in_batches(spark, monkeypatch):
+    """Rows go on over Arrow batches, pages without a number and fragments without y are kept, and tasks follow the rows."""
+    from versespark.operators import scan
+
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, 3, None]), i, rng.choice([None, rng.random() * 9])) for i in range(300)]
+    d = spark.createDataFrame(rows, "page long, i long, y double")
+    want = {}
+    for page in (1, 2, 3, None):
+        anchor, n = None, 0
+        for y, i in sorted((y, i) for p, i, y in rows if p == page and y is not None):
+            if anchor is None or abs(anchor - y) > 0.7:
+                anchor, n = y, n + 1
+            want[i] = n
+        want |= {i: n for p, i, y in rows if p == page and y is None}
+    monkeypatch.setattr(scan, "ROWS", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = L.anchored_rows(d, "page", "y", "i")
+        assert got.rdd.getNumPartitions() == 10
+        assert {r["i"]: r["row_no"] for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_rejoined_rows(spark):
     rows = [(1, 0, 0.0, 0.0, 10.0, 10.0, "a"), (1, 1, 20.0, 2.0, 30.0, 12.0, "b"), (1, 2, 0.0, 20.0, 10.0, 30.0, "[1]"), (1, 3, 20.0, 21.0, 30.0, 31.0, "c")]
     d = spark.createDataFrame(rows, "page long, order long, x0 double, y0 double, x1 double, y1 double, text string")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.similar import letters_bound, places, ratio_over
 from ..functions.text import ocr_normal
 from ..sources.staging import staged
+from .scan import tasks_for
 
 
 # From how many letters on a row is compared, below what similarity it may be missing; costs of an alignment,
@@ -136,26 +137,25 @@ def believed_box(box: Column, reliable: Column, height: Column) -> Column:
 def anchored_rows(fragments: DataFrame, page: str, y: str, order: str, tolerance: float = 0.7) -> DataFrame:
     """fragments with row_no: a fragment more than `tolerance` off the first one of the row opens a new row.
 
-    A gap of more than that always opens one, so a page is cut at its gaps first, and only what stands close together is
-    one group; rows are then counted on through the page."""
-
-    def cluster(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([y, order], kind="stable")
-        anchor, n, rows = None, 0, []
-        for v in p[y]:
-            if anchor is None or abs(anchor - v) > tolerance:
-                anchor, n = v, n + 1
-            rows.append(n)
-        return p.assign(row_no=pd.array(rows, "int32"))
-
-    gap = F.col(y) - F.lag(y).over(Window.partitionBy(page).orderBy(y)) > tolerance
-    cut = fragments.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
-    cut = cut.withColumn("_part", F.sum("_gap").over(Window.partitionBy(page).orderBy(y).rangeBetween(Window.unboundedPreceding, 0))).drop("_gap")
-    rows = cut.groupBy(page, "_part").applyInPandas(lambda p: cluster(p), cut.withColumn("row_no", F.lit(0)).schema)
-    counted = rows.groupBy(page, "_part").agg(F.max("row_no").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(page).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counted.select(page, "_part", before.cast("int").alias("_before"))
-    return rows.join(starts, [page, "_part"]).withColumn("row_no", F.col("row_no") + F.col("_before")).select(*fragments.columns, "row_no")
+    Fragments stream through a task in order, and only the first one of a row is kept, so a page may be as long as it likes.
+    Fragments without y stand at the end, in the last row of their page."""
+
+    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, anchor, n = None, None, 0
+        for p in batches:
+            rows = []
+            for key, v in zip(p["_page"], p[y], strict=True):
+                if key != at:
+                    at, anchor, n = key, v, 1
+                elif v is not None and abs(anchor - v) > tolerance:
+                    anchor, n = v, n + 1
+                rows.append(n)
+            yield p.drop(columns="_page").assign(row_no=pd.array(rows, "int32"))
+
+    keyed = fragments.withColumn("_page", F.coalesce(F.col(page).cast("string"), F.lit("\0null")))
+    schema = fragments.withColumn("row_no", F.lit(0)).schema
+    dealt = keyed.repartition(tasks_for(fragments), "_page").sortWithinPartitions("_page", F.asc_nulls_last(y), order)
+    return dealt.mapInPandas(lambda batches: cluster(batches), schema)
 
 
 def rejoined_rows(rows: DataFrame, page: str, reach: int = 4) -> DataFrame:

@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 
 PART = "_part"
+#: So many rows of a join, window or sort are one task's share.
+ROWS = 500_000
+
+
+def tasks_for(*tables: DataFrame) -> int:
+    """How many tasks the rows of tables that meet in a join, or are sorted, are dealt to: spark.sql.shuffle.partitions, or
+    more, so that the rows of a task, and what it holds of them in memory, don't grow with the tables."""
+    rows = max(d.count() for d in tables)
+    return max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def shared_out(df: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """`df` dealt by keys to as many tasks if they are more than Spark's own; else as it is, as Spark may know better."""
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def dealt(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
