@@ -302,6 +302,18 @@ def test_stanza_ends(spark):
     assert [r[0] for r in d.select(A.ends_stanza(F.col("t"), False)).collect()] == [True, True, True, False, False]
 
 
+def test_numbered_lines_in_more_tasks(spark, monkeypatch):
+    """Tasks follow the rows, and the texts are the same."""
+    from versespark.operators import scan
+
+    d = spark.createDataFrame([(i // 7, i, i % 3 + 1, "a॥*" if i % 2 else "b*") for i in range(210)], "p long, line long, stanza long, text string")
+    run = lambda: A.numbered(d, "p", "line", "stanza", "text", F.when(F.col("p") % 2 == 0, 2), F.col("p") % 3 == 0)
+    want = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(scan, "ROWS", 20)
+    got = run()
+    assert got.rdd.getNumPartitions() == 11 and sorted(map(tuple, got.collect())) == want
+
+
 def test_canonical_hash(spark):
     import hashlib
     import json

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import shared_out, tasks_for
+
 
 def marker_segments(lines: DataFrame, part: str, order: str, is_marker: Column) -> DataFrame:
     """lines with segment: how many markers stand up to the line; 0 before the first, which belongs to no entry."""
@@ -139,9 +141,10 @@ def terminal_danda(text: Column) -> Column:
 def numbered(lines: DataFrame, part: str, order: str, stanza: str, text: str, star_after: Column | None = None, closing: Column | None = None) -> DataFrame:
     """lines where the double danda that ends a stanza is followed by the stanza's number. With `star_after` (a stanza of the
     part; null: none), all other stars at line ends go and that stanza's end gets one before its danda; a `closing` part's
-    last line keeps none."""
+    last line keeps none. Lines are dealt by part once, for both orders, to tasks whose share doesn't grow with the table."""
     from ..functions.text import devanagari_number
 
+    lines = shared_out(lines, [part], tasks_for(lines))
     c = F.col(text)
     last = F.lead(order).over(Window.partitionBy(part, stanza).orderBy(order)).isNull()
     number = F.concat(F.lit("॥"), devanagari_number(F.col(stanza)), F.lit("॥"))
