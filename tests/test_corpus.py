@@ -264,6 +264,25 @@ def test_undisputed_pairs():
     assert L.undisputed(moved) == list(range(1, 10))
 
 
+def test_resolved_refs_in_more_tasks(spark, monkeypatch):
+    """Tasks follow the rows in both joins, whether notes are named by a constant or not, and the rows are the same."""
+    from versespark.operators import notes as N
+    from versespark.operators import scan
+
+    notes = spark.createDataFrame([(i // 3, i % 3, "abc"[i % 3]) for i in range(150)], "owner_id long, note_index long, marker string")
+    own = [(i, i, k, "abc"[k]) for i in range(50) if i % 4 for k in range(3)]
+    monkeypatch.setattr(scan, "ROWS", 15)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for index, k in ((F.lit(2), lambda i: 2), (F.col("id") % 3, lambda i: i % 3)):
+            refs = spark.range(0, 60, 4).select("id", (F.col("id") + 1).alias("owner_id"), index.cast("long").alias("note_index"))
+            got = N.resolved_refs(spark.range(60), notes, refs)
+            assert sorted(map(tuple, got.collect())) == sorted([(i, i + 1, k(i), "abc"[k(i)]) for i in range(0, 49, 4)] + own)
+            assert got.rdd.getNumPartitions() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_scans_of_a_key_in_several_tasks(spark):
     from versespark.operators import notes as N
     from versespark.operators import scan

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import carried
+from .scan import carried, shared_out, tasks_for
 from .search import small
 
 
 def resolved_refs(pads: DataFrame, notes: DataFrame, refs: DataFrame) -> DataFrame:
     """id, owner_id, note_index, marker: the notes that an entry refers to, or its own if it refers to none. References to
-    notes that don't exist are dropped."""
-    named = refs.join(notes, ["owner_id", "note_index"]).select("id", "owner_id", "note_index", "marker")
-    own = pads.select("id").join(refs.select("id").distinct(), "id", "left_anti").join(notes, F.col("id") == F.col("owner_id"))
+    notes that don't exist are dropped. Tables are dealt to tasks whose share doesn't grow with them."""
+    tasks = tasks_for(pads, notes, refs)
+    keys = ["owner_id", "note_index"]
+    # Spark joins by owner_id alone where note_index is a constant, and by both else: one side is dealt for either
+    named = shared_out(refs, keys[:1], tasks).join(shared_out(notes, keys, tasks), keys).select("id", "owner_id", "note_index", "marker")
+    own = shared_out(pads.select("id"), ["id"], tasks).join(shared_out(refs.select("id"), ["id"], tasks), "id", "left_anti")
+    own = own.join(shared_out(notes, ["owner_id"], tasks), F.col("id") == F.col("owner_id"))
     return named.unionByName(own.select("id", "owner_id", "note_index", "marker"))
 
 
