@@ -3,17 +3,30 @@
 The longest common block of two texts is found on all pairs of equal places at once: as the bits of one number, or, where
 that number would be too long, by ranks of blocks of double length. Both give the block that difflib gives: the longest,
 of these the first in one text, of these the first in the other.
+
+Very many pairs are compared together: their long blocks come from equal runs of a few letters, which are sorted once for
+all texts, their short ones from rows of 64 bits, and a step is a few operations on arrays for all open parts of all pairs.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 
 #: Up to so many pairs of places are bits of one number.
 BITS = 1 << 22
+#: Letters of a run by which long blocks are found.
+RUN = 5
+#: What is held at once: pairs of equal runs, those of them that are extended together, rows of bits, and words of the table
+#: of places. Beyond the first and the last, texts are compared in smaller groups.
+HITS, EXTENDED, ROWS, TABLE = 1 << 22, 1 << 17, 1 << 16, 1 << 24
+#: Texts of fewer letters are compared together: a length and two places in a text share a number.
+LONG = 1 << 21
+#: The share of what is open that is expected of a pair, when the first pair of a row is chosen.
+EXPECTED = 0.3
 
 
 def places(b: str) -> dict[str, int]:
@@ -111,3 +124,271 @@ def ratio_over(a: str, b: str, least: float = -1.0, at: dict[str, int] | None =
 def letters_bound(a: Counter, b: Counter, whole: int) -> float:
     """What the ratio of two texts is at most, by their letters."""
     return 2.0 * (a & b).total() / max(whole, 1)
+
+
+def best_of(rows: list[str], proofs: list[str]) -> list[float]:
+    """For each row its best ratio with a proof. Those that length and letters allow most come first and set a bar; what
+    can't pass it is not looked at."""
+    letters = [(p, len(p), Counter(p)) for p in proofs]
+    at: dict[str, dict[str, int]] = {}
+    out = []
+    for row in rows:
+        n, own, best = len(row), Counter(row), 0.0
+        by_length = sorted(((2.0 * min(n, m) / max(n + m, 1), p, m, c) for p, m, c in letters), key=lambda x: -x[0])
+        for bound, p, m, c in by_length:
+            if bound <= best:
+                break
+            if letters_bound(own, c, n + m) > best:
+                if p not in at:
+                    at[p] = places(p)
+                best = max(best, ratio_over(row, p, best, at[p]) or 0.0)
+        out.append(best)
+    return out
+
+
+def best_ratios(groups: list[tuple[list[str], list[str]]]) -> list[list[float]]:
+    """For the rows and proofs of each group, the best ratio of each row with a proof: as best_of, for all groups together."""
+    if max((len(t) for g in groups for x in g for t in x), default=0) < LONG:
+        pairs = _Pairs(groups)
+        if pairs.fits:
+            best = pairs.best().tolist()
+            ends = np.cumsum([len(rows) for rows, _ in groups]).tolist()
+            return [best[end - len(rows) : end] for end, (rows, _) in zip(ends, groups, strict=True)]
+        if len(groups) > 1:
+            half = len(groups) // 2
+            return best_ratios(groups[:half]) + best_ratios(groups[half:])
+        rows, proofs = groups[0]
+        if len(rows) > 1:
+            half = len(rows) // 2
+            return [best_ratios([(rows[:half], proofs)])[0] + best_ratios([(rows[half:], proofs)])[0]]
+        if len(proofs) > 1:
+            half = len(proofs) // 2
+            return [[max(x) for x in zip(*(best_ratios([(rows, part)])[0] for part in (proofs[:half], proofs[half:])), strict=True)]]
+    return [best_of(rows, proofs) for rows, proofs in groups]
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For so many places each: whose a place is, and its number there."""
+    whose = np.repeat(np.arange(len(counts)), counts)
+    return whose, np.arange(len(whose)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _chunks(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose counts are `most` together, or one place."""
+    ends, a = np.cumsum(counts), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+#: Open parts of pairs: pair, start and end in the row, start and end in the proof. Blocks in them: part, start in the row,
+#: start in the proof, length; in the order of parts.
+_Parts = list[np.ndarray]
+_Blocks = list[np.ndarray]
+
+
+class _Pairs:
+    """Each row of a group with each proof of it. All texts stand one after the other in `codes`, with a mark between them;
+    places are places there."""
+
+    def __init__(self, groups: list[tuple[list[str], list[str]]]) -> None:
+        rows, proofs = [t for r, _ in groups for t in r], [t for _, p in groups for t in p]
+        n_rows, n_proofs = (np.array([len(g[side]) for g in groups], dtype=np.int64) for side in (0, 1))
+        self.n, self.texts = len(rows), rows + proofs
+        self.length = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        self.start = np.cumsum(self.length + 1) - self.length
+        points = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        seen = np.zeros(0x110000, np.int32)
+        seen[points] = 1
+        rank = np.cumsum(seen, dtype=np.int32) + 1
+        letters = int(rank[-1]) + 1
+        text, place = _spread(self.length)
+        where = self.start[text] + place
+        # 0 ends a row and 1 a proof, so no block reaches over an end
+        self.codes = np.zeros(len(points) + len(self.texts) + 1, np.uint8 if letters < 256 else np.int32)
+        self.codes[where] = rank[points]
+        self.codes[(self.start + self.length)[self.n :]] = 1
+        self.words = (len(self.codes) >> 6) + 2
+        self.fits = letters * self.words <= TABLE
+        if not self.fits:
+            return
+        self.places = np.zeros(letters * self.words, np.uint64)
+        np.add.at(self.places, self.codes[where].astype(np.int64) * self.words + (where >> 6), np.uint64(1) << (where & 63).astype(np.uint64))
+
+        group = np.repeat(np.arange(len(groups)), n_rows)
+        self.per_row = n_proofs[group]
+        self.first = np.cumsum(self.per_row) - self.per_row
+        self.row, k = _spread(self.per_row)
+        self.proof = (self.n + np.cumsum(n_proofs) - n_proofs)[group][self.row] + k
+        self.whole = np.maximum(self.length[self.row] + self.length[self.proof], 1)
+        self.done = np.zeros(len(self.row), np.int64)
+        self.bar = np.zeros(self.n)
+
+        # runs of letters, with the number of their group before them
+        bits = letters.bit_length()
+        self.run = max(1, min(RUN, (62 - len(groups).bit_length()) // bits))
+        key = np.zeros(len(self.codes), np.int64)
+        for k in range(self.run):
+            key[: len(key) - k] = key[: len(key) - k] << bits | self.codes[k:]
+        of, place = _spread(np.maximum(self.length - self.run + 1, 0))
+        at = self.start[of] + place
+        own = np.concatenate([group, np.repeat(np.arange(len(groups)), n_proofs)])[of] << bits * self.run | key[at]
+        key[: self.start[self.n] if proofs else len(key)] = -1
+        key[key != -1] = -2
+        key[at] = own
+        cut = int(np.searchsorted(of, self.n))
+        order = cut + np.argsort(key[at[cut:]])
+        self.key, self.at, self.of, self.sorted = key, at, of, order
+        there = key[at[order]]
+        begin = _firsts(there)
+        self.hits = np.zeros(cut, np.int64)
+        self.begin = np.zeros(cut, np.int64)
+        if len(begin):
+            found = np.minimum(np.searchsorted(there[begin], key[at[:cut]]), len(begin) - 1)
+            self.hits = np.where(there[begin[found]] == key[at[:cut]], np.diff(np.append(begin, len(there)))[found], 0)
+            self.begin = begin[found]
+        # rows that repeat a few letters over and over are compared on their own
+        of_row = np.bincount(of[:cut], self.hits, self.n)
+        cells = self.length[: self.n] * np.bincount(self.row, self.length[self.proof], self.n)
+        self.alone = (of_row > 1 << 14) & (of_row > cells / 16)
+        self.hits[self.alone[of[:cut]]] = 0
+        self.fits = int(self.hits.sum()) <= HITS
+
+    def _long(self) -> _Blocks:
+        """The blocks of `run` letters or more that can't be extended."""
+        codes, key, out = self.codes, self.key, [[np.zeros(0, np.int64)] * 4]
+        asked = np.flatnonzero(self.hits)
+        for a, b in _chunks(self.hits[asked], EXTENDED):
+            x, k = _spread(self.hits[asked[a:b]])
+            x = asked[a:b][x]
+            other = self.sorted[self.begin[x] + k]
+            i, j = self.at[x], self.at[other]
+            first = (codes[i - 1] != codes[j - 1]) | (codes[i - 1] < 2)
+            x, other, i, j = x[first], other[first], i[first], j[first]
+            n = np.full(len(i), self.run)
+            live = np.arange(len(i))
+            while len(live):
+                live = live[key[i[live] + n[live]] == key[j[live] + n[live]]]
+                n[live] += self.run
+            live = np.arange(len(i))
+            for _ in range(self.run - 1):
+                live = live[codes[i[live] + n[live]] == codes[j[live] + n[live]]]
+                n[live] += 1
+            row = self.of[x]
+            out.append([self.first[row] + self.of[other] - self.proof[self.first[row]], i, j, n])
+        blocks = [np.concatenate(x) for x in zip(*out, strict=True)]
+        order = np.argsort(blocks[0], kind="stable")
+        return [x[order] for x in blocks]
+
+    def _short(self, parts: _Parts) -> np.ndarray:
+        """The longest blocks of parts that have none of `run` letters, as numbers: see _level. Each letter of one text has a
+        row of bits, the places of it in a window of the other; windows overlap so far that each block is in one. The text
+        that has the rows is the one with which they are fewer."""
+        _, i0, i1, j0, j1 = parts
+        m, n, step = i1 - i0, j1 - j0, 65 - self.run
+        windows = lambda size: np.maximum(1, -(-(size - self.run + 1) // step))
+        turned = n * windows(m) < m * windows(n)
+        row0, rows, col0, cols = np.where(turned, j0, i0), np.where(turned, n, m), np.where(turned, i0, j0), np.where(turned, m, n)
+        part, k = _spread(windows(cols))
+        left = col0[part] + k * step
+        inside = ~np.uint64(0) >> (64 - np.minimum(cols[part] - k * step, 64)).astype(np.uint64)
+        high = rows[part] + 1  # a blank row at the end
+        out = np.zeros(len(i0), np.int64)
+        for a, b in _chunks(high, ROWS):
+            window, r = _spread(high[a:b])
+            window += a
+            of = part[window]
+            row, col = row0[of] + r, left[window]
+            word, shift = self.codes[row].astype(np.int64) * self.words + (col >> 6), (col & 63).astype(np.uint64)
+            eq = (self.places[word] >> shift) | ((self.places[word + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+            eq &= inside[window]
+            eq[np.cumsum(high[a:b]) - 1] = 0
+            longest, levels = np.zeros(part[b - 1] + 1 - part[a], np.int8), []
+            of -= part[a]
+            at = np.flatnonzero(eq)
+            run = eq[at]
+            while len(at):
+                levels.append((at, run))
+                longest[of[at]] = len(levels)
+                run = run & (eq[np.minimum(at + len(levels), len(eq) - 1)] >> np.uint64(len(levels)))
+                more = np.flatnonzero(run)
+                at, run = at[more], run[more]
+            for size, (at, run) in enumerate(levels, 1):
+                last = np.flatnonzero(longest[of[at]] == size)
+                at, run = at[last], run[last]
+                x = of[at] + part[a]
+                # the lowest bit, by the exponent of its value
+                low = ((run & (~run + np.uint64(1))).astype(np.float64).view(np.int64) >> 52) - 1023 + col[at]
+                i, j = np.where(turned[x], low, row[at]), np.where(turned[x], row[at], low)
+                if len(begin := _firsts(x)):
+                    best = np.maximum.reduceat((size * LONG + i1[x] - i) * LONG + j1[x] - j, begin)
+                    out[x[begin]] = np.maximum(out[x[begin]], best)
+        return out
+
+    def _level(self, parts: _Parts, blocks: _Blocks) -> tuple[_Parts, _Blocks]:
+        """Take the longest block of each part; what is open then, and the blocks in that. A block is a number: its length,
+        how far its start is from the end of the part in the row, and the same in the proof; so the largest is difflib's."""
+        pair, i0, i1, j0, j1 = parts
+        part, i, j, n = blocks
+        top = np.zeros(len(pair), np.int64)
+        if len(begin := _firsts(part)):
+            top[part[begin]] = np.maximum.reduceat((n * LONG + i1[part] - i) * LONG + j1[part] - j, begin)
+        rest = np.flatnonzero(top == 0)
+        top[rest] = self._short([x[rest] for x in parts])
+        size, bi, bj = top // LONG**2, i1 - top // LONG % LONG, j1 - top % LONG
+        self.done += np.bincount(pair, size, len(self.done)).astype(np.int64)
+        ei, ej = bi + size, bj + size
+        before, after = (size > 0) & (bi > i0) & (bj > j0), (size > 0) & (ei < i1) & (ej < j1)
+        open_ = [np.concatenate([x[before], y[after]]) for x, y in ((pair, pair), (i0, ei), (bi, i1), (j0, ej), (bj, j1))]
+        # blocks of `run` letters or more within what is open; shorter ones are found by bits
+        short = np.minimum(n, np.minimum(bi[part] - i, bj[part] - j))
+        x = np.flatnonzero(short >= self.run)
+        off = np.maximum(0, np.maximum(ei[part] - i, ej[part] - j))
+        y = np.flatnonzero(n - off >= self.run)
+        number, then = np.cumsum(before) - 1, np.cumsum(after) - 1 + before.sum()
+        return open_, [np.concatenate(z) for z in ((number[part[x]], then[part[y]]), (i[x], (i + off)[y]), (j[x], (j + off)[y]), (short[x], (n - off)[y]))]
+
+    def _bounds(self, parts: _Parts) -> np.ndarray:
+        """How many letters of each pair are in blocks, if what is open counts in full."""
+        return self.done + np.bincount(parts[0], np.minimum(parts[2] - parts[1], parts[4] - parts[3]), len(self.done)).astype(np.int64)
+
+    def best(self) -> np.ndarray:
+        """The best ratio of each row. All pairs lose their longest block; then a row's likeliest pair is finished and sets a
+        bar, and the others go on as long as they may pass it."""
+
+        def kept(parts: _Parts, blocks: _Blocks, ok: np.ndarray) -> tuple[_Parts, _Blocks]:
+            number, inside = np.cumsum(ok) - 1, ok[blocks[0]]
+            return [x[ok] for x in parts], [number[blocks[0][inside]], *[x[inside] for x in blocks[1:]]]
+
+        def raise_bar() -> None:
+            some = np.flatnonzero(self.per_row)
+            self.bar[some] = np.maximum(self.bar[some], np.maximum.reduceat(2.0 * self.done / self.whole, self.first[some]))
+
+        if len(self.row):
+            ends = self.start + self.length
+            pairs = np.flatnonzero(~self.alone[self.row] & (self.length[self.row] > 0) & (self.length[self.proof] > 0))
+            number = np.zeros(len(self.row), np.int64)
+            number[pairs] = np.arange(len(pairs))
+            pair, *blocks = self._long()
+            state = self._level([pairs, self.start[self.row[pairs]], ends[self.row[pairs]], self.start[self.proof[pairs]], ends[self.proof[pairs]]], [number[pair], *blocks])
+            raise_bar()
+            likely = 2.0 * (self.done + EXPECTED * (self._bounds(state[0]) - self.done)) / self.whole
+            order = np.lexsort((-likely, self.row))
+            chosen = np.zeros(len(self.row), bool)
+            chosen[order[_firsts(self.row[order])]] = True
+            for ok in (chosen, ~chosen):
+                now = kept(*state, ok[state[0][0]])
+                while len(now[0][0]):
+                    passes = 2.0 * self._bounds(now[0]) / self.whole > self.bar[self.row]
+                    now = self._level(*kept(*now, passes[now[0][0]]))
+                    raise_bar()
+        for k in np.flatnonzero(self.alone):
+            pairs = slice(self.first[k], self.first[k] + self.per_row[k])
+            self.bar[k] = best_of([self.texts[k]], [self.texts[p] for p in self.proof[pairs]])[0]
+        return self.bar

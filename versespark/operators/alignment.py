@@ -7,7 +7,6 @@ lines of state, or is cut where the order starts anew: at gaps of a page, or at
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import groupby
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similar import letters_bound, places, ratio_over
+from ..functions.similar import best_ratios, ratio_over
 from ..functions.text import ocr_normal
 from ..sources.staging import staged
 from .scan import tasks_for
@@ -30,6 +29,8 @@ HEIGHTS = (8, 100)
 
 #: Lines of a block: blocks of rows meet blocks of proof lines.
 BLOCK = 64
+#: Letters of the blocks that are compared together, and distinct texts that are one task's share.
+LETTERS, TEXTS = 400_000, 25_000
 #: A pair of equal lines out of order is a matter of dispute if it crosses at most so many others.
 CROSSED = 3
 #: Rows that a task gives back at once.
@@ -47,54 +48,49 @@ def in_blocks(texts: DataFrame, page: str, text: str, block: str, size: int = BL
     return texts.withColumn(block, F.floor(place / size).cast("int")).groupBy(page, block).agg(F.collect_list(text).alias(text))
 
 
-def best_of(rows: list[str], proofs: list[str]) -> list[float]:
-    """For each row its best ratio with a proof. Those that length and letters allow most come first and set a bar; what
-    can't pass it is not looked at."""
-    letters = [(p, len(p), Counter(p)) for p in proofs]
-    at: dict[str, dict[str, int]] = {}
-    out = []
-    for row in rows:
-        n, own, best = len(row), Counter(row), 0.0
-        by_length = sorted(((2.0 * min(n, m) / max(n + m, 1), p, m, c) for p, m, c in letters), key=lambda x: -x[0])
-        for bound, p, m, c in by_length:
-            if bound <= best:
-                break
-            if letters_bound(own, c, n + m) > best:
-                if p not in at:
-                    at[p] = places(p)
-                best = max(best, ratio_over(row, p, best, at[p]) or 0.0)
-        out.append(best)
-    return out
-
-
-def best_similarity(rows: DataFrame, proofs: DataFrame, page: str, key: str, text: str, least: float = MISSING) -> DataFrame:
+def best_similarity(rows: DataFrame, proofs: DataFrame, page: str, key: str, text: str, least: float = MISSING, normal: bool = False) -> DataFrame:
     """The rows with enough letters, with the best similarity of their normal form to a proof line of their page (0 if it has
-    none) and whether they may be missing there.
-
-    Rows that equal a proof line are found by a join. The other texts of a page, and its proof lines, are put in blocks; each
-    block of rows meets each block of proof lines of its page in a task of its own, so that a page of very many lines is
-    dealt over tasks, and a text is prepared once for a block."""
-    d = rows.withColumn("_n", ocr_normal(F.col(text), True)).filter(F.length("_n") > MORE_LETTERS)
-    p = staged(proofs.select(F.col(page).alias("_page"), ocr_normal(F.col(text), True).alias("_proof")).distinct(), "similar-proofs")
-    same = p.withColumn("_same", F.lit(True))
-    d = d.join(same, (F.col(page) == F.col("_page")) & (F.col("_n") == F.col("_proof")), "left").drop("_page", "_proof")
-    d = staged(d.withColumn("_same", F.coalesce("_same", F.lit(False))), "similar-rows")
-    x = d.filter(~F.col("_same") & F.col(page).isNotNull()).select(F.col(page).alias("_page"), "_n").distinct()
+    none) and whether they may be missing there. Texts that are `normal` already (of normal_lines, and staged) are taken as
+    they are.
+
+    The distinct texts of a page are gathered once, and rows that equal a proof line are done. The other texts of a page, and
+    its proof lines, are put in blocks; each block of rows meets each block of proof lines of its page, so that a page of very
+    many lines is dealt over tasks, and a task compares the pairs of many blocks together."""
+    form = lambda d: d.withColumn("_n", F.col(text) if normal else ocr_normal(F.col(text), True))
+    d, p = form(rows).filter(F.length("_n") > MORE_LETTERS), form(proofs).filter("_n != ''")
+    d = d if normal else staged(d, "similar-rows")
+    kinds = lambda x, row: x.select(F.col(page).alias("_page"), "_n", F.lit(row).alias("_row"), F.lit(not row).alias("_proof"))
+    texts = kinds(d, True).unionByName(kinds(p, False)).filter("_page is not null").groupBy("_page", "_n")
+    texts = staged(texts.agg(F.max("_row").alias("_row"), F.max("_proof").alias("_proof")), "similar-texts")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pages, groups, letters = [], [], 0
+
+        def frame() -> pd.DataFrame:
+            at, n = ([x for x, (r, _) in zip(pages, groups, strict=True) for _ in r], [x for r, _ in groups for x in r])
+            return pd.DataFrame({"_page": at, "_n": n, "_b": [x for best in best_ratios(groups) for x in best]})
+
         for batch in batches:
             for at, r, q in zip(batch["_page"], batch["_n"], batch["_proof"], strict=True):
-                yield pd.DataFrame({"_page": [at] * len(r), "_n": list(r), "_b": best_of(list(r), list(q))})
+                pages.append(at)
+                groups.append((list(r), list(q)))
+                letters += sum(map(len, r)) + sum(map(len, q))
+                if letters >= LETTERS:
+                    yield frame()
+                    pages, groups, letters = [], [], 0
+        if groups:
+            yield frame()
 
-    pairs = in_blocks(x, "_page", "_n", "_i").join(in_blocks(p.filter("_proof != ''"), "_page", "_proof", "_j"), "_page")
+    x, q = texts.filter("_row and not _proof").select("_page", "_n"), texts.filter("_proof").select("_page", F.col("_n").alias("_proof"))
+    pairs = in_blocks(x, "_page", "_n", "_i").join(in_blocks(q, "_page", "_proof", "_j"), "_page")
     # dealt by blocks, as their work is far more than their bytes
-    tasks = 4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = x.schema["_page"].dataType.simpleString()
+    tasks = max(4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TEXTS))
+    kind = texts.schema["_page"].dataType.simpleString()
     found = pairs.repartition(tasks, "_page", "_i", "_j").mapInPandas(lambda batches: compared(batches), f"_page {kind}, _n string, _b double")
-    found = found.groupBy(F.col("_page").alias("_p"), F.col("_n").alias("_m")).agg(F.max("_b").alias("_b"))
-    d = d.join(found, (F.col(page) == F.col("_p")) & (F.col("_n") == F.col("_m")), "left")
-    d = d.withColumn("best", F.when(F.col("_same"), 1.0).otherwise(F.coalesce("_b", F.lit(0.0))))
-    return d.withColumn("missing", F.col("best") < least).drop("_n", "_same", "_p", "_m", "_b")
+    found = found.groupBy("_page", "_n").agg(F.max("_b").alias("_b")).unionByName(texts.filter("_row and _proof").select("_page", "_n", F.lit(1.0).alias("_b")))
+    found = found.withColumnsRenamed({"_page": "_p", "_n": "_m"})
+    d = d.join(found, (F.col(page) == F.col("_p")) & (F.col("_n") == F.col("_m")), "left").withColumn("best", F.coalesce("_b", F.lit(0.0)))
+    return d.withColumn("missing", F.col("best") < least).drop("_n", "_p", "_m", "_b")
 
 
 def coverage(best: DataFrame, page: str, key: str, most: int = 2) -> DataFrame:

@@ -139,8 +139,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def best_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines against every third line of the same document."""
-    d = _lines(spark, sf_dir)
-    return L.best_similarity(d, d.filter("line % 3 = 0").select(*[F.col(c).alias(c) for c in d.columns]), "doc_id", "line", "text").select("doc_id", "line", F.round("best", 6).alias("best"), "missing")
+    d = staged(L.normal_lines(_lines(spark, sf_dir), "doc_id"), "similar-lines")
+    return L.best_similarity(d, d.filter("line % 3 = 0").select(*[F.col(c).alias(c) for c in d.columns]), "doc_id", "line", "text", normal=True).select("doc_id", "line", F.round("best", 6).alias("best"), "missing")
 
 
 @query()
