@@ -65,3 +65,17 @@ def test_best_ratios_compare_pairs_together():
     begun = time.perf_counter()
     assert S.best_ratios(groups) == want
     assert time.perf_counter() - begun < singly / 2
+
+
+@pytest.mark.parametrize("copies", [2, 1_000])
+def test_best_similarity_of_copies(spark, monkeypatch, copies):
+    """Pages that say the same, often enough that they are dealt to several tasks and so seldom that they are not."""
+    monkeypatch.setattr(L, "COPIES", copies)
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choices("abcd", k=rng.randint(11, 40)))
+    kinds = [([text() for _ in range(70)], [text() for _ in range(80)]), ([text() for _ in range(3)], [text() for _ in range(2)])]
+    pages = [kinds[k % 4 == 0] for k in range(12)]
+    frame = lambda side: spark.createDataFrame([(k, i, t) for k, page in enumerate(pages) for i, t in enumerate(page[side])], "page long, line long, text string")
+    got = {(r["page"], r["line"]): r["best"] for r in L.best_similarity(frame(0), frame(1), "page", "line", "text").collect()}
+    want = [S.best_of(*kind) for kind in kinds]
+    assert got == {(k, i): b for k in range(12) for i, b in enumerate(want[k % 4 == 0])}

@@ -23,8 +23,8 @@ RUN = 5
 #: What is held at once: pairs of equal runs, those of them that are extended together, rows of bits, and words of the table
 #: of places. Beyond the first and the last, texts are compared in smaller groups.
 HITS, EXTENDED, ROWS, TABLE = 1 << 22, 1 << 17, 1 << 16, 1 << 24
-#: Texts of fewer letters are compared together: a length and two places in a text share a number.
-LONG = 1 << 21
+#: Texts of fewer letters than these bits hold are compared together: a length and two places in a text share a number.
+PLACE = 21
 #: The share of what is open that is expected of a pair, when the first pair of a row is chosen.
 EXPECTED = 0.3
 
@@ -148,7 +148,7 @@ def best_of(rows: list[str], proofs: list[str]) -> list[float]:
 
 def best_ratios(groups: list[tuple[list[str], list[str]]]) -> list[list[float]]:
     """For the rows and proofs of each group, the best ratio of each row with a proof: as best_of, for all groups together."""
-    if max((len(t) for g in groups for x in g for t in x), default=0) < LONG:
+    if max((len(t) for g in groups for x in g for t in x), default=0) < 1 << PLACE:
         pairs = _Pairs(groups)
         if pairs.fits:
             best = pairs.best().tolist()
@@ -204,7 +204,7 @@ class _Pairs:
         self.length = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
         self.start = np.cumsum(self.length + 1) - self.length
         points = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        seen = np.zeros(0x110000, np.int32)
+        seen = np.zeros(int(points.max(initial=0)) + 1, np.int32)
         seen[points] = 1
         rank = np.cumsum(seen, dtype=np.int32) + 1
         letters = int(rank[-1]) + 1
@@ -214,12 +214,14 @@ class _Pairs:
         self.codes = np.zeros(len(points) + len(self.texts) + 1, np.uint8 if letters < 256 else np.int32)
         self.codes[where] = rank[points]
         self.codes[(self.start + self.length)[self.n :]] = 1
+        # for each letter, bits at its places
         self.words = (len(self.codes) >> 6) + 2
         self.fits = letters * self.words <= TABLE
         if not self.fits:
             return
         self.places = np.zeros(letters * self.words, np.uint64)
-        np.add.at(self.places, self.codes[where].astype(np.int64) * self.words + (where >> 6), np.uint64(1) << (where & 63).astype(np.uint64))
+        self.line = self.codes.astype(np.int64) * self.words
+        np.add.at(self.places, self.line[where] + (where >> 6), np.uint64(1) << (where & 63).astype(np.uint64))
 
         group = np.repeat(np.arange(len(groups)), n_rows)
         self.per_row = n_proofs[group]
@@ -250,9 +252,13 @@ class _Pairs:
         self.hits = np.zeros(cut, np.int64)
         self.begin = np.zeros(cut, np.int64)
         if len(begin):
-            found = np.minimum(np.searchsorted(there[begin], key[at[:cut]]), len(begin) - 1)
-            self.hits = np.where(there[begin[found]] == key[at[:cut]], np.diff(np.append(begin, len(there)))[found], 0)
-            self.begin = begin[found]
+            # in order, so that what is looked up lies side by side
+            asked = key.take(at[:cut])
+            mine = np.argsort(asked)
+            asked, kinds = asked.take(mine), there.take(begin)
+            found = np.minimum(np.searchsorted(kinds, asked), len(begin) - 1)
+            self.hits[mine] = np.diff(np.append(begin, len(there))).take(found) * (kinds.take(found) == asked)
+            self.begin[mine] = begin.take(found)
         # rows that repeat a few letters over and over are compared on their own
         of_row = np.bincount(of[:cut], self.hits, self.n)
         cells = self.length[: self.n] * np.bincount(self.row, self.length[self.proof], self.n)
@@ -266,25 +272,27 @@ class _Pairs:
         asked = np.flatnonzero(self.hits)
         for a, b in _chunks(self.hits[asked], EXTENDED):
             x, k = _spread(self.hits[asked[a:b]])
-            x = asked[a:b][x]
-            other = self.sorted[self.begin[x] + k]
-            i, j = self.at[x], self.at[other]
-            first = (codes[i - 1] != codes[j - 1]) | (codes[i - 1] < 2)
-            x, other, i, j = x[first], other[first], i[first], j[first]
+            x = asked[a:b].take(x)
+            other = self.sorted.take(self.begin.take(x) + k)
+            i, j = self.at.take(x), self.at.take(other)
+            mark = codes.take(i - 1)
+            first = np.flatnonzero((mark != codes.take(j - 1)) | (mark < 2))
+            x, other, i, j = x.take(first), other.take(first), i.take(first), j.take(first)
             n = np.full(len(i), self.run)
             live = np.arange(len(i))
             while len(live):
-                live = live[key[i[live] + n[live]] == key[j[live] + n[live]]]
+                live = live.compress(key.take(i.take(live) + n.take(live)) == key.take(j.take(live) + n.take(live)))
                 n[live] += self.run
             live = np.arange(len(i))
             for _ in range(self.run - 1):
-                live = live[codes[i[live] + n[live]] == codes[j[live] + n[live]]]
+                live = live.compress(codes.take(i.take(live) + n.take(live)) == codes.take(j.take(live) + n.take(live)))
                 n[live] += 1
-            row = self.of[x]
-            out.append([self.first[row] + self.of[other] - self.proof[self.first[row]], i, j, n])
+            row = self.of.take(x)
+            first = self.first.take(row)
+            out.append([first + self.of.take(other) - self.proof.take(first), i, j, n])
         blocks = [np.concatenate(x) for x in zip(*out, strict=True)]
         order = np.argsort(blocks[0], kind="stable")
-        return [x[order] for x in blocks]
+        return [x.take(order) for x in blocks]
 
     def _short(self, parts: _Parts) -> np.ndarray:
         """The longest blocks of parts that have none of `run` letters, as numbers: see _level. Each letter of one text has a
@@ -293,42 +301,54 @@ class _Pairs:
         _, i0, i1, j0, j1 = parts
         m, n, step = i1 - i0, j1 - j0, 65 - self.run
         windows = lambda size: np.maximum(1, -(-(size - self.run + 1) // step))
-        turned = n * windows(m) < m * windows(n)
-        row0, rows, col0, cols = np.where(turned, j0, i0), np.where(turned, n, m), np.where(turned, i0, j0), np.where(turned, m, n)
+        turned = (n * windows(m) < m * windows(n)).astype(np.int64)
+        swapped = lambda x, y: (x + turned * (y - x), y + turned * (x - y))
+        (row0, col0), (rows, cols) = swapped(i0, j0), swapped(m, n)
         part, k = _spread(windows(cols))
         left = col0[part] + k * step
         inside = ~np.uint64(0) >> (64 - np.minimum(cols[part] - k * step, 64)).astype(np.uint64)
         high = rows[part] + 1  # a blank row at the end
         out = np.zeros(len(i0), np.int64)
         for a, b in _chunks(high, ROWS):
-            window, r = _spread(high[a:b])
-            window += a
-            of = part[window]
-            row, col = row0[of] + r, left[window]
-            word, shift = self.codes[row].astype(np.int64) * self.words + (col >> 6), (col & 63).astype(np.uint64)
-            eq = (self.places[word] >> shift) | ((self.places[word + 1] << np.uint64(1)) << (np.uint64(63) - shift))
-            eq &= inside[window]
-            eq[np.cumsum(high[a:b]) - 1] = 0
-            longest, levels = np.zeros(part[b - 1] + 1 - part[a], np.int8), []
-            of -= part[a]
-            at = np.flatnonzero(eq)
-            run = eq[at]
+            own, tall = part[a:b], high[a:b]
+            ends = np.cumsum(tall)
+            begins = ends - tall
+            row, col = np.arange(ends[-1]) + np.repeat(row0.take(own) - begins, tall), np.repeat(left[a:b], tall)
+            word, shift = self.line.take(row) + (col >> 6), (col & 63).astype(np.uint64)
+            eq = (self.places.take(word) >> shift) | ((self.places.take(word + 1) << np.uint64(1)) << (np.uint64(63) - shift))
+            eq &= np.repeat(inside[a:b], tall)
+            eq[ends - 1] = 0
+            of = np.repeat(own - own[0], tall)
+            longest, levels = np.zeros(own[-1] + 1 - own[0], np.int8), []
+            # most parts have two letters, so single ones are looked at last
+            run = eq.copy()
+            run[:-1] &= eq[1:] >> np.uint64(1)
+            at = np.flatnonzero(run != 0)
+            run, x, size = run.take(at), of.take(at), 2
             while len(at):
-                levels.append((at, run))
-                longest[of[at]] = len(levels)
-                run = run & (eq[np.minimum(at + len(levels), len(eq) - 1)] >> np.uint64(len(levels)))
-                more = np.flatnonzero(run)
-                at, run = at[more], run[more]
-            for size, (at, run) in enumerate(levels, 1):
-                last = np.flatnonzero(longest[of[at]] == size)
-                at, run = at[last], run[last]
-                x = of[at] + part[a]
+                longest[x] = size
+                levels.append((size, at, run, x))
+                run = run & (eq.take(at + size, mode="clip") >> np.uint64(size))
+                more = np.flatnonzero(run != 0)
+                at, run, x, size = at.take(more), run.take(more), x.take(more), size + 1
+            single = np.flatnonzero(longest.take(own - own[0]) == 0)
+            window, k = _spread(tall.take(single))
+            at = begins.take(single.take(window)) + k
+            at = at.compress(eq.take(at) != 0)
+            x = of.take(at)
+            longest[x] = 1
+            levels.append((1, at, eq.take(at), x))
+            for size, at, run, x in levels:
+                last = np.flatnonzero(longest.take(x) == size)
+                at, run, x = at.take(last), run.take(last), x.take(last) + own[0]
                 # the lowest bit, by the exponent of its value
-                low = ((run & (~run + np.uint64(1))).astype(np.float64).view(np.int64) >> 52) - 1023 + col[at]
-                i, j = np.where(turned[x], low, row[at]), np.where(turned[x], row[at], low)
+                low = ((run & (~run + np.uint64(1))).astype(np.float64).view(np.int64) >> 52) - 1023 + col.take(at)
+                line, turn = row.take(at), turned.take(x)
+                i, j = line + turn * (low - line), low + turn * (line - low)
                 if len(begin := _firsts(x)):
-                    best = np.maximum.reduceat((size * LONG + i1[x] - i) * LONG + j1[x] - j, begin)
-                    out[x[begin]] = np.maximum(out[x[begin]], best)
+                    best = np.maximum.reduceat((size << 2 * PLACE) + (i1.take(x) - i << PLACE) + j1.take(x) - j, begin)
+                    x = x.take(begin)
+                    out[x] = np.maximum(out.take(x), best)
         return out
 
     def _level(self, parts: _Parts, blocks: _Blocks) -> tuple[_Parts, _Blocks]:
@@ -338,21 +358,22 @@ class _Pairs:
         part, i, j, n = blocks
         top = np.zeros(len(pair), np.int64)
         if len(begin := _firsts(part)):
-            top[part[begin]] = np.maximum.reduceat((n * LONG + i1[part] - i) * LONG + j1[part] - j, begin)
+            top[part.take(begin)] = np.maximum.reduceat((n << 2 * PLACE) + (i1.take(part) - i << PLACE) + j1.take(part) - j, begin)
         rest = np.flatnonzero(top == 0)
-        top[rest] = self._short([x[rest] for x in parts])
-        size, bi, bj = top // LONG**2, i1 - top // LONG % LONG, j1 - top % LONG
+        top[rest] = self._short([x.take(rest) for x in parts])
+        size, bi, bj = top >> 2 * PLACE, i1 - (top >> PLACE & (1 << PLACE) - 1), j1 - (top & (1 << PLACE) - 1)
         self.done += np.bincount(pair, size, len(self.done)).astype(np.int64)
         ei, ej = bi + size, bj + size
         before, after = (size > 0) & (bi > i0) & (bj > j0), (size > 0) & (ei < i1) & (ej < j1)
-        open_ = [np.concatenate([x[before], y[after]]) for x, y in ((pair, pair), (i0, ei), (bi, i1), (j0, ej), (bj, j1))]
+        x, y = np.flatnonzero(before), np.flatnonzero(after)
+        open_ = [np.concatenate([s.take(x), t.take(y)]) for s, t in ((pair, pair), (i0, ei), (bi, i1), (j0, ej), (bj, j1))]
         # blocks of `run` letters or more within what is open; shorter ones are found by bits
-        short = np.minimum(n, np.minimum(bi[part] - i, bj[part] - j))
+        number, then = np.cumsum(before) - 1, np.cumsum(after) - 1 + len(x)
+        short = np.minimum(n, np.minimum(bi.take(part) - i, bj.take(part) - j))
         x = np.flatnonzero(short >= self.run)
-        off = np.maximum(0, np.maximum(ei[part] - i, ej[part] - j))
+        off = np.maximum(0, np.maximum(ei.take(part) - i, ej.take(part) - j))
         y = np.flatnonzero(n - off >= self.run)
-        number, then = np.cumsum(before) - 1, np.cumsum(after) - 1 + before.sum()
-        return open_, [np.concatenate(z) for z in ((number[part[x]], then[part[y]]), (i[x], (i + off)[y]), (j[x], (j + off)[y]), (short[x], (n - off)[y]))]
+        return open_, [np.concatenate([s.take(x), t.take(y)]) for s, t in ((number.take(part), then.take(part)), (i, i + off), (j, j + off), (short, n - off))]
 
     def _bounds(self, parts: _Parts) -> np.ndarray:
         """How many letters of each pair are in blocks, if what is open counts in full."""
@@ -363,8 +384,8 @@ class _Pairs:
         bar, and the others go on as long as they may pass it."""
 
         def kept(parts: _Parts, blocks: _Blocks, ok: np.ndarray) -> tuple[_Parts, _Blocks]:
-            number, inside = np.cumsum(ok) - 1, ok[blocks[0]]
-            return [x[ok] for x in parts], [number[blocks[0][inside]], *[x[inside] for x in blocks[1:]]]
+            number, left, inside = np.cumsum(ok) - 1, np.flatnonzero(ok), np.flatnonzero(ok.take(blocks[0]))
+            return [x.take(left) for x in parts], [number.take(blocks[0].take(inside)), *[x.take(inside) for x in blocks[1:]]]
 
         def raise_bar() -> None:
             some = np.flatnonzero(self.per_row)
@@ -386,7 +407,7 @@ class _Pairs:
                 now = kept(*state, ok[state[0][0]])
                 while len(now[0][0]):
                     passes = 2.0 * self._bounds(now[0]) / self.whole > self.bar[self.row]
-                    now = self._level(*kept(*now, passes[now[0][0]]))
+                    now = self._level(*kept(*now, passes.take(now[0][0])))
                     raise_bar()
         for k in np.flatnonzero(self.alone):
             pairs = slice(self.first[k], self.first[k] + self.per_row[k])

@@ -30,7 +30,9 @@ HEIGHTS = (8, 100)
 #: Lines of a block: blocks of rows meet blocks of proof lines.
 BLOCK = 64
 #: Letters of the blocks that are compared together, and distinct texts that are one task's share.
-LETTERS, TEXTS = 400_000, 25_000
+LETTERS, TEXTS = 200_000, 25_000
+#: From how many pages on the same blocks are dealt to several tasks, and to how many.
+COPIES, WAYS = 1_000, 64
 #: A pair of equal lines out of order is a matter of dispute if it crosses at most so many others.
 CROSSED = 3
 #: Rows that a task gives back at once.
@@ -45,7 +47,7 @@ def ratio(a: str, b: str) -> float:
 def in_blocks(texts: DataFrame, page: str, text: str, block: str, size: int = BLOCK) -> DataFrame:
     """page, the number of a block, and the texts of the block: the distinct texts of a page, so many to a block."""
     place = F.row_number().over(Window.partitionBy(page).orderBy(text)) - 1
-    return texts.withColumn(block, F.floor(place / size).cast("int")).groupBy(page, block).agg(F.collect_list(text).alias(text))
+    return texts.withColumn(block, F.floor(place / size).cast("int")).groupBy(page, block).agg(F.sort_array(F.collect_list(text)).alias(text))
 
 
 def best_similarity(rows: DataFrame, proofs: DataFrame, page: str, key: str, text: str, least: float = MISSING, normal: bool = False) -> DataFrame:
@@ -55,7 +57,8 @@ def best_similarity(rows: DataFrame, proofs: DataFrame, page: str, key: str, tex
 
     The distinct texts of a page are gathered once, and rows that equal a proof line are done. The other texts of a page, and
     its proof lines, are put in blocks; each block of rows meets each block of proof lines of its page, so that a page of very
-    many lines is dealt over tasks, and a task compares the pairs of many blocks together."""
+    many lines is dealt over tasks, and a task compares the pairs of many blocks together. Blocks that say the same as others
+    of another page are compared once."""
     form = lambda d: d.withColumn("_n", F.col(text) if normal else ocr_normal(F.col(text), True))
     d, p = form(rows).filter(F.length("_n") > MORE_LETTERS), form(proofs).filter("_n != ''")
     d = d if normal else staged(d, "similar-rows")
@@ -64,29 +67,38 @@ def best_similarity(rows: DataFrame, proofs: DataFrame, page: str, key: str, tex
     texts = staged(texts.agg(F.max("_row").alias("_row"), F.max("_proof").alias("_proof")), "similar-texts")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pages, groups, letters = [], [], 0
+        groups, at, letters = [], [], 0  # different blocks, and the pages of each
 
         def frame() -> pd.DataFrame:
-            at, n = ([x for x, (r, _) in zip(pages, groups, strict=True) for _ in r], [x for r, _ in groups for x in r])
-            return pd.DataFrame({"_page": at, "_n": n, "_b": [x for best in best_ratios(groups) for x in best]})
+            found = [(k, n, b) for (r, _), pages, best in zip(groups, at, best_ratios(groups), strict=True) for k in pages for n, b in zip(r, best, strict=True)]
+            return pd.DataFrame(found, columns=["_page", "_n", "_b"])
 
         for batch in batches:
-            for at, r, q in zip(batch["_page"], batch["_n"], batch["_proof"], strict=True):
-                pages.append(at)
-                groups.append((list(r), list(q)))
-                letters += sum(map(len, r)) + sum(map(len, q))
+            for k, r, q in zip(batch["_page"], batch["_n"], batch["_proof"], strict=True):
                 if letters >= LETTERS:
                     yield frame()
-                    pages, groups, letters = [], [], 0
+                    groups, at, letters = [], [], 0
+                blocks = list(r), list(q)
+                letters += sum(map(len, r))
+                if groups and blocks == groups[-1]:
+                    at[-1].append(k)
+                else:
+                    groups.append(blocks)
+                    at.append([k])
+                    letters += sum(map(len, q))
         if groups:
             yield frame()
 
     x, q = texts.filter("_row and not _proof").select("_page", "_n"), texts.filter("_proof").select("_page", F.col("_n").alias("_proof"))
     pairs = in_blocks(x, "_page", "_n", "_i").join(in_blocks(q, "_page", "_proof", "_j"), "_page")
-    # dealt by blocks, as their work is far more than their bytes
+    # dealt by what the blocks say, as their work is far more than their bytes, so that copies follow on each other; those
+    # of very many pages by pages too
+    pairs = pairs.withColumn("_same", F.xxhash64("_n", "_proof"))
+    often = pairs.groupBy("_same").agg(F.count("*").alias("_often")).filter(F.col("_often") > COPIES)
+    pairs = pairs.join(F.broadcast(often), "_same", "left").withColumn("_way", F.when(F.col("_often").isNotNull(), F.pmod(F.xxhash64("_page"), F.lit(WAYS))))
     tasks = max(4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TEXTS))
     kind = texts.schema["_page"].dataType.simpleString()
-    found = pairs.repartition(tasks, "_page", "_i", "_j").mapInPandas(lambda batches: compared(batches), f"_page {kind}, _n string, _b double")
+    found = pairs.repartition(tasks, "_same", "_way").sortWithinPartitions("_same").mapInPandas(lambda batches: compared(batches), f"_page {kind}, _n string, _b double")
     found = found.groupBy("_page", "_n").agg(F.max("_b").alias("_b")).unionByName(texts.filter("_row and _proof").select("_page", "_n", F.lit(1.0).alias("_b")))
     found = found.withColumnsRenamed({"_page": "_p", "_n": "_m"})
     d = d.join(found, (F.col(page) == F.col("_p")) & (F.col("_n") == F.col("_m")), "left").withColumn("best", F.coalesce("_b", F.lit(0.0)))
