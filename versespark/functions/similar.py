@@ -291,7 +291,7 @@ class _Pairs:
             first = self.first.take(row)
             out.append([first + self.of.take(other) - self.proof.take(first), i, j, n])
         blocks = [np.concatenate(x) for x in zip(*out, strict=True)]
-        order = np.argsort(blocks[0], kind="stable")
+        order = np.argsort(blocks[0])
         return [x.take(order) for x in blocks]
 
     def _short(self, parts: _Parts) -> np.ndarray:
